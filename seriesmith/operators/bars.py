@@ -73,11 +73,8 @@ def lookback(bars: DataFrame, as_of, hours: int) -> DataFrame:
 
 def lookback_from_latest(bars: DataFrame, hours: int) -> DataFrame:
     """``lookback`` anchored at the newest bar of the table (a one-row aggregate)."""
-    newest = bars.agg(F.max("t").alias("__max"))
-    return (
-        bars.join(F.broadcast(newest), F.col("t") >= F.col("__max") - hours * 3600)
-        .drop("__max")
-    )
+    newest = bars.agg(F.max("t")).scalar()
+    return bars.filter(F.col("t") >= newest - hours * 3600)
 
 
 def prefer_source(primary: DataFrame, secondary: DataFrame, keys=("symbol", "tf")) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, col, div
-from .scan import Recurrence, ema, full_mean, linear_recurrences, rolling
+from .scan import Recurrence, ema, full_mean, linear_recurrences, memory, recur, rolling
 
 ATR_PERIOD = 14
 
@@ -15,23 +15,23 @@ def sma(bars: DataFrame, n: int, keys=("symbol",), column="close", name="sma") -
     return rolling(bars, keys, n - 1, lambda f, s: f.withColumn(name, full_mean(column, n, s)))
 
 
+def rsi_columns(f: DataFrame, s, periods) -> DataFrame:
+    """``rsi_<n>`` on a chunk frame; needs ``max(periods)`` rows of history."""
+    d = F.coalesce(F.col("close") - F.lag("close").over(s), F.lit(0.0))
+    f = f.withColumn("__d", d)
+    f = f.withColumns({"__g": F.greatest("__d", F.lit(0.0)), "__l": F.greatest(-F.col("__d"), F.lit(0.0))})
+    return f.withColumns(
+        {f"rsi_{n}": rsi_value(full_mean("__g", n, s), full_mean("__l", n, s)) for n in periods}
+    ).drop("__d", "__g", "__l")
+
+
 def rsi(bars: DataFrame, periods, keys=("symbol",)) -> DataFrame:
     """``rsi_<n>`` for each period, all periods in one pass.
 
     Gains and losses are simple means; the first difference counts as zero; warm-up rows
     and rows without any loss are 100.
     """
-    def build(f: DataFrame, s) -> DataFrame:
-        delta = F.col("close") - F.lag("close").over(s)
-        f = f.withColumn("__d", F.coalesce(delta, F.lit(0.0)))
-        f = f.withColumn("__g", F.greatest(F.col("__d"), F.lit(0.0)))
-        f = f.withColumn("__l", F.greatest(-F.col("__d"), F.lit(0.0)))
-        f = f.withColumns(
-            {f"rsi_{n}": rsi_value(full_mean("__g", n, s), full_mean("__l", n, s)) for n in periods}
-        )
-        return f.drop("__d", "__g", "__l")
-
-    return rolling(bars, keys, max(periods), build)
+    return rolling(bars, keys, max(periods), lambda f, s: rsi_columns(f, s, periods))
 
 
 def rsi_value(gain: Column, loss: Column) -> Column:
@@ -40,16 +40,34 @@ def rsi_value(gain: Column, loss: Column) -> Column:
     )
 
 
-def macd(bars: DataFrame, fast: float, slow: float, signal: float, keys=("symbol",), column="close",
-         prefix="") -> DataFrame:
-    """MACD line, signal line and histogram."""
-    line, sig, hist = f"{prefix}macd", f"{prefix}macd_signal", f"{prefix}macd_hist"
-    two = linear_recurrences(
-        bars, keys, {"__fast": ema(column, fast, column), "__slow": ema(column, slow, column)}
-    )
-    two = two.withColumn(line, F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
-    out = linear_recurrences(two, keys, {sig: ema(line, signal, line)})
-    return out.withColumn(hist, F.col(line) - F.col(sig))
+def macd_recurrences(fast, slow, signal, spans=None, column="close"):
+    """The two recurrence steps of MACD; ``spans`` bounds column-valued spans as
+    ``(slowest mean, fastest mean, slowest signal, fastest signal)``."""
+    hi, lo, shi, slo = spans or (None,) * 4
+    means = {"__fast": ema(column, fast, column, hi, lo), "__slow": ema(column, slow, column, hi, lo)}
+    line = {"macd_signal": ema("macd", signal, "macd", shi, slo)}
+    return means, line
+
+
+def macd_history(fast, slow, signal, spans=None) -> int:
+    means, line = macd_recurrences(fast, slow, signal, spans)
+    return memory(means.values())[2] + memory(line.values())[2]
+
+
+def macd_columns(f: DataFrame, part, fast, slow, signal, spans=None, column="close", index="i") -> DataFrame:
+    """``macd, macd_signal`` on a chunk frame that carries ``macd_history`` rows."""
+    means, line = macd_recurrences(fast, slow, signal, spans, column)
+    f = recur(f, part, means, index)
+    f = f.withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
+    return recur(f, part, line, index)
+
+
+def macd(bars: DataFrame, fast: float, slow: float, signal: float, keys=("symbol",), column="close") -> DataFrame:
+    """MACD line, signal line and histogram in one shuffle."""
+    part = [*keys, "__chunk"]
+    out = rolling(bars, keys, macd_history(fast, slow, signal),
+                  lambda f, s: macd_columns(f, part, fast, slow, signal, None, column))
+    return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
 def true_range(prev_close: Column) -> Column:
@@ -60,34 +78,36 @@ def true_range(prev_close: Column) -> Column:
     )
 
 
+def atr_adx_columns(f: DataFrame, s, n: int = ATR_PERIOD) -> DataFrame:
+    """``atr, plus_di, minus_di, adx`` on a chunk frame; needs ``2 n`` rows of history."""
+    up = F.col("high") - F.lag("high").over(s)
+    down = F.lag("low").over(s) - F.col("low")
+    f = f.withColumns({
+        "__tr": true_range(F.lag("close").over(s)),
+        "__p": F.when((up > down) & (up > 0), up).otherwise(0.0),
+        "__m": F.when((down > up) & (down > 0), down).otherwise(0.0),
+    })
+    f = f.withColumns({
+        "atr": full_mean("__tr", n, s),
+        "__pm": full_mean("__p", n, s),
+        "__mm": full_mean("__m", n, s),
+    })
+    f = f.withColumns({
+        "plus_di": div(F.lit(100.0) * F.col("__pm"), "atr"),
+        "minus_di": div(F.lit(100.0) * F.col("__mm"), "atr"),
+    })
+    f = f.withColumn(
+        "__dx",
+        div(F.lit(100.0) * F.abs(F.col("plus_di") - F.col("minus_di")),
+            F.col("plus_di") + F.col("minus_di")),
+    )
+    f = f.withColumn("adx", full_mean("__dx", n, s))
+    return f.drop("__tr", "__p", "__m", "__pm", "__mm", "__dx")
+
+
 def atr_adx(bars: DataFrame, n: int = ATR_PERIOD, keys=("symbol",)) -> DataFrame:
     """ATR, +DI, -DI and ADX on simple means, one shuffle for the whole stack."""
-    def build(f: DataFrame, s) -> DataFrame:
-        up = F.col("high") - F.lag("high").over(s)
-        down = F.lag("low").over(s) - F.col("low")
-        f = f.withColumns({
-            "__tr": true_range(F.lag("close").over(s)),
-            "__p": F.when((up > down) & (up > 0), up).otherwise(0.0),
-            "__m": F.when((down > up) & (down > 0), down).otherwise(0.0),
-        })
-        f = f.withColumns({
-            "atr": full_mean("__tr", n, s),
-            "__pm": full_mean("__p", n, s),
-            "__mm": full_mean("__m", n, s),
-        })
-        f = f.withColumns({
-            "plus_di": div(F.lit(100.0) * F.col("__pm"), "atr"),
-            "minus_di": div(F.lit(100.0) * F.col("__mm"), "atr"),
-        })
-        f = f.withColumn(
-            "__dx",
-            div(F.lit(100.0) * F.abs(F.col("plus_di") - F.col("minus_di")),
-                F.col("plus_di") + F.col("minus_di")),
-        )
-        f = f.withColumn("adx", full_mean("__dx", n, s))
-        return f.drop("__tr", "__p", "__m", "__pm", "__mm", "__dx")
-
-    return rolling(bars, keys, 2 * n, build)
+    return rolling(bars, keys, 2 * n, lambda f, s: atr_adx_columns(f, s, n))
 
 
 def returns(bars: DataFrame, keys=("symbol",), column="close") -> DataFrame:

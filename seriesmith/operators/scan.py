@@ -156,75 +156,62 @@ def _rate(c: float) -> float:
     return -math.log(max(c, _TINY))
 
 
-def linear_recurrences(df: DataFrame, keys, recs: dict[str, Recurrence], index="i", block=256) -> DataFrame:
-    """Evaluate several first-order recurrences in one pass over the series.
+def memory(recs, block=256) -> tuple[int, int, int]:
+    """Block size, blocks a carry looks back, and the rows of history this needs.
 
-    Inside a block the closed form ``c^j * sum(x_i * c^-i)`` is a running window sum.  The
-    carry into a block depends on earlier blocks with weights ``c^(B*k)``, so it is a short
-    rolling fold over the block table (terms below 1e-20 of the carry vanish in a double).
+    ``c^B`` must not overflow when inverted; contributions below 1e-20 vanish in a double.
     """
-    fast = max(_rate(r.fastest if r.fastest is not None else r.decay) for r in recs.values())
-    slow = min(_rate(r.slowest if r.slowest is not None else r.decay) for r in recs.values())
+    fast = max(_rate(r.fastest if r.fastest is not None else r.decay) for r in recs)
+    slow = min(_rate(r.slowest if r.slowest is not None else r.decay) for r in recs)
     size = max(1, min(block, int(500 / fast) if fast > 0 else block))
     back = max(1, math.ceil(46.0 / (size * max(slow, 1e-9))))
+    return size, back, (back + 1) * size
 
-    def c_of(r: Recurrence) -> Column:
-        base = r.decay if isinstance(r.decay, Column) else F.lit(float(r.decay))
-        return F.greatest(base, F.lit(_TINY))
 
-    df = df.withColumn("__rb", div_floor(index, size)).withColumn(
-        "__rj", (F.col(index) - F.col("__rb") * size).cast("double")
-    )
-    scaled = df.withColumns(
-        {f"__z_{n}": r.x * F.pow(c_of(r), -F.col("__rj")) for n, r in recs.items()}
-        | {f"__k_{n}": c_of(r) for n, r in recs.items()}
-        | {f"__a_{n}": F.when(F.col(index) == 0, r.start) for n, r in recs.items()}
-    )
-    tails = scaled.groupBy(*keys, "__rb").agg(
-        F.max("__rj").alias("__m"),
-        *[F.sum(f"__z_{n}").alias(f"__z_{n}") for n in recs],
-        *[F.max(f"__k_{n}").alias(f"__k_{n}") for n in recs],
-        *[F.max(f"__a_{n}").alias(f"__a_{n}") for n in recs],
-    )
-    step = {}
-    for n in recs:
-        k, decay = F.col(f"__k_{n}"), F.pow(F.col(f"__k_{n}"), F.col("__m") + 1)
-        step[f"__t_{n}"] = F.struct(
-            decay.alias("d"),
-            (F.col(f"__z_{n}") * F.pow(k, F.col("__m"))
-             + F.coalesce(F.col(f"__a_{n}") * decay, F.lit(0.0))).alias("v"),
-        )
-    tails = tails.withColumns(step)
-
-    def carry(frame: DataFrame, spec) -> DataFrame:
-        w = spec.rowsBetween(-back, -1)
-        return frame.withColumns(
-            {
-                f"__y_{n}": F.coalesce(
-                    F.col(f"__a_{n}"),
-                    F.aggregate(
-                        F.collect_list(f"__t_{n}").over(w), F.lit(0.0),
-                        lambda acc, e: acc * e["d"] + e["v"],
-                    ),
-                )
-                for n in recs
-            }
-        )
+def recur(frame: DataFrame, part, recs: dict[str, Recurrence], index="i", block=256) -> DataFrame:
+    """Recurrences inside a chunk that carries ``memory(recs)`` rows of history.
 
-    carried = rolling(tails, keys, back, carry, index="__rb").select(
-        *keys, "__rb", *[f"__y_{n}" for n in recs]
-    )
-    w = Window.partitionBy(*keys, "__rb").orderBy("__rj").rowsBetween(Window.unboundedPreceding, 0)
-    local = scaled.withColumns({f"__l_{n}": F.sum(f"__z_{n}").over(w) for n in recs})
-    out = local.join(carried, [*keys, "__rb"]).withColumns(
-        {
-            n: F.pow(F.col(f"__k_{n}"), F.col("__rj") + 1) * F.col(f"__y_{n}")
-            + F.pow(F.col(f"__k_{n}"), F.col("__rj")) * F.col(f"__l_{n}")
-            for n in recs
-        }
-    )
-    helpers = [f"__{p}_{n}" for n in recs for p in ("z", "k", "a", "y", "l")]
-    return out.drop("__rb", "__rj", *helpers)
+    Inside a block the closed form ``c^j * sum(x_i * c^-i)`` is a running window sum; the
+    carry folds the tails of the few blocks before it.  Both windows share one sort.
+    """
+    size, back, _ = memory(recs.values(), block)
+
+    def c_of(r: Recurrence) -> Column:
+        return F.greatest(r.decay if isinstance(r.decay, Column) else F.lit(float(r.decay)), F.lit(_TINY))
+
+    df = frame.withColumn("__rb", div_floor(index, size)).withColumn(
+        "__rj", (F.col(index) - F.col("__rb") * size).cast("double"))
+    inside = Window.partitionBy(*part, "__rb").orderBy("__rj")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"__z_{n}": r.x * F.pow(c_of(r), -F.col("__rj")) for n, r in recs.items()})
+    df = df.withColumns({
+        **{f"__l_{n}": F.sum(f"__z_{n}").over(upto) * F.pow(c_of(r), F.col("__rj")) for n, r in recs.items()},
+        **{f"__a_{n}": F.first(F.when(F.col(index) == 0, r.start)).over(upto) for n, r in recs.items()},
+        "__tail": F.lead(F.lit(1)).over(inside).isNull(),
+    })
+    tails = {}
+    for n, r in recs.items():
+        decay = F.pow(c_of(r), F.col("__rj") + 1)
+        whole = F.col(f"__l_{n}") + F.coalesce(F.col(f"__a_{n}") * decay, F.lit(0.0))
+        tails[f"__t_{n}"] = F.when(F.col("__tail"), F.struct(decay.alias("d"), whole.alias("v")))
+    df = df.withColumns(tails)
+    before = Window.partitionBy(*part).orderBy("__rb").rangeBetween(-back, -1)
+    df = df.withColumns({f"__h_{n}": F.collect_list(f"__t_{n}").over(before) for n in recs})
+    out = {}
+    for n, r in recs.items():
+        carry = F.coalesce(F.col(f"__a_{n}"), F.aggregate(
+            f"__h_{n}", F.lit(0.0), lambda acc, e: acc * e["d"] + e["v"]))
+        out[n] = F.pow(c_of(r), F.col("__rj") + 1) * carry + F.col(f"__l_{n}")
+    helpers = [f"__{p}_{n}" for n in recs for p in "zlath"]
+    return df.withColumns(out).drop("__rb", "__rj", "__tail", *helpers)
+
+
+def linear_recurrences(df: DataFrame, keys, recs: dict[str, Recurrence], index="i", block=256,
+                       chunk: int = BLOCK_BARS) -> DataFrame:
+    """Evaluate several first-order recurrences in one shuffle: chunks with enough history."""
+    part = [*keys, "__chunk"]
+    return rolling(df, keys, memory(recs.values(), block)[2],
+                   lambda f, s: recur(f, part, recs, index, block), index, chunk)
 
 
 def ema(x, span, name_start, slowest_span=None, fastest_span=None) -> Recurrence:

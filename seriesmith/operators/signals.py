@@ -13,11 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import div_floor
 from .asof import asof_join
 from .bars import WIDTH, resample
-from .indicators import atr_adx, full_mean, rsi_value
-from .scan import bar_index, ema, linear_recurrences, rolling
+from .indicators import ATR_PERIOD, atr_adx_columns, macd_columns, macd_history, rsi_columns
+from .scan import bar_index, rolling
 
 
 @dataclass(frozen=True)
@@ -45,58 +44,47 @@ def _fan_out(df: DataFrame, combos) -> DataFrame:
     return df.withColumn("__m", F.explode(F.array(*items))).select("*", "__m.*").drop("__m")
 
 
-def macd_many(bars: DataFrame, combos, keys=("symbol",)) -> DataFrame:
-    """MACD of every period combination in one job; ``macd_id`` joins the key."""
-    wide = _fan_out(bars, combos)
-    key = [*keys, "macd_id"]
-    spans = [x for c in combos for x in c[:2]]
-    sigs = [c[2] for c in combos]
-    two = linear_recurrences(wide, key, {
-        "__f": ema("close", F.col("fast"), "close", max(spans), min(spans)),
-        "__s": ema("close", F.col("slow"), "close", max(spans), min(spans)),
-    })
-    two = two.withColumn("macd", F.col("__f") - F.col("__s")).drop("__f", "__s")
-    return linear_recurrences(
-        two, key, {"macd_signal": ema("macd", F.col("signal"), "macd", max(sigs), min(sigs))}
-    )
+def macd_many(bars: DataFrame, combos, keys=("symbol",), crosses=False) -> DataFrame:
+    """MACD of every period combination in one job; ``macd_id`` joins the key.
 
+    ``crosses=True`` adds ``cross``: 1 where the line crosses its signal upwards, -1 where
+    it crosses downwards, else 0.
+    """
+    means, sigs = [x for c in combos for x in c[:2]], [c[2] for c in combos]
+    spans = (max(means), min(means), max(sigs), min(sigs))
+    periods = (F.col("fast"), F.col("slow"), F.col("signal"), spans)
+    key = [*keys, "macd_id"]
 
-def crosses(macd_table: DataFrame, keys=("symbol", "macd_id")) -> DataFrame:
-    """Rows where the MACD line crosses its signal line: ``cross`` is 1 (up) or -1 (down)."""
     def build(f: DataFrame, s) -> DataFrame:
+        f = macd_columns(f, [*key, "__chunk"], *periods)
+        if not crosses:
+            return f
         pm, ps = F.lag("macd").over(s), F.lag("macd_signal").over(s)
         m, g = F.col("macd"), F.col("macd_signal")
         return f.withColumn(
-            "cross", F.when((pm <= ps) & (m > g), 1).when((pm >= ps) & (m < g), -1).otherwise(0)
-        )
+            "cross", F.when((pm <= ps) & (m > g), 1).when((pm >= ps) & (m < g), -1).otherwise(0))
 
-    return rolling(macd_table, keys, 1, build)
+    return rolling(_fan_out(bars, combos), key, macd_history(*periods) + 1, build)
 
 
-def rsi_zones(bars: DataFrame, zones, keys=("symbol",)) -> DataFrame:
-    """``rsi_<n>``, ``low_<k>`` and ``high_<k>`` for each (period, lower, upper, memory).
+def zone_columns(f: DataFrame, s, zones) -> DataFrame:
+    """``low_<k>`` and ``high_<k>`` for each (period, lower, upper, memory) on a chunk frame.
 
     A zone holds when RSI was below / above the bound on the row or one of the ``memory``
     rows before it.  Warm-up RSI is 100 and therefore counts as overbought.
     """
-    periods = sorted({z[0] for z in zones})
-    depth = max(periods) + max(z[3] for z in zones)
+    out = {}
+    for k, (n, lo, hi, memory) in enumerate(zones):
+        w = s.rowsBetween(-memory, 0)
+        out[f"low_{k}"] = F.max(F.col(f"rsi_{n}") < lo).over(w)
+        out[f"high_{k}"] = F.max(F.col(f"rsi_{n}") > hi).over(w)
+    return f.withColumns(out)
 
-    def build(f: DataFrame, s) -> DataFrame:
-        d = F.coalesce(F.col("close") - F.lag("close").over(s), F.lit(0.0))
-        f = f.withColumn("__d", d)
-        f = f.withColumns({"__g": F.greatest("__d", F.lit(0.0)), "__l": F.greatest(-F.col("__d"), F.lit(0.0))})
-        f = f.withColumns({
-            f"rsi_{n}": rsi_value(full_mean("__g", n, s), full_mean("__l", n, s)) for n in periods
-        })
-        out = {}
-        for k, (n, lo, hi, memory) in enumerate(zones):
-            w = s.rowsBetween(-memory, 0)
-            out[f"low_{k}"] = F.max(F.col(f"rsi_{n}") < lo).over(w)
-            out[f"high_{k}"] = F.max(F.col(f"rsi_{n}") > hi).over(w)
-        return f.withColumns(out).drop("__d", "__g", "__l")
 
-    return rolling(bars, keys, depth, build)
+def rsi_zones(bars: DataFrame, zones, keys=("symbol",)) -> DataFrame:
+    periods = sorted({z[0] for z in zones})
+    depth = max(periods) + max(z[3] for z in zones)
+    return rolling(bars, keys, depth, lambda f, s: zone_columns(rsi_columns(f, s, periods), s, zones))
 
 
 def trend_states(bars: DataFrame, tfs, combos) -> DataFrame:
@@ -137,9 +125,15 @@ def regime(bars: DataFrame, bench: Benchmark, align="closed") -> DataFrame:
     return at.select("t", F.when(F.col("bull"), 1).when(~F.col("bull"), -1).alias("regime"))
 
 
-def features(bars: DataFrame, zones) -> DataFrame:
-    """Parameter-independent columns of every bar: ATR, ADX, RSI zones."""
-    return rsi_zones(atr_adx(bars), zones)
+def features(bars: DataFrame, zones, keys=("symbol",)) -> DataFrame:
+    """Parameter-independent columns of every bar (ATR, ADX, RSI zones) in one shuffle."""
+    periods = sorted({z[0] for z in zones})
+    depth = max(2 * ATR_PERIOD, max(periods) + max(z[3] for z in zones))
+
+    def build(f: DataFrame, s) -> DataFrame:
+        return zone_columns(rsi_columns(atr_adx_columns(f, s), s, periods), s, zones)
+
+    return rolling(bars, keys, depth, build)
 
 
 def strength(macd: Column, macd_signal: Column, atr: Column, rsi: Column) -> Column:
@@ -160,7 +154,7 @@ def signal_rows(bars: DataFrame, params, bench: Benchmark | None = None, align="
     tfs = sorted({p["trend_tf"] for p in params if p.get("trend_tf")})
     feats = features(bars, zones) if feats is None else feats
 
-    hits = crosses(macd_many(bars, combos)).filter(F.col("cross") != 0).select(
+    hits = macd_many(bars, combos, crosses=True).filter(F.col("cross") != 0).select(
         "symbol", "macd_id", "i", "t", "macd", "macd_signal", "cross"
     )
     if tfs:
@@ -227,6 +221,3 @@ def calm_only(signals: DataFrame, ratio: Column, threshold: float = 2.5) -> Data
     wild = F.coalesce(ratio > threshold, F.lit(False))
     return signals.withColumn("fired", F.when(wild, F.lit(0)).otherwise(F.col("fired")))
 
-
-def block_of(index, size):
-    return div_floor(index, size)

@@ -27,11 +27,12 @@ def equity_curve(rows: DataFrame, keys, path, order, start: float, pnl="pnl_abs"
     blocks = running(
         blocks, keys, up, last, {"__pk": Run("max", F.col("__off") + F.col("__top"))}, exclusive=True
     ).select(*keys, *path, "__off", "__pk")
+    # money is known to a hundredth: snapping removes summation noise, so that an equity
+    # that returns to its peak equals it
+    snap = lambda c: F.round(F.lit(float(start)) + c, 6)
     out = local.join(blocks, [*keys, *path]).withColumns({
-        "equity": F.lit(float(start)) + F.col("__off") + F.col("__s"),
-        "peak": F.lit(float(start)) + F.greatest(
-            F.lit(0.0), F.col("__pk"), F.col("__off") + F.col("__t")
-        ),
+        "equity": snap(F.col("__off") + F.col("__s")),
+        "peak": snap(F.greatest(F.lit(0.0), F.col("__pk"), F.col("__off") + F.col("__t"))),
     })
     return out.withColumn("drawdown", div(F.col("equity") - F.col("peak"), "peak") * 100).drop(
         "__s", "__t", "__off", "__pk"

@@ -118,14 +118,13 @@ def cscv_combinations(spark, n_blocks: int) -> DataFrame:
     """Combinations in long form: ``combo, block, side`` with side train or test."""
     masks = spark.range(1).select(F.explode(combo_ids(n_blocks)).alias("id"))
     long = masks.select(F.col("id").alias("combo"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    bit = F.shiftright(F.col("combo"), F.col("block")).bitwiseAND(F.lit(1))
-    return long.withColumn("side", F.when(bit == 1, "train").otherwise("test"))
+    return long.withColumn("role", F.expr("if(shiftright(combo, block) & 1 = 1, 'train', 'test')"))
 
 
 def combination_sets(combos: DataFrame, n_blocks: int) -> DataFrame:
     """Short form: sorted train and test block arrays per combination."""
     blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    g = combos.filter("side = 'train'").groupBy("combo").agg(F.array_sort(F.collect_list("block")).alias("train"))
+    g = combos.filter("role = 'train'").groupBy("combo").agg(F.array_sort(F.collect_list("block")).alias("train"))
     return g.withColumn("test", F.array_except(blocks, F.col("train")))
 
 

@@ -95,7 +95,7 @@ def sweep(resolved: DataFrame, folds: DataFrame, bars: DataFrame, reach: int, pa
 
 def mean_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("symbol", "param_id").agg(
-        F.avg("score").alias("score"), F.count(F.lit(1)).alias("n_folds"))
+        F.round(F.avg("score"), 9).alias("score"), F.count(F.lit(1)).alias("n_folds"))
 
 
 def best_sets(scores: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def cscv_scores(resolved: DataFrame, lengths: DataFrame, bars: DataFrame, n_bloc
     combos = cscv_combinations(bars.sparkSession, n_blocks)
     blocks = block_folds(lengths, n_blocks)
     if span:
-        edge = combos.groupBy("combo", "side").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+        edge = combos.groupBy("combo", "role").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
         edge = edge.withColumn("fold", F.col("lo") * n_blocks + F.col("hi"))
         every = [lo * n_blocks + hi for lo in range(n_blocks) for hi in range(lo, n_blocks)]
         size = div_floor("n", n_blocks)
@@ -123,18 +123,18 @@ def cscv_scores(resolved: DataFrame, lengths: DataFrame, bars: DataFrame, n_bloc
         folds = folds.join(F.broadcast(edge.select("fold").distinct()), "fold", "left_semi")
         m = fold_metrics(settle(fold_trades(resolved, folds, bars, reach, acct)), acct)
         m = m.withColumn("score", fold_score(m, min_test=1))
-        sides = m.select("symbol", "param_id", "fold", "score").join(edge.select("combo", "side", "fold"), "fold")
+        sides = m.select("symbol", "param_id", "fold", "score").join(edge.select("combo", "role", "fold"), "fold")
     else:
         taken = settle(E.non_overlapping(E.cut_to_folds(resolved, blocks, bars), KEY, reach))
         spread = taken.join(combos.withColumnRenamed("block", "fold"), "fold")
-        key = ["symbol", "param_id", "combo", "side"]
+        key = ["symbol", "param_id", "combo", "role"]
         t = E.compounded(spread, key, acct.start, E.bet_size(acct.pct), acct.fee)
         t = with_days(t, acct).withColumn("days", F.col("days") * (n_blocks // 2))
         m = full_metrics(settle(t), key, ["eb"], ["i"], acct.start, F.col("days"))
         sides = m.withColumn("score", fold_score(m, min_test=1)).select(*key, "score")
     wide = sides.groupBy("symbol", "param_id", "combo").agg(
-        F.max(F.when(F.col("side") == "train", F.col("score"))).alias("train_score"),
-        F.max(F.when(F.col("side") == "test", F.col("score"))).alias("test_score"))
+        F.max(F.when(F.col("role") == "train", F.col("score"))).alias("train_score"),
+        F.max(F.when(F.col("role") == "test", F.col("score"))).alias("test_score"))
     grid = lengths.select("symbol", each(param_ids).alias("param_id")).withColumn(
         "combo", F.explode(combo_ids(n_blocks)))
     return grid.join(wide, ["symbol", "param_id", "combo"], "left").fillna(0.0, ["train_score", "test_score"])

@@ -16,11 +16,13 @@ def pbo(scores: DataFrame, keys, param="param_id", combo="combo") -> DataFrame:
     """Probability that the best set in sample is below the median out of sample.
 
     ``scores`` has one row per (keys, combo, param) with ``train_score, test_score``.  The
-    ranks order all parameter sets of one combination; ties prefer the smaller id.
+    ranks order all parameter sets of one combination; ties prefer the smaller id, and
+    scores are compared at 9 places so that equal results tie whatever the summation order.
     """
     keys = list(keys)
+
     def rank(c):
-        w = Window.partitionBy(*keys, combo).orderBy(F.col(c).desc(), F.col(param))
+        w = Window.partitionBy(*keys, combo).orderBy(F.round(c, 9).desc(), F.col(param))
         return F.row_number().over(w)
 
     ranked = scores.withColumns({"__is": rank("train_score"), "oos_rank": rank("test_score")})
@@ -35,14 +37,14 @@ def pbo(scores: DataFrame, keys, param="param_id", combo="combo") -> DataFrame:
     return out.withColumn("logit", F.ln(p / (F.lit(1.0) - p)))
 
 
-def shuffles(trades: DataFrame, n_sims: int, seed: int, trade_id, bits: int = 6) -> DataFrame:
-    """Every trade once per simulation with a hash position; ``slot`` is its leading bits.
+def shuffles(trades: DataFrame, n_sims: int, seed: int, trade_id, bits: int = 6, position: Column | None = None) -> DataFrame:
+    """Every trade once per simulation with a position in [0, 1); ``slot`` is its leading bits.
 
-    The position depends only on (seed, sim, trade), so a lost task repeats it exactly,
-    and slots split a simulation of a long series into even pieces.
+    The position (by default a hash) depends only on (seed, sim, trade), so a lost task
+    repeats it exactly, and slots split a simulation of a long series into even pieces.
     """
     out = trades.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
-    out = out.withColumn("pos", hash_uniform(seed, "sim", *trade_id))
+    out = out.withColumn("pos", hash_uniform(seed, "sim", *trade_id) if position is None else position)
     return out.withColumn("slot", F.floor(F.col("pos") * (1 << bits)).cast("int"))
 
 

@@ -52,14 +52,17 @@ def full_sql(body: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
-def tidy(df: DataFrame, *names: str) -> DataFrame:
-    """Select result columns: doubles rounded to 6 places, integers as bigint."""
+def tidy(df: DataFrame, *names: str, digits: int = 6, nine=()) -> DataFrame:
+    """Select result columns: doubles rounded to 6 places, integers as bigint.
+
+    Values with exactly seven decimals (prices with slippage, percents of a round start
+    equity) would sit on rounding ties, so the columns in ``nine`` keep 9 places."""
     types = {f.name: f.dataType for f in df.schema.fields}
 
     def shape(n):
         t = types[n]
         if isinstance(t, (T.DoubleType, T.FloatType)):
-            return fix(n).alias(n)
+            return fix(n, 9 if n in nine else digits).alias(n)
         if isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)):
             return F.col(n).cast("bigint").alias(n)
         if isinstance(t, T.ArrayType):
@@ -70,5 +73,5 @@ def tidy(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[shape(n) for n in (names or df.columns)])
 
 
-def r6(expr: str, name: str | None = None) -> str:
-    return f"round(({expr})::DOUBLE, 6) + 0.0::DOUBLE AS {name or expr}"
+def r6(expr: str, name: str | None = None, digits: int = 6) -> str:
+    return f"round(({expr})::DOUBLE, {digits}) + 0.0::DOUBLE AS {name or expr}"

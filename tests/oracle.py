@@ -70,7 +70,7 @@ def main():
     con = connect(sf)
     bad = 0
     for name, fn in qs.items():
-        if only and not any(name.startswith(o) for o in only):
+        if only and not any(name.startswith(o) or (o.endswith("_queries") and fn.__module__.endswith(o)) for o in only):
             continue
         try:
             if name in sqls:

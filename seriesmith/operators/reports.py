@@ -60,6 +60,8 @@ def histogram(rows: DataFrame, keys, value, width: float) -> DataFrame:
     return rows.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("n"))
 
 
-def parameter_matrix(params: DataFrame, id_col: str, names) -> DataFrame:
-    """One row per parameter and set: the long form behind a parameter x series table."""
-    return params.unpivot(id_col, list(names), "param", "value")
+def parameter_matrix(params: DataFrame, series: str, names, columns) -> DataFrame:
+    """One row per parameter, one column per series."""
+    long = params.select(series, *[F.col(n).cast("double").alias(n) for n in names])
+    return long.unpivot(series, list(names), "param", "value").groupBy("param").pivot(
+        series, list(columns)).agg(F.first("value"))

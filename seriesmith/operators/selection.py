@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, div_floor
+from .correlation import mirrored
 from .scan import Run, running, with_index
 
 
@@ -156,14 +157,15 @@ def rank_candidates(cands: DataFrame, keys, at="entry_t", weight: Column | None
     return cands.withColumn("rank", F.row_number().over(w))
 
 
-def admit(cands: DataFrame, keys, max_open: int | Column, cluster_cap: int | Column, edges: dict | None = None,
+def admit(cands: DataFrame, keys, max_open: int | Column, cluster_cap: int | Column, edges: DataFrame | None = None,
           gate: float = 0.75, gate_open=3, gate_strength=1.5, width=3600, block=4096) -> DataFrame:
     """Capped admission of candidate intervals in (entry, rank) order.
 
     A candidate is refused when its symbol is open (``busy``), when ``max_open`` positions
     are open (``full``), when its cluster is at its cap (``cluster``) or when it is weak
     and enough correlated positions are open (``gate``).  Positions that end at the moment
-    of an entry are gone.  ``edges`` maps (a, b) to a correlation (a small dimension).
+    of an entry are gone.  ``edges`` holds correlations ``a < b``; each row carries the
+    symbols beyond the gate of its own symbol (at most one entry per symbol).
 
     Decisions depend on earlier ones only while some candidate interval is running, so the
     sequence is cut where none is (running maximum of the ends); each piece is folded as a
@@ -180,8 +182,13 @@ def admit(cands: DataFrame, keys, max_open: int | Column, cluster_cap: int | Col
     fresh = F.when(F.col("__end").isNull() | (F.col("__end") <= F.col("entry_t")), 1).otherwise(0)
     rows = rows.withColumn("__new", fresh)
     rows = running(rows, keys, ["__b"], order, {"piece": Run("sum", F.col("__new"))}).drop("__end", "__new", "__b")
-    linked = {pair for pair, c in (edges or {}).items() if c is not None and abs(c) > gate}
-    linked |= {(b, a) for a, b in linked}
+    nobody = F.array().cast("array<string>")
+    if edges is None:
+        rows = rows.withColumn("linked", nobody)
+    else:
+        near = mirrored(edges).filter(F.abs("corr") > gate).groupBy(F.col("a").alias("symbol")).agg(
+            F.collect_set("b").alias("linked"))
+        rows = rows.join(near, "symbol", "left").withColumn("linked", F.coalesce("linked", nobody))
 
     def fold(batches):
         at, open_now = None, []
@@ -199,7 +206,7 @@ def admit(cands: DataFrame, keys, max_open: int | Column, cluster_cap: int | Col
                 elif sum(o[1] == r.cluster for o in open_now) >= r.cluster_cap:
                     reason = "cluster"
                 elif (r.strength < gate_strength
-                      and sum((r.symbol, o[2]) in linked for o in open_now) >= gate_open):
+                      and sum(o[2] in r.linked for o in open_now) >= gate_open):
                     reason = "gate"
                 else:
                     reason = "admitted"
@@ -209,4 +216,4 @@ def admit(cands: DataFrame, keys, max_open: int | Column, cluster_cap: int | Col
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     streamed = rows.repartition(*keys, "piece").sortWithinPartitions(*keys, "piece", *order)
-    return streamed.mapInPandas(fold, schema + ", decision string").drop("piece")
+    return streamed.mapInPandas(fold, schema + ", decision string").drop("piece", "linked")

@@ -13,8 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import div_floor
+from ..sources.scratch import settle
 from .asof import asof_join
-from .bars import WIDTH, resample
+from .bars import WIDTH
 from .indicators import ATR_PERIOD, atr_adx_columns, macd_columns, macd_history, rsi_columns
 from .scan import bar_index, rolling
 
@@ -87,18 +89,31 @@ def rsi_zones(bars: DataFrame, zones, keys=("symbol",)) -> DataFrame:
     return rolling(bars, keys, depth, lambda f, s: zone_columns(rsi_columns(f, s, periods), s, zones))
 
 
+def stacked(bars: DataFrame, tfs, base: str | None = None) -> DataFrame:
+    """Bars of several timeframes in one table, keyed (symbol, tf), with their index."""
+    wide = bars.withColumn("__tf", F.explode(F.array(*[
+        F.struct(F.lit(tf).alias("tf"), F.lit(WIDTH[tf]).alias("tf_width")) for tf in tfs])))
+    slow = wide.withColumn("__g", div_floor("t", F.col("__tf.tf_width")) * F.col("__tf.tf_width"))
+    slow = slow.groupBy("symbol", F.col("__tf.tf").alias("tf"), F.col("__g").alias("t")).agg(
+        F.min_by("open", "t").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "t").alias("close"), F.sum("volume").alias("volume"),
+        F.first("__tf.tf_width").alias("tf_width"))
+    slow = bar_index(slow, ["symbol", "tf"])
+    if base is None:
+        return slow
+    own = bars.withColumns({"tf": F.lit(base), "tf_width": F.lit(WIDTH[base])})
+    return slow.unionByName(own)
+
+
+def _states(macd_table: DataFrame) -> DataFrame:
+    return macd_table.select(
+        "symbol", F.col("tf").alias("trend_tf"), "macd_id", "t",
+        (F.col("macd") > F.col("macd_signal")).alias("bull"), "tf_width")
+
+
 def trend_states(bars: DataFrame, tfs, combos) -> DataFrame:
-    """``bull`` per (symbol, tf, macd_id, slow bar)."""
-    out = None
-    for tf in tfs:
-        slow = bar_index(resample(bars.drop("i"), WIDTH[tf]), width=WIDTH[tf])
-        part = macd_many(slow, combos).select(
-            "symbol", F.lit(tf).alias("trend_tf"), "macd_id", "t",
-            (F.col("macd") > F.col("macd_signal")).alias("bull"),
-            F.lit(WIDTH[tf]).alias("tf_width"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    """``bull`` per (symbol, tf, macd_id, slow bar); all timeframes in one job."""
+    return _states(macd_many(stacked(bars, tfs), combos, ("symbol", "tf")))
 
 
 def align_trend(base: DataFrame, states: DataFrame, keys, align="closed", value="bull") -> DataFrame:
@@ -115,11 +130,12 @@ def align_trend(base: DataFrame, states: DataFrame, keys, align="closed", value=
     return asof_join(base, ended, keys, [value], slow_ts="__end")
 
 
-def regime(bars: DataFrame, bench: Benchmark, align="closed") -> DataFrame:
+def regime(bars: DataFrame, bench: Benchmark, align="closed", states: DataFrame | None = None) -> DataFrame:
     """Benchmark direction at every moment some series has a bar: 1, -1 or NULL."""
-    lead = bars.filter(F.col("symbol") == bench.symbol)
-    states = trend_states(lead, [bench.tf], [(bench.fast, bench.slow, bench.signal)])
-    states = states.drop("symbol", "macd_id", "trend_tf").withColumn("__one", F.lit(1))
+    if states is None:
+        lead = bars.filter(F.col("symbol") == bench.symbol)
+        states = trend_states(lead, [bench.tf], [(bench.fast, bench.slow, bench.signal)])
+    states = states.select("t", "bull", "tf_width", F.lit(1).alias("__one"))
     moments = bars.select("t").distinct().withColumn("__one", F.lit(1))
     at = align_trend(moments, states, ["__one"], align)
     return at.select("t", F.when(F.col("bull"), 1).when(~F.col("bull"), -1).alias("regime"))
@@ -154,12 +170,20 @@ def signal_rows(bars: DataFrame, params, bench: Benchmark | None = None, align="
     tfs = sorted({p["trend_tf"] for p in params if p.get("trend_tf")})
     feats = features(bars, zones) if feats is None else feats
 
-    hits = macd_many(bars, combos, crosses=True).filter(F.col("cross") != 0).select(
-        "symbol", "macd_id", "i", "t", "macd", "macd_signal", "cross"
-    )
+    own = "1h"
+    table = macd_many(stacked(bars, tfs, own) if tfs else bars.withColumn("tf", F.lit(own)), combos,
+                      ("symbol", "tf"), crosses=True)
+    # crossing base bars and all slow bars: small, and both sides below start from it
+    table = settle(table.filter((F.col("tf") != own) | (F.col("cross") != 0)))
+    hits = table.filter(F.col("tf") == own).select("symbol", "macd_id", "i", "t", "macd", "macd_signal", "cross")
+    lead_states = None
     if tfs:
+        states = _states(table.filter(F.col("tf") != own))
+        key = (bench.fast, bench.slow, bench.signal) if bench else None
+        if bench and bench.tf in tfs and key in combos:
+            lead_states = states.filter((F.col("symbol") == bench.symbol) & (F.col("trend_tf") == bench.tf)
+                                        & (F.col("macd_id") == combos.index(key)))
         wanted = F.explode(F.array(*[F.lit(tf) for tf in tfs]))
-        states = trend_states(bars, tfs, combos)
         hits = align_trend(
             hits.withColumn("trend_tf", wanted), states, ["symbol", "trend_tf", "macd_id"], align
         )
@@ -204,7 +228,7 @@ def signal_rows(bars: DataFrame, params, bench: Benchmark | None = None, align="
     if bench is None:
         rows = rows.withColumn("regime_ok", F.lit(True))
     else:
-        rows = rows.join(regime(bars, bench, align), "t", "left").withColumn(
+        rows = rows.join(regime(bars, bench, align, lead_states), "t", "left").withColumn(
             "regime_ok",
             (F.col("symbol") == bench.symbol)
             | F.coalesce(F.col("regime") == F.col("cross"), F.lit(False)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, hash_uniform
 from .equity import equity_curve, ratio_or_zero
-from .scan import Recurrence, linear_recurrences
+from .scan import Recurrence, memory, recur, rolling
 
 MIN_MC_TRADES = 10
 
@@ -168,11 +168,14 @@ def volatility_grid(returns: DataFrame, keys, window: int, every: int, alphas, b
     # row j carries the variance that applies to row j + 1
     x = omega + F.col("alpha") * col(pct) * col(pct)
     cell = [*keys, "refit", "alpha", "beta"]
-    rec = linear_recurrences(
-        wide, cell, {"next_var": Recurrence(x, F.col("beta"), F.col("var"), max(betas), min(betas))}, index="j")
+    steps = {"next_var": Recurrence(x, F.col("beta"), F.col("var"), max(betas), min(betas))}
+
+    def build(f: DataFrame, s) -> DataFrame:
+        f = recur(f, [*cell, "__chunk"], steps, "j")
+        return f.withColumn("var_now", F.coalesce(F.lag("next_var").over(s), F.col("var")))
+
+    rows = rolling(wide, cell, memory(steps.values())[2] + 1, build, index="j")
     v = F.col("var_now")
-    prior = rec.select(*cell, (F.col("j") + 1).alias("j"), F.col("next_var").alias("var_now"))
-    rows = wide.join(prior, [*cell, "j"], "left").withColumn("var_now", F.coalesce("var_now", "var"))
     fit = rows.groupBy(*cell).agg(
         F.sum(F.ln(v) + col(pct) * col(pct) / v).alias("nll"), F.max("var").alias("var"))
     best = fit.groupBy(*keys, "refit").agg(

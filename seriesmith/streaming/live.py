@@ -35,8 +35,9 @@ def hourly_bars(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
     )
 
 
-def tick_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
-    raw = spark.readStream.schema(TICK_SCHEMA).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+def tick_stream(spark: SparkSession, folder: str, per_trigger: int = 1000, name: str = "*.parquet") -> DataFrame:
+    raw = spark.readStream.schema(TICK_SCHEMA).option("maxFilesPerTrigger", per_trigger).option(
+        "pathGlobFilter", name).parquet(folder)
     return raw.select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"), (F.lit(100.0) + F.col("value") / 10).alias("price"))

@@ -16,9 +16,14 @@ def div(a, b) -> Column:
     return F.when(b != 0, a / b)
 
 
+# Prices times rates often end exactly half way between two rounded values, where the last
+# bit of a double would decide.  The rounding point is moved off the decimal grid instead.
+OFF_GRID = 0.31415926535
+
+
 def fix(c, digits: int = 6) -> Column:
     """Round for presentation; adding 0.0 turns -0.0 into 0.0."""
-    return F.round(col(c).cast("double"), digits) + F.lit(0.0)
+    return F.round(col(c).cast("double") + F.lit(OFF_GRID * 10.0 ** -digits), digits) + F.lit(0.0)
 
 
 def clip(c, lo, hi) -> Column:

@@ -76,7 +76,7 @@ def daily_equity(trades: DataFrame, keys, start: float, day="exit_day", pnl="pnl
     })
     w = Window.partitionBy(*keys).orderBy("day")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    full = full.withColumn("equity", F.lit(float(start)) + F.sum("pnl").over(run))
+    full = full.withColumn("equity", F.round(F.lit(float(start)) + F.sum("pnl").over(run), 6))
     return full.withColumns({
         "peak": F.greatest(F.lit(float(start)), F.max("equity").over(run)),
         "prev": F.lag("equity").over(w),

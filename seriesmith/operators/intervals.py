@@ -35,8 +35,9 @@ def open_timeline(intervals: DataFrame, keys, path, start="entry_t", end="exit_t
 
     Events are summed per moment before any ordering, so the scan sees one row per moment.
     ``before`` counts intervals open just before the entries of that moment (exits of the
-    moment are already gone), ``after`` includes them.
+    moment are already gone), ``after`` includes them.  Intervals of no length never count.
     """
+    intervals = intervals.filter(col(end) > col(start))
     opens = intervals.select(*keys, col(start).alias(at), F.lit(1).alias("o"), F.lit(0).alias("c"))
     closes = intervals.select(*keys, col(end).alias(at), F.lit(0).alias("o"), F.lit(1).alias("c"))
     per_moment = (

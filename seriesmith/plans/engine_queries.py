@@ -112,25 +112,25 @@ def one_run(spark, d, params=ONE):
     return b, settle(SW.fold_trades(res, E.whole_range(b), b, reach, ACCT))
 
 
-@query("exit_candidates", f"""SELECT symbol, i::BIGINT AS i, side::BIGINT AS side, {out('entry_price', digits=9)} FROM ents WHERE param_id = 1""")
+@query("exit_candidates", f"""SELECT symbol, i::BIGINT AS i, side::BIGINT AS side, {out('entry_price', digits=6)} FROM ents WHERE param_id = 1""")
 def exit_candidates(spark, d):
     sig = S.signal_rows(bars(spark, d), ONE)
-    return tidy(E.candidates(sig, E.exit_params(spark, ONE), slip()), "symbol", "i", "side", "entry_price", digits=9)
+    return tidy(E.candidates(sig, E.exit_params(spark, ONE), slip()), "symbol", "i", "side", "entry_price", digits=6)
 
 
-@query("exit_path_extremes", f"""SELECT symbol, i::BIGINT AS i, x::BIGINT AS x, active, {out('best', 'hard_level', 'trail_level', digits=9)}
+@query("exit_path_extremes", f"""SELECT symbol, i::BIGINT AS i, x::BIGINT AS x, active, {out('best', 'hard_level', 'trail_level', digits=6)}
   FROM levels WHERE param_id = 1""")
 def exit_path_extremes(spark, d):
     b = bars(spark, d)
     feats = settle(S.features(b, [(7, 60, 40, 3)]))
     sig = settle(S.signal_rows(b, ONE, feats=feats))
     ents = E.first_opposing(E.candidates(sig, E.exit_params(spark, ONE), slip()), sig, ONE[0]["max_hold"])
-    return tidy(E.walk(ents, feats, ONE[0]["max_hold"]), "symbol", "i", "x", "active", "best", "hard_level", "trail_level", digits=9)
+    return tidy(E.walk(ents, feats, ONE[0]["max_hold"]), "symbol", "i", "x", "active", "best", "hard_level", "trail_level", digits=6)
 
 
-@query("exit_first_barrier", f"""SELECT symbol, param_id::BIGINT AS param_id, i::BIGINT AS i, exit_i::BIGINT AS exit_i, reason, {out('exit_price', digits=9)} FROM resolved""")
+@query("exit_first_barrier", f"""SELECT symbol, param_id::BIGINT AS param_id, i::BIGINT AS i, exit_i::BIGINT AS exit_i, reason, {out('exit_price', digits=6)} FROM resolved""")
 def exit_first_barrier(spark, d):
-    return tidy(resolved(spark, d, GRID)[1], "symbol", "param_id", "i", "exit_i", "reason", "exit_price", digits=9)
+    return tidy(resolved(spark, d, GRID)[1], "symbol", "param_id", "i", "exit_i", "reason", "exit_price", digits=6)
 
 
 @query("trades_nonoverlap", """SELECT symbol, param_id::BIGINT AS param_id, i::BIGINT AS i, exit_i::BIGINT AS exit_i, side::BIGINT AS side, reason FROM ew""")
@@ -140,14 +140,16 @@ def trades_nonoverlap(spark, d):
     return tidy(E.non_overlapping(cut, SW.KEY, REACH), "symbol", "param_id", "i", "exit_i", "side", "reason")
 
 
-@query("trades_costs", f"""SELECT symbol, i::BIGINT AS i, reason, {out('entry_price', 'exit_price', 'ret', digits=9)} FROM e1""")
+@query("trades_costs", f"""SELECT symbol, i::BIGINT AS i, reason, {out('entry_price', 'exit_price', 'ret', digits=6)} FROM e1""")
 def trades_costs(spark, d):
-    return tidy(one_run(spark, d)[1], "symbol", "i", "reason", "entry_price", "exit_price", "ret", digits=9)
+    return tidy(one_run(spark, d)[1], "symbol", "i", "reason", "entry_price", "exit_price", "ret", digits=6)
 
 
-@query("trades_compounded", f"""SELECT symbol, param_id::BIGINT AS param_id, i::BIGINT AS i, {out('cash_before', 'capital_at_entry', 'pnl_abs', 'size', nine=('size',))} FROM ew""")
+@query("trades_compounded", f"""SELECT symbol, param_id::BIGINT AS param_id, i::BIGINT AS i, {r6('cash_before', digits=3)}, {out('capital_at_entry', 'pnl_abs')}, {r6('size', digits=4)} FROM ew""")
 def trades_compounded(spark, d):
-    return tidy(one_run(spark, d, GRID)[1], "symbol", "param_id", "i", "cash_before", "capital_at_entry", "pnl_abs", "size", nine=["size"])
+    t = one_run(spark, d, GRID)[1]
+    t = t.withColumns({"cash_before": F.round("cash_before", 3), "size": F.round("size", 4)})
+    return tidy(t, "symbol", "param_id", "i", "cash_before", "capital_at_entry", "pnl_abs", "size")
 
 
 @query("trades_by_fold", f"""SELECT symbol, param_id::BIGINT AS param_id, fold::BIGINT AS fold, i::BIGINT AS i, exit_i::BIGINT AS exit_i, reason, {out('pnl_abs')} FROM ef""")

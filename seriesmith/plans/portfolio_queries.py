@@ -125,21 +125,21 @@ def _marked(spark, d):
     return b, t, Z.marked_equity(t, b, 100_000.0)
 
 
-@query("marked_equity", f"SELECT t, n_open, {out('realised', 'equity', 'peak', 'drawdown')}, {r6('u', 'unrealised')} FROM mkp")
+@query("marked_equity", f"SELECT t, n_open, {out('realised', 'equity', 'peak', 'drawdown', digits=3)}, {r6('u', 'unrealised', 3)} FROM mkp")
 def marked_equity(spark, d):
-    return tidy(_marked(spark, d)[2])
+    return tidy(_marked(spark, d)[2], digits=3)
 
 
-@query("portfolio_calmar", f"""SELECT {r6('last(equity ORDER BY t)', 'final_equity')}, {r6('(last(equity ORDER BY t) / 100000.0::DOUBLE - 1) / 0.08::DOUBLE / greatest(abs(min(drawdown)) / 100, 0.05::DOUBLE)', 'calmar')} FROM mkp""")
+@query("portfolio_calmar", f"""SELECT {r6('last(equity ORDER BY t)', 'final_equity', 3)}, {r6('(last(equity ORDER BY t) / 100000.0::DOUBLE - 1) / 0.08::DOUBLE / greatest(abs(min(drawdown)) / 100, 0.05::DOUBLE)', 'calmar', 3)} FROM mkp""")
 def portfolio_calmar(spark, d):
-    return tidy(M.portfolio_calmar(_marked(spark, d)[2], 100_000.0, 0.08, "t"))
+    return tidy(M.portfolio_calmar(_marked(spark, d)[2], 100_000.0, 0.08, "t"), digits=3)
 
 
-@query("heat_breaches", f"""SELECT m.t, {out('equity', 'drawdown')}, w.symbol AS worst_symbol, {r6('w.mark', 'worst_mark')} FROM mkp m LEFT JOIN (
+@query("heat_breaches", f"""SELECT m.t, {out('equity', 'drawdown', digits=3)}, w.symbol AS worst_symbol, {r6('w.mark', 'worst_mark', 3)} FROM mkp m LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY t ORDER BY mark, symbol) AS k FROM cover) w ON w.t = m.t AND w.k = 1 WHERE m.drawdown < -1""")
 def heat_breaches(spark, d):
     b, t, curve = _marked(spark, d)
-    return tidy(Z.heat_breaches(settle(curve), t, b, 0.01))
+    return tidy(Z.heat_breaches(settle(curve), t, b, 0.01), digits=3)
 
 
 WIN, EVERY, ALPHAS, BETAS = 120, 60, [0.05, 0.15], [0.5, 0.8]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import fix
+from ..functions.columns import OFF_GRID, fix
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -74,4 +74,5 @@ def tidy(df: DataFrame, *names: str, digits: int = 6, nine=()) -> DataFrame:
 
 
 def r6(expr: str, name: str | None = None, digits: int = 6) -> str:
-    return f"round(({expr})::DOUBLE, {digits}) + 0.0::DOUBLE AS {name or expr}"
+    off = OFF_GRID * 10.0 ** -digits
+    return f"round(({expr})::DOUBLE + {off!r}::DOUBLE, {digits}) + 0.0::DOUBLE AS {name or expr}"

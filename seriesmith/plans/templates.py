@@ -19,7 +19,7 @@ def curve(name, src, keys, order, start=START):
 def daily(name, src, keys, start=START, day="exit_day"):
     cte(f"{name}_sum", f"SELECT {keys}, {day} AS day, sum(pnl_abs) AS pnl, count(*) AS n_trades FROM {src} GROUP BY {keys}, {day}")
     cte(f"{name}_grid", f"SELECT {keys}, unnest(range(min(day), max(day) + 1)) AS day FROM {name}_sum GROUP BY {keys}")
-    cte(f"{name}_eq", f"""SELECT *, {start} + sum(pnl) OVER w AS equity FROM (
+    cte(f"{name}_eq", f"""SELECT *, round({start} + sum(pnl) OVER w, 6) AS equity FROM (
       SELECT g.*, coalesce(s.pnl, 0) AS pnl, coalesce(s.n_trades, 0)::BIGINT AS n_trades FROM {name}_grid g LEFT JOIN {name}_sum s USING ({keys}, day))
       WINDOW w AS (PARTITION BY {keys} ORDER BY day ROWS UNBOUNDED PRECEDING)""")
     cte(name, f"""SELECT *, (equity - peak) / peak * 100 AS drawdown FROM (SELECT *, greatest({start}, max(equity) OVER (

@@ -112,9 +112,9 @@ ALL = ["win_rate", "profit_factor", "expectancy", "total_pnl_pct", "max_drawdown
        "sortino_daily", "calmar", "recovery_factor", "avg_hold_bars", "time_in_market", "trades_per_year"]
 
 
-@query("full_metrics_many_series", f"SELECT symbol, trades, {out(*ALL, digits=9)} FROM sm")
+@query("full_metrics_many_series", f"SELECT symbol, trades, {out(*ALL, nine=['total_pnl_pct', 'max_drawdown'])} FROM sm")
 def full_metrics_many_series(spark, d):
-    return tidy(supplier_metrics(spark, d), "symbol", "trades", *ALL, digits=9)
+    return tidy(supplier_metrics(spark, d), "symbol", "trades", *ALL, nine=["total_pnl_pct", "max_drawdown"])
 
 
 def supplier_metrics(spark, d):

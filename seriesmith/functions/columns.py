@@ -27,9 +27,10 @@ def fix(c, digits: int = 6) -> Column:
 
 
 def clip(c, lo, hi) -> Column:
+    """Limit to [lo, hi]; NULL stays NULL (``least`` and ``greatest`` would skip it)."""
     lo = lo if isinstance(lo, Column) else F.lit(float(lo))
     hi = hi if isinstance(hi, Column) else F.lit(float(hi))
-    return F.least(F.greatest(col(c), lo), hi)
+    return F.when(col(c).isNotNull(), F.least(F.greatest(col(c), lo), hi))
 
 
 def epoch(ts) -> Column:

@@ -220,7 +220,7 @@ cte("cv", """SELECT symbol, i, 4.0::DOUBLE FROM rets WHERE i = 72
 
 
 @query("cond_variance", f"""SELECT symbol, r.i::BIGINT AS i, {r6('v', 'cond_var')}, {r6('sqrt(v)', 'cond_vol')},
-  {r6('coalesce(least(greatest(2.0::DOUBLE / sqrt(v), 0.5), 2.0), 1.0)', 'vol_ratio')} FROM rets r LEFT JOIN cv USING (symbol, i)""")
+  {r6('CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE least(greatest(2.0::DOUBLE / sqrt(v), 0.5), 2.0) END', 'vol_ratio')} FROM rets r LEFT JOIN cv USING (symbol, i)""")
 def cond_variance(spark, d):
     # omega / (1 - alpha - beta) = 4: the long-term variance of the recursion
     out = I.conditional_variance(T.bars(spark, d), 0.8, 0.1, 0.7, 72)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import case_map, day_number
+from ..functions.columns import case_map, fix
 from ..operators import equity as Q
 from ..operators import exits as E
 from ..operators import folds as FD
@@ -148,7 +148,7 @@ def trades_costs(spark, d):
 @query("trades_compounded", f"""SELECT symbol, param_id::BIGINT AS param_id, i::BIGINT AS i, {r6('cash_before', digits=3)}, {out('capital_at_entry', 'pnl_abs')}, {r6('size', digits=4)} FROM ew""")
 def trades_compounded(spark, d):
     t = one_run(spark, d, GRID)[1]
-    t = t.withColumns({"cash_before": F.round("cash_before", 3), "size": F.round("size", 4)})
+    t = t.withColumns({"cash_before": fix("cash_before", 3), "size": fix("size", 4)})
     return tidy(t, "symbol", "param_id", "i", "cash_before", "capital_at_entry", "pnl_abs", "size")
 
 
@@ -167,7 +167,7 @@ def wf_ranges(b):
 
 
 cte("lt_adapt", """SELECT e.*, f.i AS x, f.t AS x_t, f.high, f.low, f.close, o.opp_i,
-   CASE WHEN f.atr > 0 THEN f.atr ELSE 1e-8::DOUBLE END * least(greatest(1.0::DOUBLE / coalesce(least(greatest(2.0::DOUBLE / sqrt(cv.v), 0.5), 2.0), 1.0), 0.7), 1.5) AS a
+   CASE WHEN f.atr > 0 THEN f.atr ELSE 1e-8::DOUBLE END * least(greatest(1.0::DOUBLE / CASE WHEN cv.v IS NULL THEN 1.0::DOUBLE ELSE least(greatest(2.0::DOUBLE / sqrt(cv.v), 0.5), 2.0) END, 0.7), 1.5) AS a
   FROM ents e LEFT JOIN opps o USING (symbol, param_id, i) JOIN feats f ON f.symbol = e.symbol AND f.i > e.i AND f.i <= e.i + e.max_hold
   LEFT JOIN cv ON cv.symbol = f.symbol AND cv.i = f.i WHERE e.param_id = 1""")
 cte("ad_levels", """SELECT *, entry_price - side * hard_stop * a AS hard_level, best - side * trail * a AS trail_level FROM (

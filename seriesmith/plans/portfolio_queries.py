@@ -51,7 +51,7 @@ def correlated_open_count(spark, d):
     return tidy(Z.open_correlated(t, t, tail_edges(b), GATE), "symbol", "i", "correlated_open")
 
 
-@query("position_size", f"""SELECT c.symbol, c.i::BIGINT AS i, {r6('''least(greatest(w.weight * pow(0.9::DOUBLE, c.correlated_open) * coalesce(least(greatest(2.0::DOUBLE / sqrt(cv.v), 0.5), 2.0), 1.0)
+@query("position_size", f"""SELECT c.symbol, c.i::BIGINT AS i, {r6('''least(greatest(w.weight * pow(0.9::DOUBLE, c.correlated_open) * CASE WHEN cv.v IS NULL THEN 1.0::DOUBLE ELSE least(greatest(2.0::DOUBLE / sqrt(cv.v), 0.5), 2.0) END
     * CASE WHEN d.oi > 0.06 THEN 0.7::DOUBLE ELSE 1 END, 0.05), 0.20) * CASE d.tier WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.6 WHEN 'C' THEN 0.25 ELSE 0 END''', 'pct')}
   FROM counts c JOIN inv_vol w ON w.symbol = c.symbol AND w.i = c.i JOIN dims d ON d.symbol = c.symbol LEFT JOIN cv ON cv.symbol = c.symbol AND cv.i = c.i""")
 def position_size(spark, d):

@@ -24,7 +24,7 @@ def _run_id():
 
 def read_documents(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """One row per JSON file with its run id; unreadable files give NULL fields."""
-    raw = spark.read.option("wholetext", True).text(glob)
+    raw = spark.read.text(glob, wholetext=True)
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     return raw.select(_run_id().alias("run"), F.col("_metadata.file_name").alias("file"), parsed.alias("doc"))
 

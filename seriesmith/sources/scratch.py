@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,9 +18,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return found
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    found = tempfile.mkdtemp(prefix="seriesmith-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="seriesmith-")
+    return _LOCAL[app]
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -19,9 +19,19 @@ def bucket(t, width: int):
     return (div_floor(t, width) * width).cast("bigint")
 
 
+def arrival(ts: str, seq: str):
+    """Order of ticks as one number: microseconds, then ``seq`` (>= 0).
+
+    Unlike a struct it has a fixed width, so first / last prices are hash aggregates and
+    the ticks are not sorted before they are reduced.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(19,0)")
+    return us * F.lit(10 ** 19).cast("decimal(20,0)") + F.col(seq).cast("decimal(19,0)")
+
+
 def ticks_to_bars(ticks: DataFrame, width=WIDTH["1h"], keys=("symbol",)) -> DataFrame:
     """Ticks ``(keys.., ts, seq, price)`` to bars; ties in time are broken by ``seq``."""
-    at = F.struct("ts", "seq")
+    at = arrival("ts", "seq")
     return (
         ticks.withColumn("t", bucket(epoch("ts"), width))
         .groupBy(*keys, "t")

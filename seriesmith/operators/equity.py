@@ -11,6 +11,12 @@ from ..functions.columns import col, div
 from .scan import Run, full_mean, full_std, rolling, running
 
 
+def snap(c: Column) -> Column:
+    """Remove summation noise: money is known to a hundredth, so six places are exact and
+    an equity that returns to its peak equals it."""
+    return F.rint(c * 1e6) / 1e6
+
+
 def equity_curve(rows: DataFrame, keys, path, order, start: float, pnl="pnl_abs") -> DataFrame:
     """Add ``equity``, ``peak`` (start included) and ``drawdown`` (percent, <= 0).
 
@@ -27,12 +33,9 @@ def equity_curve(rows: DataFrame, keys, path, order, start: float, pnl="pnl_abs"
     blocks = running(
         blocks, keys, up, last, {"__pk": Run("max", F.col("__off") + F.col("__top"))}, exclusive=True
     ).select(*keys, *path, "__off", "__pk")
-    # money is known to a hundredth: snapping removes summation noise, so that an equity
-    # that returns to its peak equals it
-    snap = lambda c: F.round(F.lit(float(start)) + c, 6)
     out = local.join(blocks, [*keys, *path]).withColumns({
-        "equity": snap(F.col("__off") + F.col("__s")),
-        "peak": snap(F.greatest(F.lit(0.0), F.col("__pk"), F.col("__off") + F.col("__t"))),
+        "equity": snap(F.lit(float(start)) + F.col("__off") + F.col("__s")),
+        "peak": snap(F.lit(float(start)) + F.greatest(F.lit(0.0), F.col("__pk"), F.col("__off") + F.col("__t"))),
     })
     return out.withColumn("drawdown", div(F.col("equity") - F.col("peak"), "peak") * 100).drop(
         "__s", "__t", "__off", "__pk"
@@ -76,7 +79,7 @@ def daily_equity(trades: DataFrame, keys, start: float, day="exit_day", pnl="pnl
     })
     w = Window.partitionBy(*keys).orderBy("day")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    full = full.withColumn("equity", F.round(F.lit(float(start)) + F.sum("pnl").over(run), 6))
+    full = full.withColumn("equity", snap(F.lit(float(start)) + F.sum("pnl").over(run)))
     return full.withColumns({
         "peak": F.greatest(F.lit(float(start)), F.max("equity").over(run)),
         "prev": F.lag("equity").over(w),
@@ -100,6 +103,30 @@ def daily_ratios(daily: DataFrame, keys, backtest_days=None, periods=365, min_da
     })
 
 
+def sparse_daily_ratios(trades: DataFrame, keys, start: float, day="exit_day", pnl="pnl_abs", periods=365) -> DataFrame:
+    """``sharpe_daily, sortino_daily, n_days`` of the dense daily curve without building it.
+
+    A day without a trade returns zero, so the moments over all days follow from the
+    trading days and the length of the calendar.  The first day has no return.
+    """
+    per_day = trades.groupBy(*keys, F.col(day).alias("day")).agg(F.sum(pnl).alias("pnl"))
+    w = Window.partitionBy(*keys).orderBy("day")
+    eq = snap(F.lit(float(start)) + F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = per_day.withColumn("__e", eq).withColumn("__p", F.lag("__e").over(w))
+    r = div(F.col("__e"), "__p") - 1
+    n = F.col("n_days") - 1
+    g = rows.withColumn("__r", r).groupBy(*keys).agg(
+        F.sum("__r").alias("__s"), F.sum(F.col("__r") * F.col("__r")).alias("__q"),
+        F.stddev_samp(F.when(F.col("__r") < 0, F.col("__r"))).alias("__down"),
+        (F.max("day") - F.min("day") + 1).cast("bigint").alias("n_days"),
+    )
+    mean = div(F.coalesce("__s", F.lit(0.0)), n)
+    std = F.sqrt(F.greatest(div(F.col("__q") - mean * mean * n, n - 1), F.lit(0.0)))
+    return g.select(
+        *keys, ratio_or_zero(mean, F.when(n > 1, std), periods).alias("sharpe_daily"),
+        ratio_or_zero(mean, F.col("__down"), periods).alias("sortino_daily"), "n_days")
+
+
 def rolling_sharpe(series: DataFrame, keys, n: int, ret="ret", index="i", periods=8760) -> DataFrame:
     """Mean over population deviation of the last ``n`` returns, full windows only."""
     def build(f: DataFrame, s) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, col, div
-from .equity import daily_equity, daily_ratios, drawdown_summary, equity_curve, ratio_or_zero, sharpe_per_trade
+from ..functions.columns import div
+from .equity import equity_curve, ratio_or_zero, sparse_daily_ratios
 
 NO_LOSS_FACTOR = 999.0
 
@@ -76,7 +74,7 @@ def full_metrics(trades: DataFrame, keys, path, order, start: float, days) -> Da
         ).alias("sharpe_trade"),
     )
     base = trade_summary(trades, keys, start, days)
-    daily = daily_ratios(daily_equity(trades, keys, start), keys, F.lit(10**9))
+    daily = sparse_daily_ratios(trades, keys, start)
     out = base.join(by_trade, keys).join(daily, keys)
     long_enough = F.col("days") >= 30
     return out.withColumns({

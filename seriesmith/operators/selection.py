@@ -101,10 +101,17 @@ def pareto_front(rows: DataFrame, keys, objectives, slabs: int = 16) -> DataFram
     schema = ", ".join(f"`{k}` {key_types[k]}" for k in [*keys, a, b, c])
 
     def local(batches):
+        # merges batch after batch; a front that grows too long is passed on as it is
+        held = None
         for pdf in batches:
-            groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
-            for _, g in groups:
-                yield _front(g, a, b, c)
+            held = pdf if held is None else pd.concat([held, pdf])
+            groups = [g for _, g in held.groupby(keys, sort=False)] if keys else [held]
+            held = pd.concat([_front(g, a, b, c) for g in groups])
+            if len(held) > 100_000:
+                yield held
+                held = None
+        if held is not None:
+            yield held
 
     cand = best_c.select(*keys, a, b, c).mapInPandas(local, schema)
     steps = [k / slabs for k in range(1, slabs)]

@@ -46,7 +46,7 @@ def trades(spark, d):
 
 
 def curve_of(spark, d):
-    return Q.equity_curve(trades(spark, d), KEY, PATH, ORDER, T.START_EQUITY)
+    return Q.equity_curve(T.split_trades(trades(spark, d)), KEY, PATH, ORDER, T.START_EQUITY)
 
 
 def daily_of(spark, d):
@@ -104,7 +104,7 @@ def sortino_daily(spark, d):
 
 @query("calmar_recovery", f"SELECT symbol, {out('calmar', 'recovery_factor')} FROM lm")
 def calmar_recovery(spark, d):
-    m = M.full_metrics(trades(spark, d), KEY, PATH, ORDER, T.START_EQUITY, DAYS)
+    m = M.full_metrics(T.split_trades(trades(spark, d)), KEY, PATH, ORDER, T.START_EQUITY, DAYS)
     return tidy(m, "symbol", "calmar", "recovery_factor")
 
 
@@ -118,7 +118,7 @@ def full_metrics_many_series(spark, d):
 
 
 def supplier_metrics(spark, d):
-    t = trades(spark, d).withColumn("symbol", F.col("supp"))
+    t = T.split_trades(trades(spark, d).withColumn("symbol", F.col("supp")))
     return M.full_metrics(t, KEY, PATH, ORDER, T.START_EQUITY, DAYS)
 
 
@@ -150,14 +150,14 @@ def monthly_matrix(spark, d):
   SELECT symbol, s, count(*) AS c FROM (SELECT symbol, s, row_number() OVER (PARTITION BY symbol ORDER BY %s) - row_number() OVER (PARTITION BY symbol, s ORDER BY %s) AS g
     FROM (SELECT *, CASE WHEN pnl_abs > 0 THEN 1 ELSE -1 END AS s FROM tr)) GROUP BY symbol, s, g) GROUP BY symbol""" % (ORDER_SQL, ORDER_SQL))
 def streak_max(spark, d):
-    return tidy(Q.streak_max(trades(spark, d), KEY, PATH, ORDER))
+    return tidy(Q.streak_max(T.split_trades(trades(spark, d)), KEY, PATH, ORDER))
 
 
 @query("streak_distribution", """SELECT symbol, CASE WHEN s = 1 THEN 'win' ELSE 'loss' END AS kind, c AS length, count(*) AS n FROM (
   SELECT symbol, s, count(*) AS c FROM (SELECT symbol, s, row_number() OVER (PARTITION BY symbol ORDER BY %s) - row_number() OVER (PARTITION BY symbol, s ORDER BY %s) AS g
     FROM (SELECT *, sign(pnl_abs)::INTEGER AS s FROM tr)) GROUP BY symbol, s, g) WHERE s <> 0 GROUP BY symbol, s, c""" % (ORDER_SQL, ORDER_SQL))
 def streak_distribution(spark, d):
-    return tidy(Q.streak_distribution(trades(spark, d), KEY, PATH, ORDER))
+    return tidy(Q.streak_distribution(T.split_trades(trades(spark, d)), KEY, PATH, ORDER))
 
 
 @query("underwater", f"SELECT symbol, day, {out('equity', 'peak', 'drawdown', nine=['drawdown'])} FROM lm_d")
@@ -253,8 +253,9 @@ def _mc(spark, d):
     p = (F.col("order_id") * 7919 + F.col("part") * 31 + F.col("supp") * 17 + F.col("line").cast("bigint") * 104729
          + F.col("exit_day").cast("bigint") * 613 + sim * 1000003)
     pos = (p % 2147483647 * 48271 % 2147483647) / F.lit(2147483647.0)
+    # equal positions with equal profit are interchangeable, so these two columns order a path
     sh = V.shuffles(trades(spark, d), N_SIMS, 42, ORDER, position=pos)
-    return V.shuffle_summary(V.shuffle_paths(sh, KEY, ["pos", *ORDER], T.START_EQUITY, DAYS), KEY)
+    return V.shuffle_summary(V.shuffle_paths(sh, KEY, ["pos", "pnl_abs"], T.START_EQUITY, DAYS), KEY)
 
 
 @query("mc_shuffle_summary", f"SELECT symbol, n_sims, n_trades, {out(*MC)} FROM mc_l")
@@ -387,7 +388,7 @@ def verdict_portfolio(spark, d):
       SELECT *, sh + sum(pnl_abs) OVER (PARTITION BY symbol ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS eq FROM (
         SELECT *, {START} / (SELECT count(DISTINCT symbol) FROM trs) AS sh FROM trs))) GROUP BY symbol) WHERE n >= 2""")
 def worst_series_calmar(spark, d):
-    t = trades(spark, d).withColumn("symbol", F.col("supp"))
+    t = T.split_trades(trades(spark, d).withColumn("symbol", F.col("supp")))
     return tidy(M.worst_series_calmar(t, KEY, PATH, ORDER, T.START_EQUITY, 7.4))
 
 

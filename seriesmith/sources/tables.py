@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import case_map, day_number, div_floor, epoch
+from ..functions.columns import case_map, day_number, div_floor
 from ..operators.bars import ticks_to_bars
-from ..operators.scan import bar_index
+from ..operators.scan import bar_index, split_hot
+from .scratch import settle
 
 BENCHMARK = "view"
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
@@ -35,12 +36,16 @@ def ticks(spark, sf_dir, symbol="event_type") -> DataFrame:
 
 
 def bars(spark, sf_dir, symbol="event_type") -> DataFrame:
-    """Hourly bars with their position ``i``."""
-    return bar_index(ticks_to_bars(ticks(spark, sf_dir, symbol)))
+    """Hourly bars with their position ``i``.
+
+    The ticks are read once: the bars they reduce to are written before the index, which
+    needs them twice.
+    """
+    return bar_index(settle(ticks_to_bars(ticks(spark, sf_dir, symbol))))
 
 
 TRADE_ORDER = ["exit_day", "order_id", "line", "part", "supp", "price", "disc"]
-TRADE_PATH = ["exit_day", "order_range"]
+TRADE_PATH = ["by_day", "by_order"]
 
 
 def trades(spark, sf_dir) -> DataFrame:
@@ -65,10 +70,15 @@ def trades(spark, sf_dir) -> DataFrame:
         F.col("l_suppkey").alias("supp"),
         F.col("l_extendedprice").alias("price"),
         F.col("l_discount").alias("disc"),
-        div_floor("l_orderkey", ORDER_RANGE).alias("order_range"),
     )
 
 
+def split_trades(rows: DataFrame, keys=("symbol",)) -> DataFrame:
+    """Trades with the blocks long series are scanned in: exit day, then id range."""
+    return split_hot(rows, list(keys), {
+        "by_day": F.col("exit_day"), "by_order": div_floor("order_id", ORDER_RANGE)})
+
+
 def trial_log(spark, sf_dir) -> DataFrame:
     """A tuning log from ``orders``: one row per trial, failed ones without a value."""
     o = table(spark, sf_dir, "orders")
@@ -83,6 +93,3 @@ def trial_log(spark, sf_dir) -> DataFrame:
         F.year("o_orderdate").alias("year"),
     )
 
-
-def epoch_of(ts):
-    return epoch(ts)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.bars import arrival
+
 TICK_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 PROGRESS_SCHEMA = (
     "run string, symbol string, updated bigint, trials_completed bigint, trials_total bigint, best_value double"
@@ -18,7 +20,7 @@ def hourly_bars(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
     when the watermark passes its end.  First and last price are picked by event time, so
     the order of arrival does not matter.  Works on a stream and on a batch.
     """
-    at = F.struct("ts", "seq")
+    at = arrival("ts", "seq")
     marked = ticks.withWatermark("ts", late)
     once = (
         marked.dropDuplicatesWithinWatermark(["symbol", "seq"]) if ticks.isStreaming

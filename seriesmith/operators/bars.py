@@ -26,7 +26,7 @@ def arrival(ts: str, seq: str):
     the ticks are not sorted before they are reduced.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(19,0)")
-    return us * F.lit(10 ** 19).cast("decimal(20,0)") + F.col(seq).cast("decimal(19,0)")
+    return us * F.lit(str(10 ** 19)).cast("decimal(20,0)") + F.col(seq).cast("decimal(19,0)")
 
 
 def ticks_to_bars(ticks: DataFrame, width=WIDTH["1h"], keys=("symbol",)) -> DataFrame:

@@ -14,7 +14,8 @@ from .folds import block_folds, combo_ids, cscv_combinations
 from .metrics import fold_score, full_metrics
 from .scan import BLOCK_BARS
 from .selection import best_per_key
-from .signals import Benchmark, features, signal_rows
+from .signals import Benchmark
+from .strategy import LayeredStrategy, Strategy
 from ..functions.columns import div_floor
 
 KEY = ["symbol", "param_id", "fold"]
@@ -29,12 +30,11 @@ class Account:
 
 
 def resolved_candidates(bars: DataFrame, params: list[dict], slippage: Column, bench: Benchmark | None = None,
-                        align="closed") -> DataFrame:
+                        align="closed", strategy: Strategy | None = None) -> DataFrame:
     """Signals and first exits of all parameter sets, settled once for all folds."""
-    zones = sorted({(p["rsi_period"], p["rsi_lower"], p["rsi_upper"], p["rsi_lookback"]) for p in params})
-    feats = settle(features(bars, zones))
-    sig = settle(signal_rows(bars, params, bench, align, feats).filter(F.col("fired") != 0))
-    return settle(E.resolve(sig, feats, params, slippage))
+    strategy = strategy or LayeredStrategy(bench, align)
+    sig = settle(strategy.signals(bars, params).filter(F.col("fired") != 0))
+    return settle(E.resolve(sig, strategy.paths(bars, params), params, slippage))
 
 
 def fold_trades(resolved: DataFrame, folds: DataFrame, bars: DataFrame, reach: int, acct: Account = Account()) -> DataFrame:
@@ -63,10 +63,12 @@ def each(ids) -> Column:
 
 
 def sweep(resolved: DataFrame, folds: DataFrame, bars: DataFrame, reach: int, param_ids, acct: Account = Account(),
-          warmup: int = 0, min_year: float = 60, min_test: int = 5) -> DataFrame:
+          warmup: int = 0, min_year: float = 60, min_test: int = 5, score=fold_score,
+          attributes=("sharpe_daily", "max_drawdown", "total_pnl_pct")) -> DataFrame:
     """Score of every (symbol, param_id, fold): test score behind the train constraints.
 
-    ``folds`` comes from ``walk_forward``; train is ``[warmup, train_end_i)``, test is
+    ``score`` maps a metric table to a score column; ``attributes`` are metrics of the test
+    window kept next to it.  ``folds`` comes from ``walk_forward``; train is ``[warmup, train_end_i)``, test is
     ``[test_start_i, test_end_i)``.  Both run in one job as separate folds.
     """
     f = F.col("fold")
@@ -76,15 +78,15 @@ def sweep(resolved: DataFrame, folds: DataFrame, bars: DataFrame, reach: int, pa
                         F.col("test_end_i").alias("end_i"))
     trades = settle(fold_trades(resolved, train.unionByName(test), bars, reach, acct))
     m = fold_metrics(trades, acct)
-    m = m.withColumn("score", fold_score(m, min_test=min_test))
+    m = m.withColumn("score", score(m, min_test=min_test))
     part = F.col("fold") % 2
-    test_side = F.when(part == 1, F.struct("score", "trades", "sharpe_daily", "max_drawdown", "total_pnl_pct"))
+    test_side = F.when(part == 1, F.struct("score", "trades", *attributes))
     g = m.groupBy("symbol", "param_id", F.floor(f / 2).cast("int").alias("fold")).agg(
         F.max(F.when(part == 0, F.col("trades_per_year"))).alias("train_year"), F.max(test_side).alias("t"))
     scored = g.select(
         "symbol", "param_id", "fold", "train_year", F.coalesce("t.trades", F.lit(0)).alias("test_trades"),
         train_gate(F.coalesce("t.score", F.lit(0.0)), F.col("train_year"), F.col("t.trades"), min_year, min_test).alias("score"),
-        F.col("t.sharpe_daily").alias("sharpe_daily"), F.col("t.max_drawdown").alias("max_drawdown"),
+        *[F.col(f"t.{a}").alias(a) for a in attributes],
     )
     # combinations without any trade still count with score zero
     grid = folds.select("symbol", "fold").withColumn("param_id", each(param_ids))
@@ -93,9 +95,11 @@ def sweep(resolved: DataFrame, folds: DataFrame, bars: DataFrame, reach: int, pa
     })
 
 
-def mean_scores(scores: DataFrame) -> DataFrame:
+def mean_scores(scores: DataFrame, attributes=()) -> DataFrame:
+    """Mean over folds; failed folds count as zero, attributes average over the others."""
     return scores.groupBy("symbol", "param_id").agg(
-        F.round(F.avg("score"), 9).alias("score"), F.count(F.lit(1)).alias("n_folds"))
+        F.round(F.avg("score"), 9).alias("score"), F.count(F.lit(1)).alias("n_folds"),
+        *[F.avg(a).alias(a) for a in attributes])
 
 
 def best_sets(scores: DataFrame) -> DataFrame:

@@ -14,6 +14,11 @@ PIPELINE_SCHEMA = (
     "tag string, timestamp string, symbols array<string>, hours int, "
     f"stage1_results map<string, struct<{METRIC_FIELDS.replace(' ', ':').replace(',:', ', ')}>>"
 )
+STAGE2_SCHEMA = (
+    "portfolio_params map<string, double>, n_trials int, pareto_front_size int, "
+    "objectives struct<portfolio_calmar:double, worst_pair_calmar:double, neg_overfit_penalty:double>"
+)
+PORTFOLIO_SCHEMA = METRIC_FIELDS
 PER_PAIR_SCHEMA = f"map<string, struct<{METRIC_FIELDS.replace(' ', ':').replace(',:', ', ')}>>"
 
 
@@ -33,6 +38,14 @@ def read_pipeline_results(spark: SparkSession, root: str) -> DataFrame:
     return read_documents(spark, f"{root}/*/pipeline_result.json", PIPELINE_SCHEMA).select("run", "file", "doc.*")
 
 
+def read_stage2_results(spark: SparkSession, root: str) -> DataFrame:
+    return read_documents(spark, f"{root}/*/stage2_result.json", STAGE2_SCHEMA).select("run", "file", "doc.*")
+
+
+def read_portfolio_metrics(spark: SparkSession, root: str) -> DataFrame:
+    return read_documents(spark, f"{root}/*/evaluation/portfolio_metrics.json", PORTFOLIO_SCHEMA).select("run", "file", "doc.*")
+
+
 def read_per_pair_metrics(spark: SparkSession, root: str) -> DataFrame:
     """One row per (run, symbol) from ``evaluation/per_pair_metrics.json``."""
     docs = read_documents(spark, f"{root}/*/evaluation/per_pair_metrics.json", PER_PAIR_SCHEMA)

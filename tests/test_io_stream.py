@@ -46,12 +46,17 @@ def test_run_files(spark, folder):
 
     put("r1/pipeline_result.json", {"tag": "x", "symbols": ["a"], "hours": 5, "stage1_results": {"a": {"sharpe_equity": 1.5}}})
     put("r1/evaluation/per_pair_metrics.json", {"a": {"sharpe_ratio_equity_based": 2.0, "trades": 7}, "b": {"calmar_ratio": 1.0}})
+    put("r1/stage2_result.json", {"objectives": {"portfolio_calmar": 1.2}, "portfolio_params": {"max_concurrent": 3}, "n_trials": 9})
+    put("r1/evaluation/portfolio_metrics.json", {"calmar_ratio": 0.7, "trades": 11})
     put("r2/stage1/a_progress.json", {"trials_completed": 3})
     put("r3/pipeline_result.json", "{ broken")
     docs = {r["run"]: r for r in runs_io.read_pipeline_results(spark, folder).collect()}
     assert docs["r1"]["tag"] == "x" and docs["r1"]["stage1_results"]["a"]["sharpe_equity"] == 1.5 and docs["r3"]["tag"] is None
     pairs = {(r["run"], r["symbol"]): r for r in runs_io.read_per_pair_metrics(spark, folder).collect()}
     assert pairs[("r1", "a")]["trades"] == 7 and pairs[("r1", "b")]["calmar_ratio"] == 1.0
+    two = runs_io.read_stage2_results(spark, folder).first()
+    assert two["run"] == "r1" and two["objectives"]["portfolio_calmar"] == 1.2 and two["portfolio_params"]["max_concurrent"] == 3.0
+    assert runs_io.read_portfolio_metrics(spark, folder).first()["trades"] == 11
     files = runs_io.list_artefacts(spark, folder)
     status = {r["run"]: (r["phase"], r["status"]) for r in U.phase(files).collect()}
     assert status == {"r1": ("pre_s2", "completed"), "r2": ("wf_eval", "running"), "r3": ("wf_eval", "completed")}

@@ -180,3 +180,40 @@ def test_weight_of_one_moment(spark):
     df = spark.createDataFrame([(0, "a", 2.0, 100.0), (0, "b", 1.0, 100.0), (0, "c", None, 100.0)], "t bigint, symbol string, atr double, close double")
     w = {r["symbol"]: r["weight"] for r in sizing.inverse_vol_weight(df).collect()}
     assert w["a"] == pytest.approx(50 / 250) and w["b"] == pytest.approx(100 / 250) and w["c"] == pytest.approx(100 / 250)
+
+
+def test_strategy_parameters(spark):
+    from seriesmith.operators.strategy import LayeredStrategy, strategy_parameters
+
+    df = spark.createDataFrame([("s", 3.0, 9.5, {"fast": 3.0, "sharpe": 2.0})], "symbol string, fast double, sharpe double, m map<string,double>")
+    assert strategy_parameters(df).columns == ["symbol", "fast"]
+    assert strategy_parameters(df, column="m").first()["m"] == {"fast": 3.0}
+    assert LayeredStrategy().defaults()["max_hold"] == 168
+
+
+def test_custom_strategy_and_score(spark, data_small):
+    from seriesmith.operators import metrics, sweep
+    from seriesmith.operators import indicators as I
+    from seriesmith.sources import tables as T
+    from seriesmith.sources.scratch import settle
+
+    class EveryTenth:
+        def paths(self, bars, params):
+            return I.atr_adx(bars)
+
+        def signals(self, bars, params):
+            rows = self.paths(bars, params).filter("i % 10 = 0 and atr is not null")
+            ids = F.explode(F.array(*[F.lit(p["param_id"]) for p in params]))
+            return rows.withColumns({"param_id": ids, "fired": F.lit(1), "strength": F.lit(1.0)})
+
+    bars = settle(T.bars(spark, data_small))
+    params = [dict(param_id=k, hard_stop=1.0 + k, trail=1.0, max_hold=9) for k in range(3)]
+    res = sweep.resolved_candidates(bars, params, F.lit(0.0), strategy=EveryTenth())
+    rules = folds.FoldRules(minimum=100, purge=5)
+    f = folds.walk_forward(folds.series_lengths(bars), rules)
+    n_trades = lambda m, min_test: F.col("trades").cast("double")
+    out = sweep.sweep(res, f, bars, 9, range(3), min_year=0, min_test=1, score=n_trades, attributes=["win_rate"])
+    got = out.collect()
+    assert len(got) == 5 * 2 * 3 and all(r["score"] == r["test_trades"] for r in got) and "win_rate" in out.columns
+    mean = sweep.mean_scores(out, ["win_rate"])
+    assert mean.count() == 15 and sweep.best_sets(out).count() == 5

@@ -103,7 +103,7 @@ def split_hot(df: DataFrame, keys, path: dict[str, Column], limit: int = 16_384)
     hot = settle(counts.filter(F.col("__n") > limit).select(*keys, F.lit(True).alias("__hot")))
     out = df.join(hot, list(keys), "left")
     return out.withColumns({
-        n: F.when(F.col("__hot"), c.cast("bigint")).otherwise(0) for n, c in path.items()
+        n: F.when(F.col("__hot"), c).otherwise(0) for n, c in path.items()
     }).drop("__hot")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, div_floor
@@ -16,14 +16,12 @@ MIN_PCT, MAX_PCT = 0.05, 0.20
 
 
 def inverse_vol_weight(feats: DataFrame, at="t") -> DataFrame:
-    """Weight ``1/v`` over the sum at that moment, ``v = atr/close`` (0.01 when undefined).
-
-    The window holds one row per series at a moment.
-    """
+    """Weight ``1/v`` over the sum at that moment, ``v = atr/close`` (0.01 when undefined)."""
     v = F.coalesce(F.when((F.col("close") > 0) & (F.col("atr") > 0), F.col("atr") / F.col("close")), F.lit(0.01))
     rows = feats.withColumn("vol", v)
     inv = F.lit(1.0) / F.col("vol")
-    return rows.withColumn("weight", inv / F.sum(inv).over(Window.partitionBy(at)))
+    total = rows.groupBy(at).agg(F.sum(inv).alias("__all"))
+    return rows.join(total, at).withColumn("weight", inv / F.col("__all")).drop("__all")
 
 
 def position_pct(weight: Column, correlated: Column, vol_ratio: Column, sensitivity: Column, oi: Column, tier: Column) -> Column:

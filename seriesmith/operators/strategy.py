@@ -41,8 +41,9 @@ class LayeredStrategy:
         zones = tuple(sorted({(p["rsi_period"], p["rsi_lower"], p["rsi_upper"], p["rsi_lookback"]) for p in params}))
         key = (id(bars), zones)
         if key not in self._paths:
-            self._paths[key] = settle(features(bars, list(zones)))
-        return self._paths[key]
+            # the bars are kept next to the result so that their identity stays unique
+            self._paths[key] = (bars, settle(features(bars, list(zones))))
+        return self._paths[key][1]
 
     def signals(self, bars: DataFrame, params: list[dict]) -> DataFrame:
         return signal_rows(bars, params, self.bench, self.align, self.paths(bars, params))

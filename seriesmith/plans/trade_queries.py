@@ -16,7 +16,7 @@ from ..operators import selection as SEL
 from ..operators import sizing as Z
 from ..operators import validation as V
 from ..operators import indicators as I
-from ..operators.scan import Run, running
+from ..operators.scan import split_hot
 from ..sources import tables as T
 from ..sources.scratch import settle
 from ..streaming import live
@@ -432,7 +432,9 @@ def downsample(spark, d):
   WHERE k <= (n + 1) // 2""")
 def trials_better_half(spark, d):
     t = trials(spark, d).withColumn("bucket", F.floor(-F.col("objective") * 1024).cast("bigint"))
-    return tidy(SEL.better_half(t, KEY, ["bucket"], "objective", "number"), "symbol", "number", "objective")
+    # a value many trials share is split by its number
+    t = split_hot(t, ["symbol", "bucket"], {"value": -F.col("objective"), "range": div_floor("number", 1 << 16)})
+    return tidy(SEL.better_half(t, KEY, ["bucket", "value", "range"], "objective", "number"), "symbol", "number", "objective")
 
 
 cte("front", """SELECT * FROM trials a WHERE NOT EXISTS (SELECT 1 FROM trials b WHERE b.symbol = a.symbol AND b.objective >= a.objective AND b.second >= a.second AND b.third >= a.third

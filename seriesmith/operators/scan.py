@@ -196,30 +196,30 @@ def recur(frame: DataFrame, part, recs: dict[str, Recurrence], index="i", block=
     def c_of(r: Recurrence) -> Column:
         return F.greatest(r.decay if isinstance(r.decay, Column) else F.lit(float(r.decay)), F.lit(_TINY))
 
-    df = frame.withColumn("__rb", div_floor(index, size)).withColumn(
-        "__rj", (F.col(index) - F.col("__rb") * size).cast("double"))
+    block_no = div_floor(index, size)
+    df = frame.withColumns({"__rb": block_no, "__rj": (F.col(index) - block_no * size).cast("double")})
     inside = Window.partitionBy(*part, "__rb").orderBy("__rj")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"__z_{n}": r.x * F.pow(c_of(r), -F.col("__rj")) for n, r in recs.items()})
+    j = F.col("__rj")
     df = df.withColumns({
-        **{f"__l_{n}": F.sum(f"__z_{n}").over(upto) * F.pow(c_of(r), F.col("__rj")) for n, r in recs.items()},
+        **{f"__l_{n}": F.sum(r.x * F.pow(c_of(r), -j)).over(upto) * F.pow(c_of(r), j) for n, r in recs.items()},
         **{f"__a_{n}": F.first(F.when(F.col(index) == 0, r.start)).over(upto) for n, r in recs.items()},
         "__tail": F.lead(F.lit(1)).over(inside).isNull(),
     })
-    tails = {}
+    before = Window.partitionBy(*part).orderBy("__rb").rangeBetween(-back, -1)
+    history = {}
     for n, r in recs.items():
-        decay = F.pow(c_of(r), F.col("__rj") + 1)
+        decay = F.pow(c_of(r), j + 1)
         whole = F.col(f"__l_{n}") + F.coalesce(F.col(f"__a_{n}") * decay, F.lit(0.0))
-        tails[f"__t_{n}"] = F.when(F.col("__tail"), F.struct(decay.alias("d"), whole.alias("v")))
-    df = df.withColumns(tails)
-    before = Window.partitionBy(*part).orderBy("__rb").rangeBetween(-back, -1)
-    df = df.withColumns({f"__h_{n}": F.collect_list(f"__t_{n}").over(before) for n in recs})
+        tail = F.when(F.col("__tail"), F.struct(decay.alias("d"), whole.alias("v")))
+        history[f"__h_{n}"] = F.collect_list(tail).over(before)
+    df = df.withColumns(history)
     out = {}
     for n, r in recs.items():
         carry = F.coalesce(F.col(f"__a_{n}"), F.aggregate(
             f"__h_{n}", F.lit(0.0), lambda acc, e: acc * e["d"] + e["v"]))
-        out[n] = F.pow(c_of(r), F.col("__rj") + 1) * carry + F.col(f"__l_{n}")
-    helpers = [f"__{p}_{n}" for n in recs for p in "zlath"]
+        out[n] = F.pow(c_of(r), j + 1) * carry + F.col(f"__l_{n}")
+    helpers = [f"__{p}_{n}" for n in recs for p in "lah"]
     return df.withColumns(out).drop("__rb", "__rj", "__tail", *helpers)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import case_map, div_floor
+from ..functions.columns import case_map, div_floor, fix
 from ..operators import decisions as D
 from ..operators import equity as Q
 from ..operators import folds as FD
@@ -521,3 +521,29 @@ def latest_progress(spark, d):
         F.concat(F.lit("run-"), F.col("year")).alias("run"), "symbol", F.col("number").alias("updated"), (F.col("number") % 997).alias("trials_completed"),
         F.lit(500).cast("bigint").alias("trials_total"), F.col("objective").alias("best_value"))
     return tidy(live.latest_progress(u))
+
+
+# ---------------------------------------------------------------- parameters and lookups
+@query("param_gap_repair", f"""SELECT number, {out('fast')}, CASE WHEN slow - fast < 5 THEN floor(fast) + 5 ELSE slow END AS slow, slow - fast >= 5 AS valid FROM (
+  SELECT o_orderkey AS number, 2.5::DOUBLE + o_custkey % 20 AS fast, (10 + o_orderkey % 25)::DOUBLE AS slow FROM orders)""")
+def param_gap_repair(spark, d):
+    p = T.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("number"), (F.lit(2.5) + F.col("o_custkey") % 20).alias("fast"),
+        (F.lit(10) + F.col("o_orderkey") % 25).cast("double").alias("slow"))
+    p = p.withColumn("valid", F.col("slow") - F.col("fast") >= 5)
+    return FD.repair_gap(p).select("number", fix("fast").alias("fast"), "slow", "valid")
+
+
+@query("profile_lookup", f"""SELECT symbol, CASE symbol WHEN 'click' THEN 'traffic' WHEN 'view' THEN 'traffic' WHEN 'error' THEN 'fault' ELSE 'convert' END AS cluster,
+  {r6("CASE symbol WHEN 'click' THEN 0.0006 WHEN 'view' THEN 0.0004 WHEN 'purchase' THEN 0.0010 WHEN 'signup' THEN 0.0012 ELSE 0.0015 END", 'slippage')}, count(*) AS n FROM ticks GROUP BY symbol""")
+def profile_lookup(spark, d):
+    g = T.ticks(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    g = g.withColumns({"cluster": case_map("symbol", T.CLUSTER), "slippage": case_map("symbol", T.SLIPPAGE, T.DEFAULT_SLIPPAGE)})
+    return tidy(g, "symbol", "cluster", "slippage", "n")
+
+
+@query("objective_score", f"""SELECT symbol, {r6('ln(1 + greatest(calmar, 0)) / CASE WHEN sharpe_daily * 4 > 3 THEN 1 + 0.3::DOUBLE * (sharpe_daily * 4 - 3) ELSE 1 END', 'score')} FROM sm""")
+def objective_score(spark, d):
+    m = supplier_metrics(spark, d)
+    score = M.objective(F.greatest(F.col("calmar"), F.lit(0.0)), F.col("sharpe_daily") * 4)
+    return tidy(m.withColumn("score", score), "symbol", "score")

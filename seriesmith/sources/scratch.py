@@ -30,7 +30,10 @@ def settle(df: DataFrame) -> DataFrame:
     Used where several branches of a query start from the same expensive table: the work
     behind it runs once, lost executors re-read files instead of recomputing, later scans
     prune columns, and the optimizer sees the true size before it decides on a broadcast.
+
+    Tables lie under ``seriesmith/<application id>`` and can go when the application has ended.
     """
-    path = f"{scratch_dir(df.sparkSession)}/seriesmith/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/seriesmith/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

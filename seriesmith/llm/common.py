@@ -55,7 +55,7 @@ def lookup(rows: DataFrame, small: DataFrame, keys: list[str], salt, how: str =
     salt: ``salt`` is a column that spreads the rows of a hot key over ``SALTS`` parts."""
     small = settled(small)
     limit = int(small.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    size = int(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     named = {k: f"__key_{k}" for k in keys}
     small = small.withColumnsRenamed(named)
     on = F.lit(True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, simhash, toxicity
+from . import bpe, html, license, mixing, pii, quality, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,113 @@ def op10_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).select("doc_id", "severity", "grade", "toxic")
+
+
+@query
+def op1_license(spark, sf_dir):
+    rows = license.scan(documents(spark, sf_dir))
+    return rows.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"),
+                       F.array_join("licenses", ",").alias("licenses"), "n_unknown")
+
+
+def _license_sql() -> str:
+    """The scan in SQL; sentences and rules are the operator's parameters, the logic is not."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(s)}, {quoted(i)})" for s, i in license.SENTENCES.items())
+    steps, left, names = [], "ids", []
+    for n, (name, ids) in enumerate(license.RULES.items()):
+        v = license.VERSION
+        seq = "\\s+".join(i + (f"(:{v})?" if j == 0 else f"(?::{v})?") for j, i in enumerate(ids))
+        pattern = quoted(f" {seq} ")
+        title = name.strip().replace("{v}", "'||substr(hit,2)||'")
+        steps.append(f"s{n} AS (SELECT *, {left} AS l{n}, regexp_replace({left}, {pattern}, ' ', 'g') AS l{n}x, "
+                     f"CASE WHEN regexp_matches({left}, {pattern}) THEN replace({quoted(name.strip())}, '{{v}}', "
+                     f"substr(regexp_extract({left}, {pattern}, 1), 2)) END AS h{n} FROM {f's{n - 1}' if n else 'joined'})")
+        left = f"l{n}x"
+        names.append(f"h{n}")
+    last = f"s{len(license.RULES) - 1}"
+    cue = "(?i)licen[cs]|redistribut|permission|warrant|public domain|unencumbered"
+    return f"""
+WITH known(sentence, id) AS (VALUES {known}),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}.\n]+', ' ', 'g') AS t FROM documents),
+sent AS (SELECT rid, unnest(range(len(x))) AS n, unnest(x) AS s FROM (
+  SELECT rid, regexp_split_to_array(regexp_replace(t, '\\.+(\\s|$)', chr(1) || '\\1', 'g'), chr(1)) AS x
+  FROM docs WHERE regexp_matches(t, '{cue}'))),
+parts AS (SELECT rid, n, unnest(range(len(p))) AS k, unnest(p) AS s FROM (
+  SELECT rid, n, list_concat([s], string_split(s, chr(10))) AS p FROM sent WHERE regexp_matches(s, '{cue}'))),
+form AS (SELECT rid, n, k, trim(regexp_replace(regexp_replace(regexp_replace(lower(s), '([0-9])\\.([0-9])', '\\1' || chr(2) || '\\2', 'g'),
+  '\\.', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM parts WHERE regexp_matches(s, '{cue}')),
+uniq AS (SELECT rid, n, min(k) AS k, replace(s, chr(2), '.') AS s FROM form GROUP BY rid, n, s),
+named AS (SELECT u.rid, u.n, u.k, coalesce(a.id, b.id || ':' || regexp_extract(u.s, '[0-9]+(?:\\.[0-9]+)*')) AS id
+  FROM uniq u LEFT JOIN known a ON a.sentence = u.s
+  LEFT JOIN known b ON b.sentence = regexp_replace(u.s, '[0-9]+(?:\\.[0-9]+)*', '{{v}}', 'g')),
+groups AS (SELECT rid, n, count(id) AS found FROM named GROUP BY rid, n),
+per AS (SELECT rid, string_agg(id, ',' ORDER BY n, k) AS sentence_ids, ' ' || coalesce(string_agg(id, '  ' ORDER BY n, k), '') || ' ' AS ids
+  FROM named GROUP BY rid),
+unknown AS (SELECT rid, count(*) FILTER (WHERE found = 0) AS n_unknown FROM groups GROUP BY rid),
+joined AS (SELECT d.doc_id, coalesce(p.sentence_ids, '') AS sentence_ids, coalesce(p.ids, '  ') AS ids, coalesce(u.n_unknown, 0)::BIGINT AS n_unknown
+  FROM docs d LEFT JOIN per p USING (rid) LEFT JOIN unknown u USING (rid)),
+{", ".join(steps)}
+SELECT doc_id, sentence_ids, array_to_string(list_filter([{", ".join(names)}], lambda x: x IS NOT NULL), ',') AS licenses, n_unknown FROM {last}
+"""
+
+
+SQL["op1_license"] = _license_sql()
+
+
+@query
+def op5_quality(spark, sf_dir):
+    rows = quality.clean(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL["op5_quality"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+grams AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (
+  SELECT rid, i AS p FROM again UNION ALL SELECT rid, i + 1 FROM again UNION ALL SELECT rid, i + 2 FROM again) GROUP BY rid),
+lines AS (SELECT rid, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+    length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS symbols, length(x) - length(replace(x, '!', '')) AS marks
+  FROM (SELECT rid, unnest(l) AS x FROM d)),
+lost AS (SELECT rid, sum(n) AS n FROM lines WHERE
+  regexp_matches(lower(x), '{"|".join(quality.BOILERPLATE)}') OR contains(x, '{{') OR contains(x, '}}')
+  OR (n > 1 AND (symbols * 4 >= n OR marks * 2 > n)) OR (n > 3 AND NOT regexp_matches(x, '[.!?…。！？]')) GROUP BY rid),
+m AS (SELECT d.rid, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0) AS lost
+  FROM d LEFT JOIN covered c USING (rid) LEFT JOIN lost USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= n_words * {quality.LOSS} AS kept
+FROM m
+"""
+
+
+@query
+def op2_html(spark, sf_dir):
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op4_topk(spark, sf_dir):
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL["op4_topk"] = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM (SELECT DISTINCT * FROM e WHERE vec_id % 50 = 0) q JOIN e c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT * FROM (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+WHERE rank <= 5
+"""

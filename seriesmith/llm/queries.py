@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, license, mixing, pii, quality, simhash, topk, toxicity
+from . import bpe, html, license, mixing, pii, quality, simhash, suffix, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,6 +77,12 @@ def op7_simhash(spark, sf_dir):
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op8_suffix(spark, sf_dir):
+    rows = suffix.remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_pii(spark, sf_dir):
     return pii.replace_private(documents(spark, sf_dir)).select("doc_id", "text", "pii_entities")

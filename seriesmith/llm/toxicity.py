@@ -27,6 +27,8 @@ FEATURES = 512
 GRADES = 4
 #: Standard score from which a word's tie to a label counts; chance reaches it in no list of words.
 SURE = 6
+#: Toxic texts of the sample that a term needs.
+LEAST = 3
 
 
 #: Lengths of word beginnings that are terms; a beginning is written with a trailing hyphen.
@@ -94,7 +96,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col:
     # the chosen rows are at most ``rows`` ids and labels, so they may be broadcast
     found = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(
         run, "doc_id bigint, label int, words string, counts array<int>, sketch array<bigint>")
-    return found.toPandas().sort_values(["doc_id", "words"], ignore_index=True)
+    return found.toArrow().to_pandas().sort_values(["doc_id", "words"], ignore_index=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -118,37 +120,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             seen.setdefault(int(h), []).append(n)
     data = data.iloc[keep]
     label = data["label"].to_numpy(np.int64)
-    bags = [terms(dict(zip(w.split(" "), map(int, c))) if w else {}) for w, c in zip(data["words"], data["counts"])]
+
+    def bag(n: int, wanted=None) -> dict[str, float]:  # made anew each time: all at once are large
+        words = data["words"].iat[n]
+        return terms(dict(zip(words.split(" "), map(int, data["counts"].iat[n]))) if words else {}, wanted)
+
     toxic = label > 0
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
         return Model()
     df1, df0 = Counter(), Counter()
-    for bag, t in zip(bags, toxic):
-        (df1 if t else df0).update(bag.keys())
+    for n in np.flatnonzero(toxic):
+        df1.update(bag(n).keys())
+    df1 = Counter({t: n for t, n in df1.items() if n >= LEAST})
+    for n in np.flatnonzero(~toxic):
+        df0.update(bag(n, df1).keys())
     share = n1 / (n1 + n0)
 
-    def evidence(w):  # standard score of the toxic share among the texts that hold the word
-        n = df1[w] + df0[w]
-        return (df1[w] - n * share) / np.sqrt(n * share * (1 - share))
-
-    least = 3
-    scored = sorted(((evidence(w), w) for w in df1.keys() | df0.keys() if df1[w] + df0[w] >= least),
-                    key=lambda x: (-abs(x[0]), x[1]))
-    names = [w for z, w in scored if abs(z) >= SURE][:features]
+    def evidence(t):  # standard score of the toxic share among the texts that hold the term
+        n = df1[t] + df0[t]
+        return (df1[t] - n * share) / math.sqrt(n * share * (1 - share))
+
+    scored = sorted(((-evidence(t), t) for t in df1))
+    names = [t for z, t in scored if -z >= SURE][:features]
+    at = {t: i for i, t in enumerate(names)}
+    x = np.zeros((len(data), len(names)))
+    for n in range(len(data)):
+        for t, value in bag(n, at).items():
+            x[n, at[t]] = value
     if "grade" not in labels.columns:
-        strong = {w for z, w in scored if z >= SURE and df1[w] >= 9 * df0[w]}
-        hits = np.array([sum(v for w, v in bag.items() if w in strong) for bag in bags])
-        levels = np.quantile(hits[toxic & (hits > 0)], np.arange(1, grades - 1) / (grades - 1)) \
-            if (toxic & (hits > 0)).any() else []
+        strong = [at[t] for t in names if df1[t] >= 9 * df0[t]]
+        hits = x[:, strong].sum(axis=1)
+        found = hits[toxic & (hits > 0)]
+        levels = np.quantile(found, np.arange(1, grades - 1) / (grades - 1)) if len(found) else []
         label = np.where(toxic, 1 + np.searchsorted(levels, hits, "left"), 0)
     label = np.unique(label, return_inverse=True)[1]
-    x = np.zeros((len(bags), len(names)))
-    at = {w: i for i, w in enumerate(names)}
-    for i, bag in enumerate(bags):
-        for w, c in bag.items():
-            if w in at:
-                x[i, at[w]] = c
     w, theta = cumulative_link(x, label)
     return Model(dict(zip(names, w.tolist())), theta.tolist())
 

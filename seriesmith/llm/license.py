@@ -88,12 +88,18 @@ def normalised(sentence):
 
 def sentences(text):
     """Sentences of a text, in order, that speak of licensing: each as an array of the sentence,
-    its lines joined, and of the lines by themselves, since a line without a full stop runs on."""
+    its lines joined, of the lines by themselves, and of what follows from each line on, since a
+    line without a full stop runs on into the next."""
     plain = F.regexp_replace(text, DECORATION, " ")
     ends = F.split(plain, r"\.+(?=\s|$)")
     ends = F.filter(ends, lambda s: s.rlike(CUE))
-    return F.transform(ends, lambda s: F.array_distinct(F.transform(
-        F.filter(F.concat(F.array(s), F.split(s, "\n")), lambda x: x.rlike(CUE)), normalised)))
+
+    def parts(s):
+        lines = F.split(s, "\n")
+        rest = F.transform(lines, lambda x, i: F.when(x.rlike(CUE), F.array_join(F.slice(lines, i + 1, F.size(lines)), "\n")))
+        return F.filter(F.concat(F.array(s), lines, rest), lambda x: x.rlike(CUE))
+
+    return F.transform(ends, lambda s: F.array_distinct(F.transform(parts(s), normalised)))
 
 
 def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: dict[str, list[str]] = RULES,

@@ -126,7 +126,8 @@ sent AS (SELECT rid, unnest(range(len(x))) AS n, unnest(x) AS s FROM (
   SELECT rid, regexp_split_to_array(regexp_replace(t, '\\.+(\\s|$)', chr(1) || '\\1', 'g'), chr(1)) AS x
   FROM docs WHERE regexp_matches(t, '{cue}'))),
 parts AS (SELECT rid, n, unnest(range(len(p))) AS k, unnest(p) AS s FROM (
-  SELECT rid, n, list_concat([s], string_split(s, chr(10))) AS p FROM sent WHERE regexp_matches(s, '{cue}'))),
+  SELECT rid, n, list_concat(list_concat([s], l), list_transform(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '{cue}')),
+    lambda i: array_to_string(l[i:], chr(10)))) AS p FROM (SELECT *, string_split(s, chr(10)) AS l FROM sent WHERE regexp_matches(s, '{cue}')))),
 form AS (SELECT rid, n, k, trim(regexp_replace(regexp_replace(regexp_replace(lower(s), '([0-9])\\.([0-9])', '\\1' || chr(2) || '\\2', 'g'),
   '\\.', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM parts WHERE regexp_matches(s, '{cue}')),
 uniq AS (SELECT rid, n, min(k) AS k, replace(s, chr(2), '.') AS s FROM form GROUP BY rid, n, s),

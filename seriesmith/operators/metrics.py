@@ -145,13 +145,12 @@ def fold_score(m: DataFrame, dd_floor=0.05, min_test=5, test_days="days") -> Col
     return F.when(F.col("trades") >= min_test, score).otherwise(0.0)
 
 
-def worst_series_calmar(trades: DataFrame, keys, path, order, start: float, years: float, dd_floor=0.05) -> DataFrame:
+def worst_series_calmar(trades: DataFrame, keys, path, order, start: float, years: float, n_series: int, dd_floor=0.05) -> DataFrame:
     """Smallest Calmar over the series of a portfolio, each on an equal share of ``start``.
 
-    The share needs the number of series, a one-row aggregate.
+    The share follows the ``n_series`` configured series, also those without trades.
     """
-    n = trades.select(*keys).distinct().count()
-    share = float(start) / max(n, 1)
+    share = float(start) / max(n_series, 1)
     curve = equity_curve(trades, keys, path, order, share)
     per = curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum("pnl_abs").alias("pnl"), F.min("drawdown").alias("dd")

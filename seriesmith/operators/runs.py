@@ -26,9 +26,13 @@ def symbols_in_order(rows: DataFrame, run_no: str, pos: str, symbol="symbol") ->
 
 
 def compare(metrics: DataFrame, values, run="run", symbol="symbol") -> DataFrame:
-    """One row per (symbol, run) for every run and every symbol; absent ones are zero."""
-    runs = metrics.agg(F.collect_set(run)).scalar()
-    grid = metrics.select(symbol).distinct().withColumn(run, F.explode(runs))
+    """One row per (symbol, run) for every run and every symbol; absent ones are zero.
+
+    The grid is the result, so each name is dealt to every run over a constant key in slices."""
+    slices = 16
+    runs = metrics.select(run).distinct().withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    names = metrics.select(symbol).distinct().withColumn("__k", F.pmod(F.xxhash64(symbol), F.lit(slices)).cast("int"))
+    grid = names.join(runs, "__k").drop("__k")
     return grid.join(metrics, [symbol, run], "left").fillna(0, list(values))
 
 
@@ -64,10 +68,14 @@ def phase(files: DataFrame, run="run", name="file") -> DataFrame:
     return g.select(run, p.otherwise("wf_eval").alias("phase"), status.alias("status"))
 
 
-def latest_unfinished(files: DataFrame, run="run", name="file") -> DataFrame:
-    """The greatest run id that has no final result."""
-    done = files.filter(F.col(name) == FINAL).select(run).distinct()
-    return files.select(run).distinct().join(done, run, "left_anti").agg(F.max(run).alias(run))
+def latest_unfinished(files: DataFrame, run="run", name="file", recent: str | None = None) -> DataFrame:
+    """The greatest run id without a final result that has started its first stage or, with the
+    boolean column ``recent``, has just been made."""
+    live = F.col(name).startswith("stage1/")
+    if recent:
+        live = live | F.col(recent)
+    g = files.groupBy(run).agg(F.max(F.col(name) == FINAL).alias("__done"), F.max(live).alias("__live"))
+    return g.filter(~F.col("__done") & F.col("__live")).agg(F.max(run).alias(run))
 
 
 def search(runs: DataFrame, text: str, run="run", tag="tag") -> DataFrame:

@@ -37,15 +37,18 @@ def pbo(scores: DataFrame, keys, param="param_id", combo="combo") -> DataFrame:
     return out.withColumn("logit", F.ln(p / (F.lit(1.0) - p)))
 
 
-def shuffles(trades: DataFrame, n_sims: int, seed: int, trade_id, bits: int = 6, position: Column | None = None) -> DataFrame:
-    """Every trade once per simulation with a position in [0, 1); ``slot`` is its leading bits.
-
-    The position (by default a hash) depends only on (seed, sim, trade), so a lost task
-    repeats it exactly, and slots split a simulation of a long series into even pieces.
-    """
+def shuffles(trades: DataFrame, keys, n_sims: int, seed: int, trade_id, block: int = 4096,
+             position: Column | None = None) -> DataFrame:
+    """Every trade once per simulation with a position in [0, 1); ``slot`` cuts the positions of a
+    series in as many pieces as it has blocks of trades.
+
+    The position (by default a hash) depends only on (seed, sim, trade), so a lost task repeats it
+    exactly.  Only the profit travels with it."""
+    pieces = trades.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).alias("__slots"))
     out = trades.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
     out = out.withColumn("pos", hash_uniform(seed, "sim", *trade_id) if position is None else position)
-    return out.withColumn("slot", F.floor(F.col("pos") * (1 << bits)).cast("int"))
+    out = out.join(pieces, list(keys)).withColumn("slot", F.floor(F.col("pos") * F.col("__slots")).cast("int"))
+    return out.select(*keys, "sim", *[c for c in trade_id if c not in keys], "pnl_abs", "pos", "slot")
 
 
 def shuffle_paths(shuffled: DataFrame, keys, order, start: float, days: float) -> DataFrame:

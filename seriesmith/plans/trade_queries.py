@@ -16,12 +16,13 @@ from ..operators import selection as SEL
 from ..operators import sizing as Z
 from ..operators import validation as V
 from ..operators import indicators as I
-from ..operators.scan import split_hot
+from ..operators.scan import split_path
 from ..sources import tables as T
 from ..sources.scratch import settle
 from ..streaming import live
 from . import engine_queries as EQ
 from .bar_queries import BENCH, GRID, ONE, bars, tail_edges
+from .engine_queries import one_run
 from .registry import cte, query, r6, tidy
 from .templates import START, curve, daily, metrics, out, ratio
 
@@ -38,7 +39,6 @@ cte("tr", """SELECT l_returnflag AS symbol, CASE WHEN l_linestatus = 'O' THEN 'l
 metrics("lm", "tr", "symbol", ORDER_SQL, f"{DAYS}::DOUBLE")
 cte("trs", "SELECT * REPLACE (supp AS symbol) FROM tr")
 metrics("sm", "trs", "symbol", ORDER_SQL, f"{DAYS}::DOUBLE")
-cte("dlm", "SELECT * FROM lm_d")
 
 
 def trades(spark, d):
@@ -118,7 +118,7 @@ def full_metrics_many_series(spark, d):
 
 
 def supplier_metrics(spark, d):
-    t = T.split_trades(trades(spark, d).withColumn("symbol", F.col("supp")))
+    t = T.split_trades(trades(spark, d).withColumn("symbol", F.col("supp")), 512)
     return M.full_metrics(t, KEY, PATH, ORDER, T.START_EQUITY, DAYS)
 
 
@@ -230,11 +230,12 @@ def hold_histogram(spark, d):
 
 
 # ---------------------------------------------------------------- shuffled order
-N_SIMS = 12
-_ID = "(order_id * 7919 + part * 31 + supp * 17 + line * 104729 + exit_day * 613 + sim * 1000003)"
-cte("mc_rows", f"SELECT *, ({_ID} % 2147483647 * 48271 % 2147483647) / 2147483647.0::DOUBLE AS pos FROM tr, range({N_SIMS}) r(sim)")
-curve("mc_c", "mc_rows", "symbol, sim", f"pos, {ORDER_SQL}")
-cte("mc_p", f"""SELECT symbol, sim, n, max_dd, win_rate, coalesce(CASE WHEN n > 1 AND sd > 1e-12 THEN m / sd * sqrt(n * 365 / {DAYS}::DOUBLE) END, 0) AS sharpe FROM (
+# on the trades of the signal engine, a few hundred per series
+N_SIMS = 1000
+_ID = "(i * 7919 + sim * 1000003)"
+cte("mc_rows", f"SELECT symbol, i, pnl_abs, sim, ({_ID} % 2147483647 * 48271 % 2147483647) / 2147483647.0::DOUBLE AS pos FROM e1, range({N_SIMS}) r(sim)")
+curve("mc_c", "mc_rows", "symbol, sim", "pos, i", "100000.0::DOUBLE")
+cte("mc_p", f"""SELECT symbol, sim, n, max_dd, win_rate, coalesce(CASE WHEN n > 1 AND sd > 1e-12 THEN m / sd * sqrt(n * 365 / 30.0::DOUBLE) END, 0) AS sharpe FROM (
   SELECT symbol, sim, count(*) AS n, min(drawdown) AS max_dd, count_if(pnl_abs > 0) / count(*) * 100 AS win_rate, avg(pnl_abs / (equity - pnl_abs)) AS m,
     stddev_pop(pnl_abs / (equity - pnl_abs)) AS sd FROM mc_c GROUP BY symbol, sim)""")
 cte("mc_s", """SELECT symbol, count(*) AS n_sims, max(n) AS n_trades, avg(sharpe) AS sharpe_mean, stddev_pop(sharpe) AS sharpe_std, quantile_cont(sharpe, 0.025) AS sharpe_low,
@@ -249,13 +250,11 @@ MC = ["sharpe_mean", "sharpe_std", "sharpe_low", "sharpe_high", "dd_mean", "dd_s
 
 
 def _mc(spark, d):
-    sim = F.col("sim").cast("bigint")
-    p = (F.col("order_id") * 7919 + F.col("part") * 31 + F.col("supp") * 17 + F.col("line").cast("bigint") * 104729
-         + F.col("exit_day").cast("bigint") * 613 + sim * 1000003)
+    t = one_run(spark, d)[1]
+    p = F.col("i").cast("bigint") * 7919 + F.col("sim").cast("bigint") * 1000003
     pos = (p % 2147483647 * 48271 % 2147483647) / F.lit(2147483647.0)
-    # equal positions with equal profit are interchangeable, so these two columns order a path
-    sh = V.shuffles(trades(spark, d), N_SIMS, 42, ORDER, position=pos)
-    return V.shuffle_summary(V.shuffle_paths(sh, KEY, ["pos", "pnl_abs"], T.START_EQUITY, DAYS), KEY)
+    sh = V.shuffles(t, KEY, N_SIMS, 42, ["i"], position=pos)
+    return V.shuffle_summary(V.shuffle_paths(sh, KEY, ["pos", "i"], 100_000.0, 30.0), KEY)
 
 
 @query("mc_shuffle_summary", f"SELECT symbol, n_sims, n_trades, {out(*MC)} FROM mc_l")
@@ -282,7 +281,7 @@ cte("sup_keep", "SELECT *, CASE WHEN base_sharpe > 0 THEN median_sharpe / base_s
 cte("sup_tier", """SELECT *, CASE WHEN median_sharpe >= 1.5 AND retention >= 0.5 AND worst_sharpe >= 0.5 AND std_sharpe < 1.5 THEN 'A' WHEN median_sharpe >= 0.5 AND retention >= 0.3 AND worst_sharpe >= -0.2 THEN 'B'
   WHEN median_sharpe >= 0 AND retention >= 0.10 AND worst_sharpe >= -1.0 THEN 'C' ELSE 'X' END AS tier FROM sup_keep""")
 # an overfitting score per series: a bounded expression of its own metrics
-cte("sup_pbo", "SELECT symbol, (trades * 37 % 100) / 100.0::DOUBLE AS pbo FROM sm WHERE symbol % 4 <> 0")
+cte("sup_pbo", "SELECT symbol, (trades * 37 % 100) / 100.0::DOUBLE AS pbo FROM sm WHERE calmar > 0")
 
 
 def supplier_windows(spark, d):
@@ -300,7 +299,7 @@ def supplier_tiers(spark, d):
 
 
 def supplier_pbo(base):
-    return base.filter(F.col("symbol") % 4 != 0).select("symbol", ((F.col("trades") * 37 % 100) / F.lit(100.0)).alias("pbo"))
+    return base.filter(F.col("calmar") > 0).select("symbol", ((F.col("trades") * 37 % 100) / F.lit(100.0)).alias("pbo"))
 
 
 WF = ["median_sharpe", "std_sharpe", "worst_sharpe", "retention"]
@@ -382,14 +381,18 @@ def verdict_portfolio(spark, d):
     return tidy(D.portfolio_verdict(v, ["pf"], F.avg("calmar") * 2, F.min("calmar") + 1))
 
 
+# series of the portfolio, of which some never trade
+N_CONFIGURED = 1250
+
+
 @query("worst_series_calmar", f"""SELECT {r6('min(pnl / sh / 7.4::DOUBLE / greatest(abs(dd) / 100, 0.05::DOUBLE))', 'worst_calmar')}, count(*) AS n_series FROM (
   SELECT symbol, max(sh) AS sh, count(*) AS n, sum(pnl_abs) AS pnl, min((eq - greatest(sh, pk)) / greatest(sh, pk) * 100) AS dd FROM (
     SELECT *, max(eq) OVER (PARTITION BY symbol ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS pk FROM (
       SELECT *, sh + sum(pnl_abs) OVER (PARTITION BY symbol ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING) AS eq FROM (
-        SELECT *, {START} / (SELECT count(DISTINCT symbol) FROM trs) AS sh FROM trs))) GROUP BY symbol) WHERE n >= 2""")
+        SELECT *, {START} / {N_CONFIGURED} AS sh FROM trs))) GROUP BY symbol) WHERE n >= 2""")
 def worst_series_calmar(spark, d):
-    t = T.split_trades(trades(spark, d).withColumn("symbol", F.col("supp")))
-    return tidy(M.worst_series_calmar(t, KEY, PATH, ORDER, T.START_EQUITY, 7.4))
+    t = T.split_trades(trades(spark, d).withColumn("symbol", F.col("supp")), 512)
+    return tidy(M.worst_series_calmar(t, KEY, PATH, ORDER, T.START_EQUITY, 7.4, N_CONFIGURED))
 
 
 # ---------------------------------------------------------------- trial log
@@ -433,7 +436,7 @@ def downsample(spark, d):
 def trials_better_half(spark, d):
     t = trials(spark, d).withColumn("bucket", F.floor(-F.col("objective") * 1024).cast("bigint"))
     # a value many trials share is split by its number
-    t = split_hot(t, ["symbol", "bucket"], {"value": -F.col("objective"), "range": div_floor("number", 1 << 16)})
+    t = split_path(t, {"value": -F.col("objective"), "range": div_floor("number", 1 << 16)})
     return tidy(SEL.better_half(t, KEY, ["bucket", "value", "range"], "objective", "number"), "symbol", "number", "objective")
 
 
@@ -456,14 +459,13 @@ def pareto_pick(spark, d):
 
 
 # ---------------------------------------------------------------- runs
-cte("run_m", """SELECT 'run-' || year AS run, symbol, count(*) AS trades, avg(objective) AS sharpe, max(second) AS calmar FROM trials GROUP BY year, symbol HAVING count(*) % 7 <> 0""")
+cte("run_m", """SELECT 'run-' || year AS run, symbol, count(*) AS trades, avg(objective) AS sharpe, max(second) AS calmar FROM trials GROUP BY year, symbol""")
 cte("run_e", "SELECT run, symbol, trades, sharpe + 1 AS sharpe, calmar FROM run_m WHERE trades % 2 = 0")
 
 
 def run_metrics(spark, d):
     return trials(spark, d).groupBy(F.concat(F.lit("run-"), F.col("year")).alias("run"), "symbol").agg(
-        F.count(F.lit(1)).alias("trades"), F.avg("objective").alias("sharpe"), F.max("second").alias("calmar")
-    ).filter(F.col("trades") % 7 != 0)
+        F.count(F.lit(1)).alias("trades"), F.avg("objective").alias("sharpe"), F.max("second").alias("calmar"))
 
 
 @query("metrics_preference", f"""SELECT run, symbol, CASE WHEN e.sharpe IS NOT NULL THEN 'evaluation' ELSE 'tuning' END AS source, {r6('coalesce(e.sharpe, m.sharpe)', 'sharpe')}, {r6('coalesce(e.calmar, m.calmar)', 'calmar')}
@@ -509,17 +511,19 @@ def run_phase(spark, d):
     return tidy(U.phase(files(spark, d)))
 
 
-@query("latest_unfinished_run", "SELECT max(run) AS run FROM files WHERE run NOT IN (SELECT run FROM files WHERE file = 'pipeline_result')")
+@query("latest_unfinished_run", """SELECT max(run) AS run FROM (SELECT run FROM files GROUP BY run
+  HAVING count_if(file = 'pipeline_result') = 0 AND count_if(file LIKE 'stage1/%') > 0)""")
 def latest_unfinished_run(spark, d):
     return tidy(U.latest_unfinished(files(spark, d)))
 
 
-@query("latest_progress", f"""SELECT run, symbol, updated, completed, total, {out('best_value')}, CASE WHEN completed >= total THEN 'done' ELSE 'running' END AS status FROM (
-  SELECT 'run-' || year AS run, symbol, number AS updated, number % 997 AS completed, 500::BIGINT AS total, objective AS best_value, row_number() OVER (PARTITION BY year, symbol ORDER BY number DESC) AS k FROM trials) WHERE k = 1""")
+@query("latest_progress", f"""SELECT run, symbol, updated, completed, total, {out('best_value')}, CASE WHEN done THEN 'done' ELSE 'running' END AS status FROM (
+  SELECT 'run-' || year AS run, symbol, number AS updated, number % 997 AS completed, 500::BIGINT AS total, objective AS best_value, count_if(number % 61 = 0) OVER (PARTITION BY year, symbol) > 0 AS done,
+    row_number() OVER (PARTITION BY year, symbol ORDER BY number % 61 = 0 DESC, number DESC) AS k FROM trials) WHERE k = 1""")
 def latest_progress(spark, d):
     u = trials(spark, d).select(
         F.concat(F.lit("run-"), F.col("year")).alias("run"), "symbol", F.col("number").alias("updated"), (F.col("number") % 997).alias("trials_completed"),
-        F.lit(500).cast("bigint").alias("trials_total"), F.col("objective").alias("best_value"))
+        F.lit(500).cast("bigint").alias("trials_total"), F.col("objective").alias("best_value"), (F.col("number") % 61 == 0).alias("is_result"))
     return tidy(live.latest_progress(u))
 
 

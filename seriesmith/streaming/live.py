@@ -9,7 +9,7 @@ from ..operators.bars import arrival
 
 TICK_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 PROGRESS_SCHEMA = (
-    "run string, symbol string, updated bigint, trials_completed bigint, trials_total bigint, best_value double"
+    "run string, symbol string, updated bigint, trials_completed bigint, trials_total bigint, best_value double, is_result boolean"
 )
 
 
@@ -45,15 +45,25 @@ def tick_stream(spark: SparkSession, folder: str, per_trigger: int = 1000, name:
         F.col("event_id").alias("seq"), (F.lit(100.0) + F.col("value") / 10).alias("price"))
 
 
+def open_ticks(ticks: DataFrame, closed: DataFrame) -> DataFrame:
+    """Ticks behind the last closed bar: the watermark closes bars of all symbols alike."""
+    last = closed.agg(F.coalesce(F.max("t"), F.lit(-1).cast("bigint"))).scalar()
+    return ticks.filter(F.unix_seconds(F.col("ts").cast("timestamp")) >= F.when(last >= 0, last + 3600).otherwise(last))
+
+
 def latest_progress(updates: DataFrame) -> DataFrame:
-    """Newest progress row per (run, symbol); the same code runs on stream and batch."""
-    last = F.max_by(F.struct("trials_completed", "trials_total", "best_value"), F.struct("updated", "trials_completed"))
-    g = updates.groupBy("run", "symbol").agg(last.alias("l"), F.max("updated").alias("updated"))
-    done = F.col("l.trials_completed") >= F.col("l.trials_total")
+    """Newest state per (run, symbol); the same code runs on stream and batch.
+
+    A pair is done when its result has been written (``is_result``), whatever number of trials it
+    took; the result row then gives the figures, else the newest progress row."""
+    order = F.struct(F.coalesce("is_result", F.lit(False)), "updated", "trials_completed")
+    last = F.max_by(F.struct("trials_completed", "trials_total", "best_value", "updated"), order)
+    done = F.max(F.coalesce("is_result", F.lit(False)))
+    g = updates.groupBy("run", "symbol").agg(last.alias("l"), done.alias("done"))
     return g.select(
-        "run", "symbol", "updated", F.col("l.trials_completed").alias("completed"),
+        "run", "symbol", F.col("l.updated").alias("updated"), F.col("l.trials_completed").alias("completed"),
         F.col("l.trials_total").alias("total"), F.col("l.best_value").alias("best_value"),
-        F.when(done, "done").otherwise("running").alias("status"))
+        F.when(F.col("done"), "done").otherwise("running").alias("status"))
 
 
 def progress_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -61,6 +61,9 @@ def test_run_files(spark, folder):
     status = {r["run"]: (r["phase"], r["status"]) for r in U.phase(files).collect()}
     assert status == {"r1": ("pre_s2", "completed"), "r2": ("wf_eval", "running"), "r3": ("wf_eval", "completed")}
     assert U.latest_unfinished(files).first()["run"] == "r2"
+    made = files.select("run", "file").union(spark.createDataFrame([("r9", "notes")], "run string, file string"))
+    assert U.latest_unfinished(made).first()["run"] == "r2"
+    assert U.latest_unfinished(made.withColumn("new", F.col("run") == "r9"), recent="new").first()["run"] == "r9"
     assert [r["run"] for r in U.search(docs and runs_io.read_pipeline_results(spark, folder), "x").collect()] == ["r1"]
 
 
@@ -90,8 +93,7 @@ class _Session:
 def test_scratch_folder_is_taken_from_the_session(spark):
     shared = _Session(**{"spark.checkpoint.dir": "hdfs://shared/cp", "spark.master": "yarn"})
     assert scratch.scratch_dir(shared) == "hdfs://shared/cp"
-    with pytest.raises(RuntimeError):
-        scratch.scratch_dir(_Session(**{"spark.master": "yarn"}))
+    assert scratch.scratch_dir(_Session(**{"spark.sql.warehouse.dir": "hdfs://shared/wh"})) == "hdfs://shared/wh"
     df = scratch.settle(spark.range(5))
     assert df.count() == 5 and df.inputFiles()[0].startswith(f"file://{scratch.scratch_dir(spark)}".replace("file://file:", "file:"))
 
@@ -121,9 +123,11 @@ def test_stream_bars_equal_batch(spark, data, folder):
 
 
 def test_progress_stream_equals_batch(spark, folder):
-    rows = [(f"r{k % 2}", f"s{k % 3}", k, k * 2 % 40, 30, float(k)) for k in range(60)]
+    rows = [(f"r{k % 2}", f"s{k % 3}", k, k * 2 % 40, 30, float(k), k % 3 == 1 and k > 50) for k in range(60)]
     df = spark.createDataFrame(rows, live.PROGRESS_SCHEMA)
     for lo in (0, 20, 40):
         df.filter(F.col("updated").between(lo, lo + 19)).coalesce(1).write.mode("append").json(f"{folder}/in")
     streamed = drain(live.latest_progress(live.progress_stream(spark, f"{folder}/in")), folder, "complete")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, live.latest_progress(df).collect()))
+    status = {(r.run, r.symbol): r.status for r in streamed.collect()}
+    assert {s for (_, sym), s in status.items() if sym == "s1"} == {"done"} and set(status.values()) == {"done", "running"}

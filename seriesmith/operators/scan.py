@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, div_floor
-from ..sources.scratch import settle
 
 # a block with its halo fits the rows a window keeps in memory (4096 by default)
 BLOCK_BARS = 3072
@@ -92,19 +91,10 @@ def running(df: DataFrame, keys, path, order, runs: dict[str, Run], exclusive=Fa
     return merged.drop(*[f"__l_{n}" for n in runs], *[f"__c_{n}" for n in runs])
 
 
-def split_hot(df: DataFrame, keys, path: dict[str, Column], limit: int = 16_384) -> DataFrame:
-    """Add the path columns, but split only series of more than ``limit`` rows.
-
-    Short series stay one block each, which keeps the block tables small when there are
-    many of them; at most ``rows / limit`` series are long, so their list is short.  It is
-    written first, so the join is a broadcast exactly when its size allows it.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = settle(counts.filter(F.col("__n") > limit).select(*keys, F.lit(True).alias("__hot")))
-    out = df.join(hot, list(keys), "left")
-    return out.withColumns({
-        n: F.when(F.col("__hot"), c).otherwise(0) for n, c in path.items()
-    }).drop("__hot")
+def split_path(df: DataFrame, path: dict[str, Column]) -> DataFrame:
+    """Add the path columns.  Every series is split the same way, long or short, so sums are
+    added up in one order whatever the size, and no pass over the data comes before."""
+    return df.withColumns(path)
 
 
 def with_index(df: DataFrame, keys, path, order, name="i") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Top-k, best-so-far, thinning, Pareto selection and capped admission."""
+"""Top-k, best-so-far, thinning, Pareto selection and candidate ranks."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, div_floor
-from .correlation import mirrored
-from ..sources.scratch import settle
-from .scan import BLOCK_BARS, Run, running, with_index
+from .scan import Run, running, with_index
 
 
 def top_k(trials: DataFrame, keys, k: int, score="objective", tie="number") -> DataFrame:
@@ -166,108 +164,3 @@ def rank_candidates(cands: DataFrame, keys, at="entry_t", weight: Column | None
 
 
 _OPEN = "array<struct<e:bigint,c:string,s:string>>"
-
-
-def admit(cands: DataFrame, keys, max_open: int | Column, cluster_cap: int | Column, edges: DataFrame | None = None,
-          gate: float = 0.75, gate_open=3, gate_strength=1.5, width=3600, block=BLOCK_BARS) -> DataFrame:
-    """Capped admission of candidate intervals in (entry, rank) order.
-
-    A candidate is refused when its symbol is open (``busy``), when ``max_open`` positions
-    are open (``full``), when its cluster is at its cap (``cluster``) or when it is weak
-    and enough correlated positions are open (``gate``).  Positions that end at the moment
-    of an entry are gone.  ``edges`` holds correlations ``a < b``; each row carries the
-    symbols beyond the gate of its own symbol (at most one entry per symbol).
-
-    Decisions depend on earlier ones only while some candidate interval is running, so the
-    sequence is cut where none is (running maximum of the ends), and long pieces are cut
-    again into time blocks.  A block is folded as a sorted stream that keeps only the open
-    positions.  Blocks of a piece first assume that nothing is open, then take over what
-    the block before them left open; blocks whose start changed are folded again until
-    none does.  The first blocks are final after the first rounds, so this always ends.
-    """
-    keys = list(keys)
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(int(v))
-    rows = cands.withColumns({
-        "max_open": as_col(max_open), "cluster_cap": as_col(cluster_cap), "blk": div_floor("entry_t", width * block),
-    })
-    order = ["entry_t", "rank"]
-    rows = running(rows, keys, ["blk"], order, {"__end": Run("max", F.col("exit_t"))}, exclusive=True)
-    fresh = F.when(F.col("__end").isNull() | (F.col("__end") <= F.col("entry_t")), 1).otherwise(0)
-    rows = rows.withColumn("__new", fresh)
-    rows = running(rows, keys, ["blk"], order, {"piece": Run("sum", F.col("__new"))}).drop("__end", "__new")
-    nobody = F.array().cast("array<string>")
-    if edges is None:
-        rows = rows.withColumn("linked", nobody)
-    else:
-        near = mirrored(edges).filter(F.abs("corr") > gate).groupBy(F.col("a").alias("symbol")).agg(
-            F.collect_set("b").alias("linked"))
-        rows = rows.join(near, "symbol", "left").withColumn("linked", F.coalesce("linked", nobody))
-    rows = settle(rows)
-    unit = [*keys, "piece", "blk"]
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def stepper():
-        at, live = None, []
-
-        def step(r):
-            """Decision for one row, and the unit that just ended with what it left open."""
-            nonlocal at, live
-            here, ended = tuple(getattr(r, k) for k in unit), None
-            if here != at:
-                ended = None if at is None else (*at, live)
-                at, live = here, [(o["e"], o["c"], o["s"]) for o in r.entering]
-            live = [o for o in live if o[0] > r.entry_t]
-            if any(o[2] == r.symbol for o in live):
-                return "busy", ended
-            if len(live) >= r.max_open:
-                return "full", ended
-            if sum(o[1] == r.cluster for o in live) >= r.cluster_cap:
-                return "cluster", ended
-            if r.strength < gate_strength and sum(o[2] in r.linked for o in live) >= gate_open:
-                return "gate", ended
-            live = [*live, (r.exit_t, r.cluster, r.symbol)]
-            return "admitted", ended
-
-        return step, lambda: [] if at is None else [(*at, live)]
-
-    def decide(batches):
-        step, _ = stepper()
-        for pdf in batches:
-            yield pdf.assign(decision=[step(r)[0] for r in pdf.itertuples(index=False)])
-
-    def leave(batches):
-        step, last = stepper()
-        for pdf in batches:
-            yield left_open(e for e in (step(r)[1] for r in pdf.itertuples(index=False)) if e)
-        yield left_open(last())
-
-    def left_open(ended):
-        records = [(*u[:-1], [{"e": e, "c": c, "s": s} for e, c, s in u[-1]]) for u in ended]
-        return pd.DataFrame(records, columns=[*unit, "leaving"])
-
-    def streamed(part: DataFrame, states: DataFrame) -> DataFrame:
-        return part.join(states, unit).repartition(*unit).sortWithinPartitions(*unit, *order)
-
-    def leaving_of(part: DataFrame, states: DataFrame) -> DataFrame:
-        schema = ", ".join(f"`{k}` {types[k]}" for k in unit) + f", leaving {_OPEN}"
-        return streamed(part, states).mapInPandas(leave, schema)
-
-    units = settle(rows.groupBy(*unit).agg(F.min("entry_t").alias("first_t")))
-    chain = Window.partitionBy(*keys, "piece").orderBy("blk")
-    states = units.select(*unit, F.array().cast(_OPEN).alias("entering"))
-    if not units.groupBy(*keys, "piece").count().filter("count > 1").isEmpty():
-        left = settle(leaving_of(rows, states))
-        while True:
-            came = F.lag("leaving").over(chain)
-            fresh_states = settle(units.join(left, unit).withColumn("__in", came).select(
-                *unit, F.array_sort(F.filter(F.coalesce("__in", F.array().cast(_OPEN)), lambda o: o["e"] > F.col("first_t"))).alias("entering")))
-            old = states.withColumnRenamed("entering", "__old")
-            changed = settle(fresh_states.join(old, unit).filter("entering != __old").select(*unit))
-            states = fresh_states
-            if changed.isEmpty():
-                break
-            again = settle(leaving_of(rows.join(changed, unit, "left_semi"), states))
-            left = settle(left.join(again.select(*unit), unit, "left_anti").unionByName(again))
-    schema = ", ".join(f"`{k}` {t}" for k, t in types.items()) + f", entering {_OPEN}, decision string"
-    joined = streamed(rows, states).select(*rows.columns, "entering")
-    return joined.mapInPandas(decide, schema).drop("piece", "blk", "linked", "entering")

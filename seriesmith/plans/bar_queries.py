@@ -42,11 +42,6 @@ cte("bars0", """SELECT symbol, (floor(epoch(ts) / 3600) * 3600)::BIGINT AS t, fi
 cte("bars", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i FROM bars0")
 
 
-def _slow(width):
-    return f"""SELECT symbol, (t // {width} * {width})::BIGINT AS t, first(open ORDER BY t) AS open, max(high) AS high,
-  min(low) AS low, last(close ORDER BY t) AS close, sum(volume) AS volume FROM bars0 b GROUP BY symbol, b.t // {width}"""
-
-
 for _tf, _w in (("bars_4h", 14400), ("bars_8h", 28800), ("bars_1d", 86400)):
     cte(_tf, f"""SELECT symbol, g AS t, first(open ORDER BY t) AS open, max(high) AS high, min(low) AS low,
   last(close ORDER BY t) AS close, sum(volume) AS volume FROM (SELECT *, (t // {_w} * {_w})::BIGINT AS g FROM bars0)
@@ -312,10 +307,11 @@ def signal_funnel(spark, d):
         F.count_if(rsi & trend & reg).alias("after_regime"), F.count_if(F.col("fired") != 0).alias("fired")))
 
 
-@query("signal_strength", f"""SELECT symbol, param_id::BIGINT AS param_id, i::BIGINT AS i, fired::BIGINT AS fired, {r6('strength')} FROM sig_gated WHERE adx_ok""")
+@query("signal_strength", f"""SELECT symbol, param_id::BIGINT AS param_id, i::BIGINT AS i, fired::BIGINT AS fired, {r6('CASE WHEN atr > 0 THEN strength END', 'strength')} FROM sig_gated""")
 def signal_strength(spark, d):
-    # strength needs a defined ATR
-    rows = S.signal_rows(bars(spark, d), GRID, BENCH).filter("adx_ok")
+    # no strength while the ATR is not defined
+    rows = S.signal_rows(bars(spark, d), GRID, BENCH)
+    rows = rows.withColumn("strength", F.when(F.col("atr") > 0, F.col("strength")))
     return tidy(rows, "symbol", "param_id", "i", "fired", "strength")
 
 
@@ -347,8 +343,7 @@ def pairwise_corr_tail(spark, d):
 
 
 @query("corr_matrix_dense", "SELECT a AS symbol, " + ", ".join(
-    r6(f"max(CASE WHEN a = '{s}' THEN 1.0::DOUBLE WHEN b = '{s}' THEN coalesce(corr, 0) ELSE 0 END)" if False else
-       f"CASE WHEN a = '{s}' THEN 1.0::DOUBLE ELSE coalesce(max(CASE WHEN b = '{s}' THEN corr END), 0) END", s) for s in _SYM)
+    r6(f"CASE WHEN a = '{s}' THEN 1.0::DOUBLE ELSE coalesce(max(CASE WHEN b = '{s}' THEN corr END), 0) END", s) for s in _SYM)
     + " FROM (SELECT a, b, corr FROM tail_edges UNION ALL SELECT b, a, corr FROM tail_edges) GROUP BY a")
 def corr_matrix_dense(spark, d):
     return tidy(C.dense_matrix(tail_edges(T.bars(spark, d)), T.SYMBOLS))

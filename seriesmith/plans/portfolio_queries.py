@@ -1,4 +1,4 @@
-"""Sizing, exposure counts, admission, marked equity, volatility fits, streams."""
+"""Sizing, exposure counts, marked equity, volatility fits, streams."""
 
 from __future__ import annotations
 
@@ -8,20 +8,18 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import case_map
 from ..operators import decisions as D
-from ..operators import exits as E
 from ..operators import indicators as I
 from ..operators import metrics as M
 from ..operators import reports as R
 from ..operators import selection as SEL
 from ..operators import signals as S
 from ..operators import sizing as Z
-from ..operators import sweep as SW
 from ..operators import validation as V
 from ..sources import tables as T
 from ..sources.scratch import scratch_dir, settle
 from ..streaming import live
 from .bar_queries import ONE, bars, tail_edges
-from .engine_queries import one_run, resolved
+from .engine_queries import one_run
 from .registry import cte, query, r6, tidy
 from .templates import out
 
@@ -79,38 +77,6 @@ def candidate_rank(spark, d):
     return tidy(_ranked(sig), "symbol", "i", "rank")
 
 
-cte("adm_in", """SELECT c.config_id, r.symbol, r.i, r.entry_t, r.strength, k.rank, d.cluster, x.exit_t, 1 + c.config_id AS max_open, 1 + c.config_id // 2 AS cap,
-    coalesce((SELECT list(other) FROM near WHERE near.symbol = r.symbol), []) AS linked
-  FROM range(4) c(config_id), ents r JOIN ranked k ON k.symbol = r.symbol AND k.i = r.i JOIN dims d ON d.symbol = r.symbol
-  JOIN ew_cut x ON x.symbol = r.symbol AND x.param_id = r.param_id AND x.i = r.i WHERE r.param_id = 1""")
-cte("adm_seq", "SELECT *, row_number() OVER (PARTITION BY config_id ORDER BY entry_t, rank) AS k FROM adm_in")
-cte("adm", """SELECT DISTINCT config_id, 0::BIGINT, [{'e': -1::BIGINT, 'c': '', 's': ''}], ''::VARCHAR FROM adm_seq
-  UNION ALL SELECT config_id, k, CASE WHEN dec = 'admitted' THEN list_append(live, {'e': exit_t, 'c': cluster, 's': symbol}) ELSE live END, dec FROM (
-    SELECT *, CASE WHEN len(list_filter(live, lambda x: x.s = symbol)) > 0 THEN 'busy' WHEN len(live) >= max_open THEN 'full'
-      WHEN len(list_filter(live, lambda x: x.c = cluster)) >= cap THEN 'cluster'
-      WHEN strength < 1.0 AND len(list_filter(live, lambda x: list_contains(linked, x.s))) >= 1 THEN 'gate' ELSE 'admitted' END AS dec FROM (
-      SELECT s.*, list_filter(a.live, lambda x: x.e > s.entry_t) AS live FROM adm a JOIN adm_seq s ON s.config_id = a.config_id AND s.k = a.k + 1))""",
-    "(config_id, k, live, dec)")
-
-
-def admitted(spark, d):
-    b, res = resolved(spark, d, ONE)
-    cut = _ranked(E.cut_to_folds(res, E.whole_range(b), b)).withColumn("cluster", case_map("symbol", T.CLUSTER))
-    cands = cut.withColumn("config_id", F.explode(F.array(*[F.lit(k) for k in range(4)])))
-    cfg = F.col("config_id")
-    return SEL.admit(cands, ["config_id"], 1 + cfg, 1 + F.floor(cfg / 2), settle(tail_edges(b)), GATE, 1, 1.0)
-
-
-@query("admission_capped", "SELECT s.config_id, s.symbol, s.i::BIGINT AS i, a.dec AS decision FROM adm a JOIN adm_seq s USING (config_id, k) WHERE k > 0")
-def admission_capped(spark, d):
-    return tidy(admitted(spark, d), "config_id", "symbol", "i", "decision")
-
-
-@query("admission_blocked_counts", "SELECT config_id, dec AS decision, count(*) AS n FROM adm WHERE k > 0 GROUP BY ALL")
-def admission_blocked_counts(spark, d):
-    return tidy(admitted(spark, d).groupBy("config_id", "decision").agg(F.count(F.lit(1)).alias("n")))
-
-
 cte("cover", """SELECT e.symbol, e.i AS entry_i, b.t, 20000.0::DOUBLE * e.side * (b.close / e.entry_price - 1) AS mark FROM e1 e
   JOIN bars b ON b.symbol = e.symbol AND b.i BETWEEN e.i AND e.exit_i - 1""")
 cte("mk", """SELECT t, realised, u, n_open, 100000.0::DOUBLE + realised + u AS equity FROM (
@@ -171,14 +137,16 @@ def param_matrix(spark, d):
     return tidy(R.parameter_matrix(best, "symbol", ["number", "objective", "second"], PRIORITIES))
 
 
-@query("stream_hourly_bars", f"""SELECT symbol, t, {out('open', 'high', 'low', 'close', 'volume')} FROM bars0
-  WHERE t + 3600 <= (SELECT max(epoch(ts)) FROM ticks) - 7200""")
+@query("stream_hourly_bars", f"SELECT symbol, t, {out('open', 'high', 'low', 'close', 'volume')} FROM bars0")
 def stream_hourly_bars(spark, d):
-    """The tick stream run to its end; bars the watermark has not passed stay open."""
-    T.table(spark, d, "region")
+    """The tick stream run to its end; the bars that the last watermark left open are completed
+    from their ticks in batch."""
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = live.hourly_bars(live.tick_stream(spark, d, name="events.parquet"))
     q = rows.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(
         availableNow=True).start(f"{base}/bars")
     q.awaitTermination()
-    return tidy(spark.read.schema(rows.schema).parquet(f"{base}/bars"), "symbol", "t", "open", "high", "low", "close", "volume")
+    closed = spark.read.schema(rows.schema).parquet(f"{base}/bars")
+    ticks = T.ticks(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    rest = live.hourly_bars(live.open_ticks(ticks, closed))
+    return tidy(closed.unionByName(rest), "symbol", "t", "open", "high", "low", "close", "volume")

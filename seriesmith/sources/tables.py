@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import case_map, day_number, div_floor
 from ..operators.bars import ticks_to_bars
-from ..operators.scan import bar_index, split_hot
+from ..operators.scan import bar_index, split_path
 from .scratch import settle
 
 BENCHMARK = "view"
@@ -73,10 +73,13 @@ def trades(spark, sf_dir) -> DataFrame:
     )
 
 
-def split_trades(rows: DataFrame, keys=("symbol",)) -> DataFrame:
-    """Trades with the blocks long series are scanned in: exit day, then id range."""
-    return split_hot(rows, list(keys), {
-        "by_day": F.col("exit_day"), "by_order": div_floor("order_id", ORDER_RANGE)})
+def split_trades(rows: DataFrame, days: int = 1) -> DataFrame:
+    """Trades with the blocks their series are scanned in: exit day, then id range.
+
+    With ``days`` over 1 a block is that many days of a series, for keys whose series stay short
+    at every scale (one supplier, one customer)."""
+    by_order = div_floor("order_id", ORDER_RANGE) if days == 1 else F.lit(0).cast("bigint")
+    return split_path(rows, {"by_day": div_floor("exit_day", days), "by_order": by_order})
 
 
 def trial_log(spark, sf_dir) -> DataFrame:

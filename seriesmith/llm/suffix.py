@@ -29,7 +29,7 @@ WIDTH = 400
 GRAM = 16
 #: Windows of a segment, bytes sorted together, bytes of one name beyond which windows are told
 #: apart by digest instead.
-LONGEST, BLOCK, MOST = 8192, 1 << 18, 1 << 20
+LONGEST, BLOCK, MOST = 8192, 1 << 18, 1 << 22
 PIECE = 1 << 20
 
 
@@ -122,7 +122,27 @@ def key_columns(text):
     return half(1), half(17)
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+def eights(data: np.ndarray, beyond: int) -> np.ndarray:
+    """The eight bytes from each position on as one number that sorts like them, 0 past the end."""
+    n = len(data) + beyond
+    padded = np.concatenate([data, np.zeros(beyond + 8, np.uint8)])
+    out = np.zeros(n, np.uint64)
+    for j in range(8):
+        out = out << np.uint64(8) | padded[j:j + n]
+    return out
+
+
+def direct_order(text: bytes, keys: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Positions sorted by their ``width`` bytes: by 24 of them, then ties by all."""
+    at = at[np.lexsort((keys[at + 16], keys[at + 8], keys[at]))]
+    tie = (keys[at[1:]] == keys[at[:-1]]) & (keys[at[1:] + 8] == keys[at[:-1] + 8]) & (keys[at[1:] + 16] == keys[at[:-1] + 16])
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], tie.astype(np.int8), [0]])))
+    for a, b in zip(edge[::2].tolist(), (edge[1::2] + 1).tolist()):
+        at[a:b] = sorted(at[a:b].tolist(), key=lambda p: text[p:p + width])
+    return at
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, width: int, keys: np.ndarray | None = None) -> np.ndarray:
     """``starts`` in the order of the suffixes of ``data``, as far as ``width`` bytes tell.
 
     Positions of ``data`` that are 0 separate segments; the last one must be 0."""
@@ -139,9 +159,8 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray
     until = next_b[np.searchsorted(next_b, starts)]
     span = np.bincount(starts, minlength=n + 1)[:n + 1] - np.bincount(until + 1, minlength=n + 1)[:n + 1]
     part = np.cumsum(span)[:n] > 0
-    text = data.tobytes()
-    direct = sorted(np.flatnonzero(part & is_b).tolist(), key=lambda p: text[p:p + width])
-    direct = np.array(direct, np.int64)
+    keys = eights(data, width + 24) if keys is None else keys
+    direct = direct_order(data.tobytes(), keys, np.flatnonzero(part & is_b), width)
     part_a = part & ~is_b
     ready: dict[int, list[np.ndarray]] = {}
     heads = data[direct]
@@ -173,17 +192,14 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray
 
 def repeated(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """Those of ``starts`` whose ``width`` bytes also start at another of them."""
-    order = suffix_order(data, starts, width)
+    keys = eights(data, width + 24)
+    order = suffix_order(data, starts, width, keys)
     if len(order) < 2:
         return order[:0]
-    words = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(8, np.uint8)], 8)
     p, q = order[:-1], order[1:]
     same = np.arange(len(p))
-    for at in range(0, width, 8):  # common prefix of neighbours, eight bytes at a time
-        end = min(8, width - at)
-        same = same[(words[p[same] + at, :end] == words[q[same] + at, :end]).all(axis=1)]
-        if not len(same):
-            break
+    for at in (width - 8, *range(0, width - 8, 8)):  # common prefix of neighbours, by eight bytes
+        same = same[keys[p[same] + at] == keys[q[same] + at]]
     hit = np.zeros(len(order), bool)
     hit[same] = hit[same + 1] = True
     return order[hit]
@@ -268,7 +284,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = settled(runs(rows, width))
     often = found.groupBy("h").agg(F.count("*").alias("c"), F.max("p").alias("p")).where("c > 1 or p > 0").select("h")
     found = settled(found.join(often, "h"))
-    segs = found.groupBy(*seg).agg(F.count("*").alias("c"), F.max("p").alias("p"), F.min(F.struct("t1", "t2", "a", "n")).alias("at"))
+    # copies of a text are one row from here on
+    found = settled(found.groupBy(*seg, *text, "a", "n", "p").agg(F.count("*").alias("m")))
+    segs = found.groupBy(*seg).agg(F.sum("m").alias("c"), F.max("p").alias("p"), F.min(F.struct("t1", "t2", "a", "n")).alias("at"))
     segs = settled(segs.select(*seg, "c", "p", "at.*"))
     names = segs.groupBy("h").agg(F.count("*").alias("k"), F.sum(F.col("n") + width - 1).alias("bytes"),
                                   F.max("p").alias("periodic")).where("k > 1 or periodic > 0").drop("periodic")
@@ -288,20 +306,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = held.where(F.col("bytes") <= MOST).repartition("h").sortWithinPartitions("h", "s1", "s2")
     sorted_ = few.select(*seg, "n", "data").mapInPandas(sort_blocks(width), FOUND)
 
-    def windows(batches):
+    def digests(batches, with_place=True):
         import xxhash
 
         for b in batches:
             for h, s1, s2, n, data in zip(b["h"], b["s1"], b["s2"], b["n"], b["data"]):
                 view = memoryview(data)
                 w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[i:i + width]) for i in range(n)]), np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"h": h, "s1": s1, "s2": s2, "a": np.arange(n), "w1": w[:, 0], "w2": w[:, 1]})
+                place = {"h": h, "s1": s1, "s2": s2, "a": np.arange(n)} if with_place else {}
+                yield pd.DataFrame(place | {"w1": w[:, 0], "w2": w[:, 1]})
 
-    many = held.where(F.col("bytes") > MOST).select(*seg, "n", "data").mapInPandas(
-        windows, "h bigint, s1 bigint, s2 bigint, a bigint, w1 bigint, w2 bigint")
-    twice = many.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    one = F.struct("a", (F.col("a") + 1).alias("b"))
-    told = many.join(twice, ["w1", "w2"]).groupBy(*seg).agg(F.collect_list(one).alias("found"))
+    def in_ranges(batches):
+        for b in batches:
+            yield b.assign(found=[[{"a": i, "b": j} for i, j in ranges(np.sort(x))] for x in b["found"]])
+
+    # only digests are shuffled to be counted; places are kept of those that recur
+    many = held.where(F.col("bytes") > MOST).select(*seg, "n", "data")
+    twice = many.mapInPandas(lambda b: digests(b, False), "w1 bigint, w2 bigint").groupBy("w1", "w2") \
+        .agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    told = lookup(many.mapInPandas(digests, "h bigint, s1 bigint, s2 bigint, a bigint, w1 bigint, w2 bigint"),
+                  twice, ["w1", "w2"], F.col("s1"), how="inner")
+    told = told.groupBy(*seg).agg(F.collect_list("a").alias("found")).mapInPandas(in_ranges, FOUND)
     # back to the texts: one list of windows for each different text
     marks = found.join(copied.union(sorted_).union(told), seg).select(*text, "a", F.explode("found").alias("f"))
     marks = marks.select(*text, F.struct((F.col("a") + F.col("f.a")).alias("a"), (F.col("a") + F.col("f.b")).alias("b")).alias("r"))

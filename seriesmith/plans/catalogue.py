@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import bar_queries, engine_queries, portfolio_queries, trade_queries  # noqa: F401
+from . import bar_queries, engine_queries, file_queries, portfolio_queries, trade_queries  # noqa: F401
 from .registry import QUERIES, SQL, full_sql  # noqa: F401
 
 

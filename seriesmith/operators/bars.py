@@ -63,12 +63,11 @@ def resample(bars: DataFrame, width: int, keys=("symbol",)) -> DataFrame:
 
 def dedupe_first(rows: DataFrame, keys, seq: str) -> DataFrame:
     """One row per key, the one with the smallest ``seq``; a map-side aggregate, so a key
-    with very many copies is reduced before the shuffle."""
+    with very many copies is reduced before the shuffle.  ``seq`` must differ within a key."""
     rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(seq, *[c for c in rest if c != seq])).alias("__r")
-    )
-    return best.select(*keys, *[F.col("__r")[c].alias(c) for c in rest])
+    # one buffer of fixed width per column keeps this a hash aggregate; all move together
+    best = rows.groupBy(*keys).agg(*[F.min_by(c, seq).alias(c) if c != seq else F.min(seq).alias(seq) for c in rest])
+    return best.select(*keys, *rest)
 
 
 def with_benchmark(bars: DataFrame, symbols, benchmark: str) -> DataFrame:

@@ -71,6 +71,9 @@ METRIC_NAMES = {
     "total_pnl_pct": ("total_pnl_pct",),
     "trades": ("trades",),
     "expectancy": ("expectancy",),
+    "max_win_streak": ("max_win_streak",),
+    "max_loss_streak": ("max_loss_streak",),
+    "time_in_market": ("time_in_market",),
 }
 
 
@@ -79,15 +82,18 @@ def _present(*flags: Column) -> Column:
 
 
 def series_verdict(m: DataFrame) -> DataFrame:
-    """PASS / WARN / FAIL per series with reasons; a high Sharpe only adds a warning."""
+    """PASS / WARN / FAIL per series with reason codes; a high Sharpe only adds a warning.
+
+    F1 few trades a year, F2 low Sharpe; W1 Sharpe out of the ordinary, W2 low Calmar, W3 deep
+    drawdown."""
     few, weak = F.col("trades_per_year") < MIN_TRADES_YEAR, F.col("sharpe") < 0.5
     odd = ~weak & (F.col("sharpe") > 3.0)
     low, deep = F.col("calmar") < 0.5, F.col("max_dd") > 15
     return m.withColumns({
         "verdict": F.when(few | weak, "FAIL").when(low | deep, "WARN").otherwise("PASS"),
-        "failures": _present(F.when(few, "too few trades"), F.when(weak, "sharpe too low")),
+        "failures": _present(F.when(few, "F1"), F.when(weak, "F2")),
         "warnings": _present(
-            F.when(odd, "sharpe suspiciously high"), F.when(low, "calmar low"), F.when(deep, "high drawdown")),
+            F.when(odd, "W1"), F.when(low, "W2"), F.when(deep, "W3")),
     })
 
 

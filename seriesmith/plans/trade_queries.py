@@ -347,10 +347,10 @@ def exclude_tier_x(spark, d):
 
 
 cte("norm", """SELECT symbol, trades_per_year, CASE WHEN symbol % 3 = 0 THEN sharpe_daily ELSE sharpe_daily * 4 END AS sharpe,
-  calmar * 3 AS calmar, abs(max_drawdown) * 20 AS max_dd FROM sm""")
+  calmar * 3 AS calmar, abs(max_drawdown) * 20 AS max_dd, time_in_market, profit_factor, expectancy, trades::DOUBLE AS trades, 0.0::DOUBLE AS max_win_streak FROM sm""")
 cte("verd", """SELECT *, CASE WHEN trades_per_year < 60 OR sharpe < 0.5 THEN 'FAIL' WHEN calmar < 0.5 OR max_dd > 15 THEN 'WARN' ELSE 'PASS' END AS verdict,
-  concat_ws(',', CASE WHEN trades_per_year < 60 THEN 'too few trades' END, CASE WHEN sharpe < 0.5 THEN 'sharpe too low' END) AS failures,
-  concat_ws(',', CASE WHEN sharpe > 3 THEN 'sharpe suspiciously high' END, CASE WHEN calmar < 0.5 THEN 'calmar low' END, CASE WHEN max_dd > 15 THEN 'high drawdown' END) AS warnings FROM norm""")
+  concat_ws(',', CASE WHEN trades_per_year < 60 THEN 'F1' END, CASE WHEN sharpe < 0.5 THEN 'F2' END) AS failures,
+  concat_ws(',', CASE WHEN sharpe > 3 THEN 'W1' END, CASE WHEN calmar < 0.5 THEN 'W2' END, CASE WHEN max_dd > 15 THEN 'W3' END) AS warnings FROM norm""")
 
 
 def _verdicts(spark, d):
@@ -360,13 +360,16 @@ def _verdicts(spark, d):
     raw = m.select(
         "symbol", "trades_per_year", F.when(new, F.col("sharpe_daily")).alias("sharpe_ratio_equity_based"),
         (F.col("sharpe_daily") * 4).alias("sharpe_equity"), (F.col("calmar") * 3).alias("calmar_ratio"),
-        (F.col("max_drawdown") * 20).alias("max_drawdown"))
+        (F.col("max_drawdown") * 20).alias("max_drawdown"), "time_in_market", "profit_factor", "expectancy", "trades")
     return D.series_verdict(D.normalise(raw, D.METRIC_NAMES, KEY))
 
 
-@query("metrics_normalised", f"SELECT symbol, {out('trades_per_year', 'sharpe', 'calmar', 'max_dd')} FROM norm")
+NORMAL = ["trades_per_year", "sharpe", "calmar", "max_dd", "time_in_market", "profit_factor", "expectancy", "trades", "max_win_streak"]
+
+
+@query("metrics_normalised", f"SELECT symbol, {out(*NORMAL)} FROM norm")
 def metrics_normalised(spark, d):
-    return tidy(_verdicts(spark, d), "symbol", "trades_per_year", "sharpe", "calmar", "max_dd")
+    return tidy(_verdicts(spark, d), "symbol", *NORMAL)
 
 
 @query("verdict_series", "SELECT symbol, verdict, failures, warnings FROM verd")

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, WORD
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: Phrases of page furniture, in lower case (fixed values).
 BOILERPLATE = [
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies",
@@ -25,8 +25,8 @@ LOSS = 0.5
 
 def words_of(text):
     """Array of the runs of characters other than ASCII white space; null gives none."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
-    return F.filter(parts, lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
 def repeated_words(words):
@@ -42,11 +42,11 @@ def repeated_words(words):
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = (docs.withColumn("__words", words_of(F.col(f"`{text_col}`"))).withColumn("__lines", lines)
            .withColumn("n_words", F.size("__words").cast("bigint"))
-           .withColumn("word_chars", F.length(F.translate(text, BLANKS, "")).cast("bigint"))
-           .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"))
+           .withColumn("word_chars", (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("bigint"))
+           .withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint"))
            .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"))
            .withColumn("__hashes", F.when(F.col("n_words") >= 3, repeated_words(F.col("__words")))
                        .otherwise(F.array().cast("array<bigint>"))))
@@ -65,23 +65,20 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("__words", "__hashes", "__sorted", "__hit")
 
 
-def failing(line):
-    """Whether a line is furniture, not text.
+def failing(line, n):
+    """Whether a line of ``n`` words is furniture, not text.
 
     Boilerplate: a phrase of page furniture, or braces.  Navigation: separators between items, or
     symbols or shouting in most of its words.  Punctuation: no sentence mark at the end of more
     than three words that are followed by none anywhere in the line."""
-    n = F.size(words_of(line))
     low = F.lower(line)
     boilerplate = F.lit(False)
     for phrase in BOILERPLATE:
         boilerplate = boilerplate | low.contains(phrase)
     boilerplate = boilerplate | line.contains("{") | line.contains("}")
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    marks = F.length(line) - F.length(F.translate(line, "!", ""))
-    navigation = (symbols * 4 >= n) | (marks * 2 > n)
+    navigation = (F.regexp_count(line, F.lit(SYMBOLS)) * 4 >= n) | (F.regexp_count(line, F.lit("!")) * 2 > n)
     punctuation = (n > 3) & ~line.rlike(r"[.!?…。！？]")
-    return boilerplate | ((n > 1) & navigation) | punctuation
+    return punctuation | ((n > 1) & navigation) | boilerplate
 
 
 def clean(docs: DataFrame, text_col: str = "text", loss: float = LOSS) -> DataFrame:
@@ -91,8 +88,10 @@ def clean(docs: DataFrame, text_col: str = "text", loss: float = LOSS) -> DataFr
     Null and empty texts have no words and are not kept.  Rows are independent: repeated rows
     stay, an empty table gives an empty result, nothing is shuffled.  Columns of ``docs`` with the
     names of the results are replaced."""
-    out = measures(docs, text_col).withColumn("__good", F.filter("__lines", lambda x: ~failing(x)))
-    good = F.aggregate("__good", F.lit(0).cast("bigint"), lambda s, x: s + F.size(words_of(x)))
-    return (out.withColumn("clean_text", F.array_join("__good", "\n")).withColumn("lost_words", F.col("n_words") - good)
+    counted = F.transform("__lines", lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    out = measures(docs, text_col).withColumn("__lines", counted)
+    out = out.withColumn("__good", F.filter("__lines", lambda x: ~failing(x["line"], x["n"])))
+    good = F.aggregate("__good", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    return (out.withColumn("clean_text", F.array_join(F.col("__good.line"), "\n")).withColumn("lost_words", F.col("n_words") - good)
             .withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * F.lit(loss)))
             .drop("__lines", "__good"))

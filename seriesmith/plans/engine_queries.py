@@ -176,11 +176,12 @@ cte("ad_levels", """SELECT *, entry_price - side * hard_stop * a AS hard_level,
   FROM lt_adapt WINDOW w AS (PARTITION BY symbol, param_id, i ORDER BY x))""")
 
 
-@query("exit_adaptive_stops", f"""SELECT symbol, i::BIGINT AS i, x::BIGINT AS exit_i, reason FROM (
+@query("exit_adaptive_stops", f"""SELECT e.symbol, e.i::BIGINT AS i, z.x::BIGINT AS exit_i, z.reason FROM ents e LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY symbol, i ORDER BY x) AS k FROM (
     SELECT *, CASE WHEN CASE WHEN side = 1 THEN low <= hard_level ELSE high >= hard_level END THEN 'hard_stop'
       WHEN active AND CASE WHEN side = 1 THEN low <= trail_level ELSE high >= trail_level END THEN 'trailing_stop'
-      WHEN x - i >= max_hold THEN 'time_exit' WHEN x = opp_i THEN 'opposing_signal' END AS reason FROM ad_levels) WHERE reason IS NOT NULL) WHERE k = 1""")
+      WHEN x - i >= max_hold THEN 'time_exit' WHEN x = opp_i THEN 'opposing_signal' END AS reason FROM ad_levels) WHERE reason IS NOT NULL) z
+  ON z.symbol = e.symbol AND z.i = e.i AND z.k = 1 WHERE e.param_id = 1""")
 def exit_adaptive_stops(spark, d):
     b = bars(spark, d)
     vol = I.conditional_variance(b, 0.8, 0.1, 0.7, 72).select("symbol", "i", "vol_ratio")
@@ -188,7 +189,7 @@ def exit_adaptive_stops(spark, d):
         "stop_factor", E.stop_factor(F.col("vol_ratio"))))
     sig = settle(S.signal_rows(b, ONE, feats=feats.drop("vol_ratio", "stop_factor")).filter("fired != 0"))
     res = E.resolve(sig, feats, ONE, slip(), adaptive=F.col("stop_factor"))
-    return tidy(res.filter("exit_i is not null"), "symbol", "i", "exit_i", "reason")
+    return tidy(res, "symbol", "i", "exit_i", "reason")  # open ones without exit
 
 
 SUMMARY = ["win_rate", "avg_win", "avg_loss", "profit_factor", "expectancy", "total_pnl_pct", "max_drawdown", "sharpe_daily", "trades_per_year"]

@@ -47,12 +47,14 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup(rows: DataFrame, small: DataFrame, keys: list[str], salt, how: str = "left") -> DataFrame:
+def lookup(rows: DataFrame, small: DataFrame, keys: list[str], salt=None, how: str = "left") -> DataFrame:
     """Join ``rows`` to a per-key table on null-safe equal keys, each key unique in ``small``.
 
     ``small`` is settled, so Spark broadcasts it only if its written size is under
     ``spark.sql.autoBroadcastJoinThreshold``.  Beyond that both sides are shuffled by key and
-    salt: ``salt`` is a column that spreads the rows of a hot key over ``SALTS`` parts."""
+    salt: ``salt`` is a column that spreads the rows of a hot key over ``SALTS`` parts.  Without
+    it (tables that are large themselves, with few hot keys) Spark splits the partitions of hot
+    keys of a sort-merge join, as the result needs no order or clustering."""
     small = settled(small)
     limit = int(small.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
     size = int(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -61,10 +63,10 @@ def lookup(rows: DataFrame, small: DataFrame, keys: list[str], salt, how: str =
     on = F.lit(True)
     for k, n in named.items():
         on = on & F.col(k).eqNullSafe(F.col(n))
-    if limit < 0 or size > limit:
+    if limit >= size:
+        small = F.broadcast(small)
+    elif salt is not None:
         small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn("__part", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
         on = on & (F.col("__part") == F.col("__salt"))
-    else:
-        small = F.broadcast(small)
     return rows.join(small, on, how).drop(*named.values(), "__salt", "__part")

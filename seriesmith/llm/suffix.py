@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = rows.where(F.octet_length("text") >= width).withColumn("t1", t1).withColumn("t2", t2)
     owner = keyed.groupBy(*text).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("owner"))
     wanted = wanted.join(owner.select(*text, F.col("owner.doc_id").alias("owner")), text)
-    held = lookup(keyed, wanted, text, F.col("doc_id"), how="inner").where(F.col("doc_id").eqNullSafe(F.col("owner")))
+    held = lookup(keyed, wanted, text, how="inner").where(F.col("doc_id").eqNullSafe(F.col("owner")))
     held = held.select(F.explode("list").alias("x"), F.col("text").cast("binary").alias("text"))
     held = held.select("x.*", "text").select(
         *seg, "n", "bytes", F.expr(f"substring(text, cast(a + 1 as int), cast(n + {width - 1} as int))").alias("data"))
@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = many.mapInPandas(lambda b: digests(b, False), "w1 bigint, w2 bigint").groupBy("w1", "w2") \
         .agg(F.count("*").alias("c")).where("c > 1").drop("c")
     told = lookup(many.mapInPandas(digests, "h bigint, s1 bigint, s2 bigint, a bigint, w1 bigint, w2 bigint"),
-                  twice, ["w1", "w2"], F.col("s1"), how="inner")
+                  twice, ["w1", "w2"], how="inner")
     told = told.groupBy(*seg).agg(F.collect_list("a").alias("found")).mapInPandas(in_ranges, FOUND)
     # back to the texts: one list of windows for each different text
     marks = found.join(copied.union(sorted_).union(told), seg).select(*text, "a", F.explode("found").alias("f"))
@@ -334,5 +334,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()),
                         T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
                         T.StructField("kept", T.BinaryType())])
-    joined = lookup(rows.withColumn("t1", t1).withColumn("t2", t2), marks, text, F.col("doc_id"))
+    joined = lookup(rows.withColumn("t1", t1).withColumn("t2", t2), marks, text)
     return joined.select("doc_id", "text", "found").mapInPandas(cut_out(width), out)

@@ -310,3 +310,36 @@ def test_pipeline_stages(spark, data, data_small):
     rows = corpus_pipeline.run(spark, data)
     assert set(rows.columns) >= {"doc_id", "n_tokens", "ids_sha256"} and rows.count() > 50
     assert hashlib.sha256(b"").hexdigest() not in {r.ids_sha256 for r in rows.collect()}
+
+
+def test_pipeline_near_copies_by_five_word_shingles(spark):
+    """Recall against brute force, with copies that lie beyond three bits of a fingerprint."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", " \n", "one two", "One  two", "one two three"]
+    for _ in range(25):
+        base = rng.choices(words, k=rng.randint(6, 160))
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 12)):
+            t = list(base)
+            for _ in range(rng.randint(1, 4)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                far += (simhash.fingerprint_of(texts[i]) ^ simhash.fingerprint_of(texts[j])).bit_count() > 3
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert far > 20
+    got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, table(spark, texts), None).collect()}
+    assert got == set(root)

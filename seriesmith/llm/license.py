@@ -105,7 +105,8 @@ def sentences(text):
 def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: dict[str, list[str]] = RULES,
          text_col: str = "text") -> DataFrame:
     """``docs`` with ``sentence_ids`` (known licence sentences in order, ``id:version``),
-    ``licenses`` (array, in rule order) and ``n_unknown`` (sentences about licensing of which
+    ``licenses`` (array, in rule order,
+    the versions of a rule in order of appearance) and ``n_unknown`` (sentences about licensing of which
     neither the whole nor a line is known).
 
     Known sentences and rules are parameters of the plan, not data.  Null and empty texts have no
@@ -129,10 +130,10 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: dict[str, li
         pattern = rf" {sequence} "
         step = f"__left{number}"
         out = out.withColumn(step, left)
-        hit = F.regexp_extract(F.col(step), pattern, 1)
-        title = F.concat(*[F.lit(p) if p != "{v}" else F.substring(hit, 2, 99) for p in re.split(r"(\{v\})", name.strip()) if p])
-        licenses.append(F.when(F.col(step).rlike(pattern), title))
+        title = lambda hit: F.concat(*[F.lit(p) if p != "{v}" else F.substring(hit, 2, 99)
+                                       for p in re.split(r"(\{v\})", name.strip()) if p])
+        licenses.append(F.transform(F.regexp_extract_all(F.col(step), F.lit(pattern), F.lit(1)), title))
         left = F.regexp_replace(F.col(step), pattern, " ")
-    out = out.withColumn("licenses", F.array_distinct(F.filter(F.array(*licenses), lambda x: x.isNotNull())))
+    out = out.withColumn("licenses", F.array_distinct(F.concat(*licenses)))
     unknown = F.size(F.filter("__found", lambda x: F.size(x) == 0))
     return out.withColumn("n_unknown", unknown.cast("bigint")).drop("__said", "__found", *[f"__left{n}" for n in range(len(rules))])

@@ -343,3 +343,12 @@ def test_pipeline_near_copies_by_five_word_shingles(spark):
     assert far > 20
     got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, table(spark, texts), None).collect()}
     assert got == set(root)
+
+
+def test_license_reports_every_version_of_a_rule(spark):
+    gpl = "This work is licensed under the GNU General Public License, version {}."
+    apache = "Licensed under the Apache License, Version {}."
+    got = {r.doc_id: r.licenses for r in license.scan(table(spark, [
+        f"{gpl.format(2)} {gpl.format(3)} {gpl.format(2)}", f"{apache.format('1.1')} Words. {apache.format('2.0')}",
+        f"Licensed under CC BY 4.0. {gpl.format(3)} Licensed under CC BY 3.0."])).collect()}
+    assert got == {0: ["GPL-2", "GPL-3"], 1: ["Apache-1.1", "Apache-2.0"], 2: ["GPL-3", "CC-BY-4.0", "CC-BY-3.0"]}

@@ -352,3 +352,14 @@ def test_license_reports_every_version_of_a_rule(spark):
         f"{gpl.format(2)} {gpl.format(3)} {gpl.format(2)}", f"{apache.format('1.1')} Words. {apache.format('2.0')}",
         f"Licensed under CC BY 4.0. {gpl.format(3)} Licensed under CC BY 3.0."])).collect()}
     assert got == {0: ["GPL-2", "GPL-3"], 1: ["Apache-1.1", "Apache-2.0"], 2: ["GPL-3", "CC-BY-4.0", "CC-BY-3.0"]}
+
+
+def test_pipeline_keeps_groups_with_equal_or_no_ids(spark):
+    import corpus_pipeline
+
+    near = " ".join(f"n{i}" for i in range(60))
+    rows = [(1, "an apple fell from the tree"), (1, "quite another text of seven words"), (None, "lost words without any id"),
+            (None, "lost words without any id"), (2, near), (None, f"{near} more"), (3, near)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    got = sorted((r.text, r.doc_id) for r in corpus_pipeline.one_of_each(spark, docs, None).collect())
+    assert got == sorted([(rows[0][1], 1), (rows[1][1], 1), (rows[2][1], None), (near, 2)])

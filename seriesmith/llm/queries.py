@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, license, mixing, pii, quality, simhash, suffix, topk, toxicity
+from . import bpe, html, license, mixing, packing, pii, quality, simhash, suffix, topk, toxicity, variants, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -204,3 +204,18 @@ SELECT * FROM (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 WHERE rank <= 5
 """
+
+
+@query
+def op11_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), vocabulary())
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op13_variants(spark, sf_dir):
+    return variants.group(documents(spark, sf_dir))

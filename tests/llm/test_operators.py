@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmith.llm import bpe, html, license, mixing, pii, quality, simhash, suffix, topk, toxicity
+from seriesmith.llm import bpe, html, license, mixing, pii, quality, shingles, simhash, suffix, topk, toxicity
 from seriesmith.llm.queries import vocabulary
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -304,14 +304,67 @@ def test_pipeline_stages(spark, data, data_small):
     assert len(missed) < 0.2 * sum(labels.values()) and len(lost) < 0.03 * len(labels)
     docs = spark.read.parquet(f"{data}/documents.parquet")
     one = corpus_pipeline.one_of_each(spark, docs, data)
-    groups = simhash.near_duplicates(docs)
-    assert one.count() == groups.select("component_id").distinct().count()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id for r in one.collect()} == smallest_of_groups(texts)
     assert {tuple(r) for r in one.collect()} <= {tuple(r) for r in docs.collect()}
     rows = corpus_pipeline.run(spark, data)
     assert set(rows.columns) >= {"doc_id", "n_tokens", "ids_sha256"} and rows.count() > 50
     assert hashlib.sha256(b"").hexdigest() not in {r.ids_sha256 for r in rows.collect()}
 
 
+def grams(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def smallest_of_groups(texts):
+    """Smallest key of each group of texts linked at a Jaccard similarity of 0.8 of their shingles."""
+    keys = sorted(texts)
+    sets, root = {k: grams(texts[k]) for k in keys}, {k: k for k in keys}
+    for n, i in enumerate(keys):
+        for j in keys[:n]:
+            if root[i] != root[j] and 4 * len(sets[i]) <= 5 * len(sets[j]) and 4 * len(sets[j]) <= 5 * len(sets[i]) \
+                    and len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = {k: lo if r == hi else r for k, r in root.items()}
+    return set(root.values())
+
+
+def test_pipeline_near_copies_with_shared_passages(spark, data_small):
+    """Passages that many unrelated texts share, families below and above 0.8, and the given texts."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    passages = [rng.choices(words, k=60) for _ in range(2)]
+    texts = []
+    for n in range(120):
+        base = rng.choices(words, k=rng.choice([3, 20, 60, 200, 500])) + passages[n % 2]
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 0, 1, 6])):
+            t = list(base)
+            for _ in range(max(1, int(len(t) * rng.choice([0.005, 0.02, 0.03, 0.05])))):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t[: rng.choice([len(t), len(t) * 9 // 10])]))
+    got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, table(spark, texts), None).collect()}
+    assert got == smallest_of_groups(dict(enumerate(texts))) and len(got) < len(texts) - 20
+    docs = spark.read.parquet(f"{data_small}/documents.parquet")
+    got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, data_small).collect()}
+    assert got == smallest_of_groups({r.doc_id: r.text for r in docs.collect()})
+    assert corpus_pipeline.one_of_each(spark, docs.limit(0), data_small).count() == 0
+
+
+def test_parities_never_hide_a_near_pair():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 70, 900, 3000):
+        a = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
+        for lost in (0.0, 0.05, 0.11, 0.3):
+            b = np.unique(np.r_[a[rng.random(len(a)) >= lost], rng.integers(0, 2 ** 63, int(n * lost / 2)).astype(np.uint64)])
+            if len(b):
+                near = shingles.similar(a, b)
+                assert shingles.may_be_near(shingles.parity(a), len(a), shingles.parity(b), len(b)) or not near
+
+
 def test_pipeline_near_copies_by_five_word_shingles(spark):
     """Recall against brute force, with copies that lie beyond three bits of a fingerprint."""
     import corpus_pipeline
@@ -328,10 +381,6 @@ def test_pipeline_near_copies_by_five_word_shingles(spark):
                 t[rng.randrange(len(t))] = rng.choice(words)
             texts.append(" ".join(t))
 
-    def grams(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
-
     sets, root = [grams(t) for t in texts], list(range(len(texts)))
     far = 0
     for i in range(len(texts)):

@@ -60,3 +60,9 @@ def hash_uniform(seed: int, *cols) -> Column:
     """Uniform double in [0, 1) that depends only on the values, never on partitioning."""
     h = F.xxhash64(F.lit(seed), *[col(c) for c in cols])
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+
+
+def text_uniform(seed: int, *cols) -> Column:
+    """As ``hash_uniform``, from the first 32 bits of an MD5 that other engines have as well."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in cols]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))

@@ -16,7 +16,9 @@ ENTRY = ["symbol", "param_id", "i"]
 
 
 def exit_params(spark, params) -> DataFrame:
-    """Exit fields of the parameter sets as a small table."""
+    """Exit fields of the parameter sets, a table or a list, as a table."""
+    if isinstance(params, DataFrame):
+        return params.select("param_id", "hard_stop", "trail", F.col("max_hold").cast("int").alias("max_hold"))
     rows = [
         F.struct(
             F.lit(p["param_id"]).cast("int").alias("param_id"),
@@ -29,11 +31,17 @@ def exit_params(spark, params) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
 
 
+def longest_hold(params) -> int:
+    if isinstance(params, DataFrame):
+        return int(params.agg(F.max("max_hold")).first()[0])
+    return max(int(p["max_hold"]) for p in params)
+
+
 def candidates(signals: DataFrame, params: DataFrame, slippage: Column, long_only=False) -> DataFrame:
     """One candidate entry per fired signal, filled at the close plus / minus slippage."""
     side = F.col("fired")
     wanted = side == 1 if long_only else side != 0
-    return signals.filter(wanted).join(F.broadcast(params), "param_id").select(
+    return signals.filter(wanted).join(params, "param_id").select(
         *ENTRY, F.col("t").alias("entry_t"), side.alias("side"), "strength",
         slippage.alias("slippage"),
         (F.col("close") * (F.lit(1.0) + side * slippage)).alias("entry_price"),
@@ -114,10 +122,10 @@ def first_exit(walked: DataFrame) -> DataFrame:
     )
 
 
-def resolve(signals: DataFrame, bars: DataFrame, params: list[dict], slippage: Column,
+def resolve(signals: DataFrame, bars: DataFrame, params: list[dict] | DataFrame, slippage: Column,
             long_only=False, adaptive: Column | None = None) -> DataFrame:
     """Every candidate entry with its first exit (NULL where the data ends first)."""
-    reach = max(int(p["max_hold"]) for p in params)
+    reach = longest_hold(params)
     entries = candidates(signals, exit_params(bars.sparkSession, params), slippage, long_only)
     entries = first_opposing(entries, signals, reach)
     hits = first_exit(walk(entries, bars, reach, adaptive))

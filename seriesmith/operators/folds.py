@@ -163,19 +163,19 @@ class SearchSpace:
     min_gap: float = 5.0
 
 
-def random_sets(spark, n: int, space: SearchSpace, seed: int, first_id: int = 0) -> DataFrame:
-    """Seeded parameter sets; a value depends only on (seed, set, name)."""
+def random_sets(spark, n: int, space: SearchSpace, seed: int, first_id: int = 0, uniform=hash_uniform) -> DataFrame:
+    """Seeded parameter sets; a value depends only on (seed, set, name).  ``uniform`` draws it."""
     out = spark.range(first_id, first_id + n).withColumnRenamed("id", "param_id")
     cols = {}
     for name, r in space.ranges.items():
-        u = hash_uniform(seed, "param_id", F.lit(name))
+        u = uniform(seed, "param_id", F.lit(name))
         if r.whole:
             cols[name] = (F.floor(u * (int(r.hi) - int(r.lo) + 1)) + int(r.lo)).cast("double")
         else:
             cols[name] = F.lit(float(r.lo)) + u * (float(r.hi) - float(r.lo))
     tf = F.element_at(
         F.array(*[F.lit(t) for t in space.trend_tfs]),
-        (F.floor(hash_uniform(seed, "param_id", F.lit("trend_tf")) * len(space.trend_tfs)) + 1).cast("int"),
+        (F.floor(uniform(seed, "param_id", F.lit("trend_tf")) * len(space.trend_tfs)) + 1).cast("int"),
     )
     return repair_gap(out.withColumns({**cols, "trend_tf": tf}), space.min_gap)
 

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settle
+from . import blocks
 from . import exits as E
 from .decisions import train_gate
 from .folds import block_folds, combo_ids, cscv_combinations
 from .metrics import fold_score, full_metrics
+from .parameters import each_with
 from .scan import BLOCK_BARS
 from .selection import best_per_key
 from .signals import Benchmark
@@ -62,12 +64,19 @@ def each(ids) -> Column:
     return F.explode(F.array(*[F.lit(int(k)) for k in ids]))
 
 
+def with_sets(rows: DataFrame, sets) -> DataFrame:
+    """Every row with every ``param_id``: of a table of sets, or of a short list of ids."""
+    if isinstance(sets, DataFrame):
+        return each_with(rows, sets.select("param_id"), F.col("param_id"))
+    return rows.withColumn("param_id", each(sets))
+
+
 def sweep(resolved: DataFrame, folds: DataFrame, bars: DataFrame, reach: int, param_ids, acct: Account = Account(),
           warmup: int = 0, min_year: float = 60, min_test: int = 5, score=fold_score,
           attributes=("sharpe_daily", "max_drawdown", "total_pnl_pct")) -> DataFrame:
     """Score of every (symbol, param_id, fold): test score behind the train constraints.
 
-    ``score`` maps a metric table to a score column; ``attributes`` are metrics of the test
+    ``param_ids`` is a table of sets or a short list of ids.  ``score`` maps a metric table to a score column; ``attributes`` are metrics of the test
     window kept next to it.  ``folds`` comes from ``walk_forward``; train is ``[warmup, train_end_i)``, test is
     ``[test_start_i, test_end_i)``.  Both run in one job as separate folds.
     """
@@ -89,7 +98,7 @@ def sweep(resolved: DataFrame, folds: DataFrame, bars: DataFrame, reach: int, pa
         *[F.col(f"t.{a}").alias(a) for a in attributes],
     )
     # combinations without any trade still count with score zero
-    grid = folds.select("symbol", "fold").withColumn("param_id", each(param_ids))
+    grid = with_sets(folds.select("symbol", "fold"), param_ids)
     return grid.join(scored, ["symbol", "param_id", "fold"], "left").withColumns({
         "score": F.coalesce("score", F.lit(0.0)), "test_trades": F.coalesce("test_trades", F.lit(0)),
     })
@@ -107,16 +116,17 @@ def best_sets(scores: DataFrame) -> DataFrame:
 
 
 def cscv_scores(resolved: DataFrame, lengths: DataFrame, bars: DataFrame, n_blocks: int, reach: int, param_ids,
-                acct: Account = Account(), span=False) -> DataFrame:
+                acct: Account = Account(), span=False, min_test: int = 5) -> DataFrame:
     """Train and test score of every (symbol, combination, parameter set).
 
     By default a side is the union of its blocks: trades are resolved per block and then
-    follow each other.  ``span=True`` uses the range from the first to the last block of a
-    side instead, so both sides can overlap.
+    follow each other.  Each block is summarised once, and a side is folded from the summaries of
+    its blocks (``blocks``).  ``span=True`` uses the range from the first to the last block of a
+    side instead, so both sides can overlap; ranges that several combinations share are run once.
+    ``param_ids`` is a table of sets or a short list of ids.
     """
-    combos = cscv_combinations(bars.sparkSession, n_blocks)
-    blocks = block_folds(lengths, n_blocks)
     if span:
+        combos = cscv_combinations(bars.sparkSession, n_blocks)
         edge = combos.groupBy("combo", "role").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
         edge = edge.withColumn("fold", F.col("lo") * n_blocks + F.col("hi"))
         every = [lo * n_blocks + hi for lo in range(n_blocks) for hi in range(lo, n_blocks)]
@@ -126,19 +136,25 @@ def cscv_scores(resolved: DataFrame, lengths: DataFrame, bars: DataFrame, n_bloc
             ((F.col("fold") % n_blocks + 1) * size).alias("end_i"))
         folds = folds.join(F.broadcast(edge.select("fold").distinct()), "fold", "left_semi")
         m = fold_metrics(settle(fold_trades(resolved, folds, bars, reach, acct)), acct)
-        m = m.withColumn("score", fold_score(m, min_test=1))
+        m = m.withColumn("score", fold_score(m, min_test=min_test))
         sides = m.select("symbol", "param_id", "fold", "score").join(edge.select("combo", "role", "fold"), "fold")
+        wide = sides.groupBy("symbol", "param_id", "combo").agg(
+            F.max(F.when(F.col("role") == "train", F.col("score"))).alias("train_score"),
+            F.max(F.when(F.col("role") == "test", F.col("score"))).alias("test_score"))
     else:
-        taken = settle(E.non_overlapping(E.cut_to_folds(resolved, blocks, bars), KEY, reach))
-        spread = taken.join(combos.withColumnRenamed("block", "fold"), "fold")
-        key = ["symbol", "param_id", "combo", "role"]
-        t = E.compounded(spread, key, acct.start, E.bet_size(acct.pct), acct.fee)
-        t = with_days(t, acct).withColumn("days", F.col("days") * (n_blocks // 2))
-        m = full_metrics(settle(t), key, ["eb"], ["i"], acct.start, F.col("days"))
-        sides = m.withColumn("score", fold_score(m, min_test=1)).select(*key, "score")
-    wide = sides.groupBy("symbol", "param_id", "combo").agg(
-        F.max(F.when(F.col("role") == "train", F.col("score"))).alias("train_score"),
-        F.max(F.when(F.col("role") == "test", F.col("score"))).alias("test_score"))
-    grid = lengths.select("symbol", each(param_ids).alias("param_id")).withColumn(
-        "combo", F.explode(combo_ids(n_blocks)))
+        taken = E.non_overlapping(E.cut_to_folds(resolved, block_folds(lengths, n_blocks), bars), KEY, reach)
+        factor = F.greatest(F.lit(1.0) + E.bet_size(acct.pct) * E.price_return(acct.fee), F.lit(1e-12))  # ruin
+        per = blocks.summaries(with_days(taken, acct), ["symbol", "param_id"], "fold", F.ln(factor))
+        row = F.array_sort(F.collect_list(F.struct("fold", "s"))).alias("blocks")
+        row = per.groupBy("symbol", "param_id").agg(row).withColumn("combo", F.explode(combo_ids(n_blocks)))
+        span_days = F.floor(F.col("n") / n_blocks) * (n_blocks // 2) / F.lit(float(acct.bars_per_day))
+
+        def side(inside):
+            mine = F.filter("blocks", lambda b: F.getbit(F.col("combo"), b["fold"]) == inside)
+            whole = F.aggregate(mine, blocks.empty(), lambda acc, b: blocks.joined(acc, b["s"]))
+            return blocks.union_score(whole, F.col("days"), min_test)
+
+        row = row.join(lengths, "symbol").withColumn("days", span_days)
+        wide = row.select("symbol", "param_id", "combo", side(1).alias("train_score"), side(0).alias("test_score"))
+    grid = with_sets(lengths.select("symbol"), param_ids).withColumn("combo", F.explode(combo_ids(n_blocks)))
     return grid.join(wide, ["symbol", "param_id", "combo"], "left").fillna(0.0, ["train_score", "test_score"])

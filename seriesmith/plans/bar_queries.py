@@ -110,7 +110,7 @@ def sma_full_window(spark, d):
 cte("deltas", "SELECT *, coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY t), 0) AS dlt FROM bars")
 
 
-def _rsi_sql(n):
+def rsi_sql(n):
     w = f"(PARTITION BY symbol ORDER BY t ROWS {n - 1} PRECEDING)"
     g = f"avg(greatest(dlt, 0.0::DOUBLE)) OVER {w}"
     l = f"avg(greatest(-dlt, 0.0::DOUBLE)) OVER {w}"
@@ -118,10 +118,10 @@ def _rsi_sql(n):
       THEN 100.0::DOUBLE - 100.0::DOUBLE / (1.0::DOUBLE + {g} / {l}) END, 100.0::DOUBLE)"""
 
 
-cte("rsi7", f"SELECT symbol, t, i, {_rsi_sql(7)} AS rsi FROM deltas")
+cte("rsi7", f"SELECT symbol, t, i, {rsi_sql(7)} AS rsi FROM deltas")
 
 
-@query("rsi_sma", f"SELECT symbol, t, {r6(_rsi_sql(7), 'rsi_7')}, {r6(_rsi_sql(14), 'rsi_14')} FROM deltas")
+@query("rsi_sma", f"SELECT symbol, t, {r6(rsi_sql(7), 'rsi_7')}, {r6(rsi_sql(14), 'rsi_14')} FROM deltas")
 def rsi_sma(spark, d):
     return tidy(I.rsi(T.bars(spark, d), [7, 14]), "symbol", "t", "rsi_7", "rsi_14")
 
@@ -246,6 +246,7 @@ def _htf_macd(tf, width):
 
 _htf_macd("4h", 14400)
 _htf_macd("8h", 28800)
+_htf_macd("1d", 86400)
 cte("trend_one", "SELECT symbol, t, ends, bull FROM trend_4h WHERE fast = 3.0 AND slow = 8.0")
 
 

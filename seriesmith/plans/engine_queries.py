@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import case_map, fix
+from ..functions.columns import case_map, fix, text_uniform
 from ..operators import equity as Q
 from ..operators import exits as E
 from ..operators import folds as FD
 from ..operators import metrics as M
+from ..operators import parameters as P
 from ..operators import reports as R
 from ..operators import selection as SEL
 from ..operators import signals as S
@@ -18,8 +19,8 @@ from ..operators import validation as V
 from ..operators import indicators as I
 from ..sources import tables as T
 from ..sources.scratch import settle
-from .bar_queries import GRID, ONE, bars, tail_edges
-from .registry import cte, query, r6, tidy
+from .bar_queries import GRID, ONE, bars, rsi_sql, tail_edges
+from .registry import cte, fork, query, r6, tidy
 from .templates import metrics, out, score
 
 def slip():
@@ -57,18 +58,14 @@ cte("wf", """SELECT l.symbol, fold, (floor(n::DOUBLE * train_end))::BIGINT AS tr
     (floor(n::DOUBLE * test_end))::BIGINT AS test_end_i FROM lens l, (VALUES (0, 0.70::DOUBLE, 0.85::DOUBLE), (1, 0.85::DOUBLE, 1.00::DOUBLE)) v(fold, train_end, test_end) WHERE n >= 100""")
 cte("f_wf", """SELECT symbol, fold * 2 AS fold, 0 AS start_i, train_end_i AS end_i FROM wf
   UNION ALL SELECT symbol, fold * 2 + 1, test_start_i, test_end_i FROM wf""")
-cte("f_blocks", "SELECT symbol, b AS fold, b * (n // 4) AS start_i, (b + 1) * (n // 4) AS end_i FROM lens, range(4) r(b)")
-cte("f_spans", "SELECT symbol, lo * 4 + hi AS fold, lo * (n // 4) AS start_i, (hi + 1) * (n // 4) AS end_i FROM lens, (SELECT DISTINCT lo, hi FROM sides_mm)")
-cte("combos4", "SELECT m AS combo, b AS block, CASE WHEN (m >> b) & 1 = 1 THEN 'train' ELSE 'test' END AS side_name FROM range(16) r(m), range(4) q(b) WHERE bit_count(m) = 2")
-cte("sides_mm", "SELECT combo, side_name, min(block) AS lo, max(block) AS hi FROM combos4 GROUP BY ALL")
 
 
-def engine(name, folds):
+def engine(name, folds, source="resolved"):
     """Trades of one fold set: truncation, greedy chain, returns, compounding."""
     cte(f"{name}_cut", f"""SELECT r.symbol, r.param_id, f.fold, r.i, r.entry_t, r.side, r.strength, r.entry_price, f.start_i, f.end_i,
       CASE WHEN d THEN r.exit_i ELSE f.end_i - 1 END AS exit_i, CASE WHEN d THEN r.exit_t ELSE b.t END AS exit_t,
       CASE WHEN d THEN r.reason ELSE 'force_close' END AS reason, CASE WHEN d THEN r.exit_price ELSE b.close * (1 - r.side * r.slippage) END AS exit_price
-      FROM (SELECT *, 1 AS one FROM resolved) r JOIN {folds} f ON f.symbol = r.symbol AND r.i >= f.start_i AND r.i < f.end_i
+      FROM (SELECT *, 1 AS one FROM {source}) r JOIN {folds} f ON f.symbol = r.symbol AND r.i >= f.start_i AND r.i < f.end_i
       JOIN bars b ON b.symbol = f.symbol AND b.i = f.end_i - 1, LATERAL (SELECT coalesce(r.exit_i < f.end_i, false) AS d)""")
     cte(f"{name}_seq", f"""SELECT *, CASE WHEN reason = 'opposing_signal' THEN exit_i ELSE exit_i + 1 END AS free_i,
       row_number() OVER (PARTITION BY symbol, param_id, fold ORDER BY i) AS k FROM {name}_cut""")
@@ -92,10 +89,7 @@ def compound(name, src, keys):
 
 engine("ew", "f_whole")
 engine("ef", "f_wf")
-engine("eb", "f_blocks")
-engine("es", "f_spans")
-for _n in ("ef", "es"):
-    metrics(f"{_n}_m", _n, "symbol, param_id, fold", "i", "days", "100000.0::DOUBLE")
+metrics("ef_m", "ef", "symbol, param_id, fold", "i", "days", "100000.0::DOUBLE")
 metrics("ew_m", "ew", "symbol, param_id", "i", "days", "100000.0::DOUBLE")
 cte("e1", "SELECT * FROM ew WHERE param_id = 1")
 
@@ -335,26 +329,136 @@ def halving_rung(spark, d):
     return tidy(SEL.better_half(m, ["symbol"], ["bucket"]), "symbol", "param_id", "score")
 
 
-cte("sp_side", f"""SELECT s.combo, s.side_name, m.symbol, m.param_id, {score(1)} AS score FROM es_m m JOIN sides_mm s ON m.fold = s.lo * 4 + s.hi""")
-cte("ub", "SELECT t.*, c.combo, c.side_name FROM eb_ret t JOIN combos4 c ON c.block = t.fold")
-compound("uc", "ub", "symbol, param_id, combo, side_name")
-metrics("uc_m", "uc", "symbol, param_id, combo, side_name", "i", "days * 2", "100000.0::DOUBLE")
-cte("un_side", f"SELECT combo, side_name, symbol, param_id, {score(1)} AS score FROM uc_m")
+# ---------------------------------------------------------------- parameter sets as a table
+SPACE = FD.SearchSpace({
+    "fast": FD.Range(2, 6), "slow": FD.Range(8, 16, True), "signal": FD.Range(2, 5, True), "rsi_period": FD.Range(5, 9, True),
+    "rsi_lower": FD.Range(50, 65), "rsi_upper": FD.Range(35, 50), "rsi_lookback": FD.Range(0, 4, True), "adx_min": FD.Range(5, 15),
+    "hard_stop": FD.Range(1, 2), "trail": FD.Range(0.8, 1.6), "max_hold": FD.Range(8, 24, True)})
+#: Sets of the overfitting score (100 drawn and one more) and of the sweep, blocks, least trades of a score.
+PBO_SETS, SWEEP_SETS, BLOCKS, MIN_TEST = 101, 1000, 8, 5
+
+
+def random_sets(spark, n):
+    sets = FD.random_sets(spark, n, SPACE, 42, uniform=text_uniform)
+    return settle(sets.withColumns({c: F.col(c).cast("int") for c in ("rsi_period", "rsi_lookback", "max_hold")}))
+
+
+def _draw(name):
+    return f"('0x' || substr(md5('42|' || k || '|{name}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _value(name, r):
+    u = _draw(name)
+    if r.whole:
+        return f"(floor({u} * {int(r.hi) - int(r.lo) + 1}) + {int(r.lo)})::DOUBLE AS {name}"
+    return f"{float(r.lo)}::DOUBLE + {u} * ({float(r.hi)}::DOUBLE - {float(r.lo)}::DOUBLE) AS {name}"
+
+
+def _params_cte(name, n):
+    cte(name, f"""SELECT * REPLACE (CASE WHEN slow - fast < 5 THEN floor(fast) + 5 ELSE slow END AS slow, max_hold::BIGINT AS max_hold) FROM (
+      SELECT k AS param_id, {', '.join(_value(c, r) for c, r in SPACE.ranges.items())},
+        (['4h', '8h', '1d'])[1 + (floor({_draw('trend_tf')} * 3))::BIGINT] AS trend_tf FROM range({n}) r(k))""")
+
+
+# the chain of tables from parameter sets to exits, once more for these sets
+_CHAIN = ["combos", "macds", "macd_rows", "cross_rows", "hm_4h", "hm_8h", "hm_1d", "trend_4h", "trend_8h", "trend_1d"]
+_AFTER = ["ents", "opps", "walked", "levels", "barriers", "exits0", "resolved"]
+_zone = " UNION ALL ".join(
+    f"""SELECT symbol, i, {n} AS rsi_period, {m} AS rsi_lookback, rsi, min(rsi) OVER w AS rsi_min, max(rsi) OVER w AS rsi_max
+      FROM (SELECT symbol, t, i, {rsi_sql(n)} AS rsi FROM deltas) WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS {m} PRECEDING)"""
+    for n in range(5, 10) for m in range(5))
+cte("zones_long", _zone)
+_params_cte("q_params", PBO_SETS)
+fork("q_", _CHAIN, ["params"])
+cte("q_trends", " UNION ALL ".join(f"SELECT '{tf}' AS trend_tf, * FROM q_trend_{tf}" for tf in ("4h", "8h", "1d")))
+cte("q_sig_free", """SELECT h.symbol, h.param_id, h.i, f.t, h.crossed AS fired, abs(h.macd - h.sig) / CASE WHEN f.atr > 0 THEN f.atr ELSE 1e-8 END + abs(z.rsi - 50) / 50 AS strength,
+    f.high, f.low, f.close
+  FROM (SELECT c.*, p.param_id, p.trend_tf, p.rsi_period, p.rsi_lookback, p.rsi_lower, p.rsi_upper, p.adx_min, b.t AS base_t
+    FROM q_cross_rows c JOIN q_params p USING (fast, slow, signal) JOIN bars b USING (symbol, i) WHERE c.crossed <> 0) h
+  JOIN zones_long z ON z.symbol = h.symbol AND z.i = h.i AND z.rsi_period = h.rsi_period AND z.rsi_lookback = h.rsi_lookback
+    AND CASE WHEN h.crossed = 1 THEN z.rsi_min < h.rsi_lower ELSE z.rsi_max > h.rsi_upper END
+  JOIN feats f ON f.symbol = h.symbol AND f.i = h.i AND f.adx >= h.adx_min
+  ASOF JOIN q_trends tr ON h.symbol = tr.symbol AND h.trend_tf = tr.trend_tf AND h.fast = tr.fast AND h.slow = tr.slow AND h.signal = tr.signal AND h.base_t >= tr.ends
+  WHERE tr.bull = (h.crossed = 1)""")
+fork("q_", _AFTER, ["params", "sig_free"])
+cte("f_blocks8", f"SELECT symbol, b AS fold, b * (n // {BLOCKS}) AS start_i, (b + 1) * (n // {BLOCKS}) AS end_i FROM lens, range({BLOCKS}) r(b)")
+cte("combos8", f"""SELECT m AS combo, b AS block, CASE WHEN (m >> b) & 1 = 1 THEN 'train' ELSE 'test' END AS side_name
+  FROM range({1 << BLOCKS}) r(m), range({BLOCKS}) q(b) WHERE bit_count(m) = {BLOCKS // 2}""")
+cte("sides8", "SELECT combo, side_name, min(block) AS lo, max(block) AS hi FROM combos8 GROUP BY ALL")
+cte("f_spans8", f"SELECT symbol, lo * {BLOCKS} + hi AS fold, lo * (n // {BLOCKS}) AS start_i, (hi + 1) * (n // {BLOCKS}) AS end_i FROM lens, (SELECT DISTINCT lo, hi FROM sides8)")
+engine("q_eb", "f_blocks8", "q_resolved")
+engine("q_es", "f_spans8", "q_resolved")
+metrics("q_es_m", "q_es", "symbol, param_id, fold", "i", "days", "100000.0::DOUBLE")
+# sweep: the same chain for more sets
+_Q = ["q_" + n for n in (*_CHAIN, "trends", "sig_free", *_AFTER)]
+_params_cte("kq_params", SWEEP_SETS)
+fork("k", _Q, ["q_params"])
+engine("k_ef", "f_wf", "kq_resolved")
+metrics("k_ef_m", "k_ef", "symbol, param_id, fold", "i", "days", "100000.0::DOUBLE")
+cte("k_ef_x", f"SELECT *, {score(MIN_TEST)} AS score FROM k_ef_m")
+cte("k_sw", f"""SELECT wf.symbol, p.param_id, wf.fold, coalesce(t.trades, 0) AS test_trades,
+  CASE WHEN coalesce(r.trades_per_year, 0) >= 60 AND coalesce(t.trades, 0) >= {MIN_TEST} THEN t.score ELSE 0 END AS score
+  FROM wf CROSS JOIN kq_params p LEFT JOIN k_ef_x r ON r.fold = wf.fold * 2 AND r.symbol = wf.symbol AND r.param_id = p.param_id
+  LEFT JOIN k_ef_x t ON t.fold = wf.fold * 2 + 1 AND t.symbol = wf.symbol AND t.param_id = p.param_id""")
+
+
+@query("random_parameter_sets", f"""SELECT param_id::BIGINT AS param_id, {out(*SPACE.ranges)}, trend_tf, (SELECT count(*) FROM events) AS n_ticks FROM (
+  SELECT * REPLACE (max_hold::DOUBLE AS max_hold) FROM kq_params)""")
+def random_parameter_sets(spark, d):
+    sets = random_sets(spark, SWEEP_SETS).withColumns({c: F.col(c).cast("double") for c in SPACE.ranges})
+    n = T.table(spark, d, "events").count()
+    return tidy(sets.withColumn("n_ticks", F.lit(n).cast("bigint")), "param_id", *SPACE.ranges, "trend_tf", "n_ticks")
+
+
+@query("sets_signals", f"SELECT symbol, param_id::BIGINT AS param_id, i::BIGINT AS i, fired::BIGINT AS fired, {out('strength')} FROM kq_sig_free")
+def sets_signals(spark, d):
+    return tidy(P.signals_of_sets(bars(spark, d), random_sets(spark, SWEEP_SETS)), "symbol", "param_id", "i", "fired", "strength")
+
+
+def _sets_sweep(spark, d):
+    b, sets = bars(spark, d), random_sets(spark, SWEEP_SETS)
+    res, reach = P.resolved_of_sets(b, sets, slip())
+    f = FD.walk_forward(FD.series_lengths(b), RULES)
+    return SW.sweep(res, f, b, reach, sets, ACCT, min_year=60, min_test=MIN_TEST)
+
+
+@query("sets_sweep", f"SELECT symbol, param_id::BIGINT AS param_id, fold::BIGINT AS fold, test_trades, {out('score')} FROM k_sw")
+def sets_sweep(spark, d):
+    return tidy(_sets_sweep(spark, d), "symbol", "param_id", "fold", "test_trades", "score")
+
+
+cte("sp_side", f"""SELECT s.combo, s.side_name, m.symbol, m.param_id, {score(MIN_TEST)} AS score FROM q_es_m m JOIN sides8 s ON m.fold = s.lo * {BLOCKS} + s.hi""")
+# every combination with its own copy of the trades, equity relative to its start
+cte("un_path", f"""SELECT *, max(p) OVER w AS top, sum(g) OVER (PARTITION BY symbol, param_id, combo, side_name, exit_day) AS day_g,
+    row_number() OVER (PARTITION BY symbol, param_id, combo, side_name, exit_day ORDER BY i) AS day_k FROM (
+    SELECT *, sum(g) OVER w AS p FROM (SELECT t.*, ln(1 + 0.2::DOUBLE * ret) AS g, c.combo, c.side_name FROM q_eb_ret t JOIN combos8 c ON c.block = t.fold)
+    WINDOW w AS (PARTITION BY symbol, param_id, combo, side_name ORDER BY i ROWS UNBOUNDED PRECEDING))
+  WINDOW w AS (PARTITION BY symbol, param_id, combo, side_name ORDER BY i ROWS UNBOUNDED PRECEDING)""")
+cte("un_sum", f"""SELECT symbol, param_id, combo, side_name, count(*) AS trades, (exp(sum(g)) - 1) * 100 AS total_pnl_pct,
+    (exp(min(p - greatest(top, 0))) - 1) * 100 AS max_drawdown, min(exit_day) AS lo, max(exit_day) AS hi, max(days) * {BLOCKS // 2} AS days FROM un_path GROUP BY ALL""")
+cte("un_days", """SELECT symbol, param_id, combo, side_name, sum(exp(day_g) - 1) AS total, sum((exp(day_g) - 1) * (exp(day_g) - 1)) AS squares
+  FROM un_path JOIN un_sum USING (symbol, param_id, combo, side_name) WHERE day_k = 1 AND exit_day > lo GROUP BY ALL""")
+cte("un_m", """SELECT * EXCLUDE (total, squares), CASE WHEN days >= 30 AND hi - lo > 1 AND dev > 1e-12 THEN mean / dev * sqrt(365) ELSE 0 END AS sharpe_daily FROM (
+  SELECT *, sqrt(greatest((squares - mean * mean * (hi - lo)) / nullif(hi - lo - 1, 0), 0)) AS dev FROM (
+    SELECT s.*, coalesce(total, 0) AS total, coalesce(squares, 0) AS squares, coalesce(total, 0) / nullif(hi - lo, 0) AS mean
+    FROM un_sum s LEFT JOIN un_days d USING (symbol, param_id, combo, side_name)))""")
+cte("un_side", f"SELECT combo, side_name, symbol, param_id, {score(MIN_TEST)} AS score FROM un_m")
 
 
 def _pbo_sql(src):
     return f"""WITH w AS (SELECT l.symbol, p.param_id, c.combo, coalesce(max(CASE WHEN side_name = 'train' THEN score END), 0) AS tr,
-      coalesce(max(CASE WHEN side_name = 'test' THEN score END), 0) AS te FROM lens l CROSS JOIN params p CROSS JOIN (SELECT DISTINCT combo FROM combos4) c
+      coalesce(max(CASE WHEN side_name = 'test' THEN score END), 0) AS te FROM lens l CROSS JOIN q_params p CROSS JOIN (SELECT DISTINCT combo FROM combos8) c
       LEFT JOIN {src} s ON s.symbol = l.symbol AND s.param_id = p.param_id AND s.combo = c.combo GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY symbol, combo ORDER BY round(tr, 9) DESC, param_id) AS isr,
       row_number() OVER (PARTITION BY symbol, combo ORDER BY round(te, 9) DESC, param_id) AS oos FROM w),
-    g AS (SELECT symbol, avg(CASE WHEN oos >= 6 THEN 1.0::DOUBLE ELSE 0 END) AS pbo, count(*) AS n_combos, string_agg(oos::VARCHAR, ',' ORDER BY oos) AS ranks FROM r WHERE isr = 1 GROUP BY symbol)
+    g AS (SELECT symbol, avg(CASE WHEN oos >= {PBO_SETS // 2} THEN 1.0::DOUBLE ELSE 0 END) AS pbo, count(*) AS n_combos, string_agg(oos::VARCHAR, ',' ORDER BY oos) AS ranks FROM r WHERE isr = 1 GROUP BY symbol)
     SELECT symbol, n_combos, ranks, {out('pbo')}, {r6('ln(least(greatest(pbo, 1e-6::DOUBLE), (1 - 1e-6::DOUBLE)) / (1 - least(greatest(pbo, 1e-6::DOUBLE), (1 - 1e-6::DOUBLE))))', 'logit')} FROM g"""
 
 
 def _pbo(spark, d, span):
-    b, res = resolved(spark, d, GRID)
-    scores = SW.cscv_scores(res, FD.series_lengths(b), b, 4, REACH, range(12), ACCT, span)
+    b, sets = bars(spark, d), random_sets(spark, PBO_SETS)
+    res, reach = P.resolved_of_sets(b, sets, slip())
+    scores = SW.cscv_scores(res, FD.series_lengths(b), b, BLOCKS, reach, sets, ACCT, span, MIN_TEST)
     return tidy(V.pbo(scores, ["symbol"]), "symbol", "n_combos", "ranks", "pbo", "logit")
 
 

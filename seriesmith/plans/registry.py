@@ -30,6 +30,15 @@ def cte(name: str, body: str, columns: str = "") -> None:
     CTES[name] = (columns, body)
 
 
+def fork(prefix: str, names: list[str], also: list[str] = ()) -> None:
+    """Copies of common table expressions under prefixed names; references between them, and to those in
+    ``also``, go to the prefixed ones."""
+    known = re.compile(r"\b(" + "|".join([*names, *also]) + r")\b")
+    for n in names:
+        columns, body = CTES[n]
+        cte(prefix + n, known.sub(lambda m: prefix + m[1], body), columns)
+
+
 def full_sql(body: str) -> str:
     """Prefix a query with the common table expressions it mentions, in order."""
     order: list[str] = []

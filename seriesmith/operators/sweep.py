@@ -15,7 +15,7 @@ from .folds import block_folds, combo_ids, cscv_combinations
 from .metrics import fold_score, full_metrics
 from .parameters import each_with
 from .scan import BLOCK_BARS
-from .selection import best_per_key
+from .selection import best_per_key, better_half
 from .signals import Benchmark
 from .strategy import LayeredStrategy, Strategy
 from ..functions.columns import div_floor
@@ -65,7 +65,10 @@ def each(ids) -> Column:
 
 
 def with_sets(rows: DataFrame, sets) -> DataFrame:
-    """Every row with every ``param_id``: of a table of sets, or of a short list of ids."""
+    """Every row with every ``param_id``: of a table of sets (of its own symbol, if the table names
+    symbols), or of a short list of ids."""
+    if isinstance(sets, DataFrame) and "symbol" in sets.columns:
+        return rows.join(sets.select("symbol", "param_id"), "symbol")
     if isinstance(sets, DataFrame):
         return each_with(rows, sets.select("param_id"), F.col("param_id"))
     return rows.withColumn("param_id", each(sets))
@@ -111,6 +114,35 @@ def mean_scores(scores: DataFrame, attributes=()) -> DataFrame:
         *[F.avg(a).alias(a) for a in attributes])
 
 
+def successive_halving(resolved: DataFrame, folds: DataFrame, bars: DataFrame, reach: int, sets: DataFrame, n_rungs: int,
+                       acct: Account = Account(), steps: int = 64, **rules) -> DataFrame:
+    """Sets that survive ``n_rungs`` rungs: each rung scores one more fold, and the better half by the mean
+    of the folds so far goes on (per symbol, rounded up, ties to the smaller id).
+
+    Returns ``symbol, param_id, rung, score, evaluated``: the survivors of every rung with their mean
+    and how many sets of the symbol the rung scored.  A rung resolves trades only for the sets that
+    are left, so fold k costs about 2^-k of the first.  Between rungs the scores of the survivors are a
+    written table; a lost executor repeats its part of one rung.  Ranks are blocked scans over
+    ``steps`` buckets a unit of score.  Symbols without a fold drop out at its rung."""
+    alive, so_far, out = None, None, None
+    for k in range(n_rungs):
+        now = folds.filter(F.col("fold") == k)
+        left = resolved if alive is None else resolved.join(alive, ["symbol", "param_id"], "left_semi")
+        scores = sweep(left, now, bars, reach, sets if alive is None else alive, acct, **rules)
+        scores = scores.select("symbol", "param_id", "fold", "score")
+        if so_far is not None:
+            again = so_far.join(scores.select("symbol").distinct(), "symbol", "left_semi")
+            scores = scores.unionByName(again.join(alive, ["symbol", "param_id"], "left_semi"))
+        so_far = settle(scores)
+        m = mean_scores(so_far).withColumn("bucket", F.floor(-F.col("score") * steps).cast("bigint"))
+        n = m.groupBy("symbol").agg(F.count(F.lit(1)).alias("evaluated"))
+        best = better_half(m, ["symbol"], ["bucket"]).join(n, "symbol")
+        best = settle(best.select("symbol", "param_id", F.lit(k).alias("rung"), "score", "evaluated"))
+        alive = best.select("symbol", "param_id")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def best_sets(scores: DataFrame) -> DataFrame:
     return best_per_key(mean_scores(scores), ["symbol"], "score", "param_id")
 

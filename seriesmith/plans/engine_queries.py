@@ -29,7 +29,7 @@ def slip():
 
 ACCT = SW.Account()
 REACH = max(p["max_hold"] for p in GRID)
-RULES = FD.FoldRules(minimum=100, medium=5000, long=10000, purge=5)
+RULES = FD.FoldRules(minimum=100, medium=5000, long=10000)
 
 cte("dims", "SELECT * FROM (VALUES " + ", ".join(
     f"('{s}', {T.SLIPPAGE.get(s, T.DEFAULT_SLIPPAGE)}::DOUBLE, '{T.CLUSTER[s]}', {T.OI_RATIO[s]}::DOUBLE, '{T.TIER[s]}')"
@@ -54,7 +54,7 @@ cte("exits0", """SELECT symbol, param_id, i, x AS exit_i, x_t AS exit_t, reason,
 cte("resolved", "SELECT e.*, x.exit_i, x.exit_t, x.reason, x.exit_price FROM ents e LEFT JOIN exits0 x USING (symbol, param_id, i)")
 cte("lens", "SELECT symbol, count(*) AS n FROM bars GROUP BY symbol")
 cte("f_whole", "SELECT symbol, 0 AS fold, 0 AS start_i, n AS end_i FROM lens")
-cte("wf", """SELECT l.symbol, fold, (floor(n::DOUBLE * train_end))::BIGINT AS train_end_i, (floor(n::DOUBLE * (train_end + 5.0::DOUBLE / n)))::BIGINT AS test_start_i,
+cte("wf", """SELECT l.symbol, fold, (floor(n::DOUBLE * train_end))::BIGINT AS train_end_i, (floor(n::DOUBLE * (train_end + 50.0::DOUBLE / n)))::BIGINT AS test_start_i,
     (floor(n::DOUBLE * test_end))::BIGINT AS test_end_i FROM lens l, (VALUES (0, 0.70::DOUBLE, 0.85::DOUBLE), (1, 0.85::DOUBLE, 1.00::DOUBLE)) v(fold, train_end, test_end) WHERE n >= 100""")
 cte("f_wf", """SELECT symbol, fold * 2 AS fold, 0 AS start_i, train_end_i AS end_i FROM wf
   UNION ALL SELECT symbol, fold * 2 + 1, test_start_i, test_end_i FROM wf""")
@@ -297,10 +297,10 @@ def cscv_block_rows(spark, d):
 
 
 cte("sw_train", "SELECT symbol, param_id, fold // 2 AS fold, trades_per_year FROM ef_m_x WHERE fold % 2 = 0")
-cte("ef_m_x", f"SELECT *, {score(1)} AS score FROM ef_m")
+cte("ef_m_x", f"SELECT *, {score(5)} AS score FROM ef_m")
 cte("sw_test", "SELECT symbol, param_id, fold // 2 AS fold, trades, score FROM ef_m_x WHERE fold % 2 = 1")
 cte("sw", """SELECT wf.symbol, p.param_id, wf.fold, coalesce(t.trades, 0) AS test_trades,
-  CASE WHEN coalesce(r.trades_per_year, 0) >= 60 AND coalesce(t.trades, 0) >= 1 THEN t.score ELSE 0 END AS score
+  CASE WHEN coalesce(r.trades_per_year, 0) >= 60 AND coalesce(t.trades, 0) >= 5 THEN t.score ELSE 0 END AS score
   FROM wf CROSS JOIN params p LEFT JOIN sw_train r USING (symbol, param_id, fold) LEFT JOIN sw_test t USING (symbol, param_id, fold)""")
 cte("sw_mean", "SELECT symbol, param_id, round(avg(score), 9) AS score FROM sw GROUP BY ALL")
 
@@ -308,7 +308,7 @@ cte("sw_mean", "SELECT symbol, param_id, round(avg(score), 9) AS score FROM sw G
 def _sweep(spark, d):
     b, res = resolved(spark, d, GRID)
     f = FD.walk_forward(FD.series_lengths(b), RULES)
-    return SW.sweep(res, f, b, REACH, range(12), ACCT, min_year=60, min_test=1)
+    return SW.sweep(res, f, b, REACH, range(12), ACCT, min_year=60, min_test=5)
 
 
 @query("sweep_scores", f"SELECT symbol, param_id::BIGINT AS param_id, fold::BIGINT AS fold, test_trades, {out('score')} FROM sw")
@@ -426,6 +426,38 @@ def _sets_sweep(spark, d):
 def sets_sweep(spark, d):
     return tidy(_sets_sweep(spark, d), "symbol", "param_id", "fold", "test_trades", "score")
 
+# three folds of one length: each rung of successive halving scores one more
+RUNGS = 3
+cte("wf3", f"""SELECT symbol, fold, (floor(n::DOUBLE * train_end))::BIGINT AS train_end_i, (floor(n::DOUBLE * test_start))::BIGINT AS test_start_i,
+    (floor(n::DOUBLE * test_end))::BIGINT AS test_end_i FROM (
+  SELECT *, least(test_start + 0.2::DOUBLE, 1.0::DOUBLE) AS test_end FROM (SELECT *, train_end + pg AS test_start FROM (
+    SELECT symbol, n, fold, pg, 0.5::DOUBLE + (fold + 1) * (((1.0::DOUBLE - 0.5::DOUBLE - 0.2::DOUBLE) - pg) / {RUNGS}) AS train_end
+    FROM (SELECT *, {RULES.purge}.0::DOUBLE / n AS pg FROM lens WHERE n >= {RULES.minimum}), range({RUNGS}) r(fold))))""")
+cte("f_wf3", """SELECT symbol, fold * 2 AS fold, 0 AS start_i, train_end_i AS end_i FROM wf3
+  UNION ALL SELECT symbol, fold * 2 + 1, test_start_i, test_end_i FROM wf3""")
+engine("h_ef", "f_wf3", "kq_resolved")
+metrics("h_ef_m", "h_ef", "symbol, param_id, fold", "i", "days", "100000.0::DOUBLE")
+cte("h_ef_x", f"SELECT *, {score(MIN_TEST)} AS score FROM h_ef_m")
+cte("h_sw", f"""SELECT wf3.symbol, p.param_id, wf3.fold,
+  CASE WHEN coalesce(r.trades_per_year, 0) >= 60 AND coalesce(t.trades, 0) >= {MIN_TEST} THEN t.score ELSE 0 END AS score
+  FROM wf3 CROSS JOIN kq_params p LEFT JOIN h_ef_x r ON r.fold = wf3.fold * 2 AND r.symbol = wf3.symbol AND r.param_id = p.param_id
+  LEFT JOIN h_ef_x t ON t.fold = wf3.fold * 2 + 1 AND t.symbol = wf3.symbol AND t.param_id = p.param_id""")
+for _k in range(RUNGS):  # all folds scored, then cut rung by rung
+    cte(f"rung{_k}", f"""SELECT symbol, param_id, {_k} AS rung, score, evaluated FROM (
+      SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, param_id) AS pos, count(*) OVER (PARTITION BY symbol) AS evaluated FROM (
+        SELECT symbol, param_id, round(avg(score), 9) AS score FROM h_sw {f"SEMI JOIN rung{_k - 1} USING (symbol, param_id)" if _k else ""}
+        WHERE fold <= {_k} GROUP BY ALL)) WHERE pos <= (evaluated + 1) // 2""")
+
+
+@query("halving_rungs", " UNION ALL ".join(
+    f"SELECT symbol, param_id::BIGINT AS param_id, rung::BIGINT AS rung, {out('score')}, evaluated FROM rung{k}" for k in range(RUNGS)))
+def halving_rungs(spark, d):
+    b, sets = bars(spark, d), random_sets(spark, SWEEP_SETS)
+    res, reach = P.resolved_of_sets(b, sets, slip())
+    f = FD.walk_forward(FD.series_lengths(b), RULES, n_folds=RUNGS)
+    rows = SW.successive_halving(res, f, b, reach, sets, RUNGS, ACCT, min_year=60, min_test=MIN_TEST)
+    return tidy(rows, "symbol", "param_id", "rung", "score", "evaluated")
+
 
 cte("sp_side", f"""SELECT s.combo, s.side_name, m.symbol, m.param_id, {score(MIN_TEST)} AS score FROM q_es_m m JOIN sides8 s ON m.fold = s.lo * {BLOCKS} + s.hi""")
 # every combination with its own copy of the trades, equity relative to its start

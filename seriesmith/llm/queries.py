@@ -80,7 +80,8 @@ def op7_simhash(spark, sf_dir):
 @query
 def op8_suffix(spark, sf_dir):
     rows = suffix.remove_repeats(documents(spark, sf_dir))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                       F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 @query

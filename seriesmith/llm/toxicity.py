@@ -94,8 +94,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col:
             yield pd.DataFrame(out, columns=["doc_id", "label", "words", "counts", "sketch"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # the chosen rows are at most ``rows`` ids and labels, so they may be broadcast
-    found = texts.join(F.broadcast(chosen), "doc_id").mapInPandas(
+    # the chosen rows are at most ``rows`` ids and labels, so they may be broadcast; of the rows of an id
+    # that recurs the text with the smallest digest is read, so the driver gets one row an id
+    one = F.min(F.struct(F.md5("text").alias("digest"), "text"))["text"].alias("text")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(one, F.max("label").alias("label")).mapInPandas(
         run, "doc_id bigint, label int, words string, counts array<int>, sketch array<bigint>")
     return found.toArrow().to_pandas().sort_values(["doc_id", "words"], ignore_index=True)
 
@@ -108,6 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     only, the grades above 0 are the labelled texts in equal shares by how often they use words
     that stand almost only in texts labelled toxic.  Near copies in the sample count once, so that
     one mislabelled text that was copied teaches nothing.  Several labels of an id: the highest.
+    Of several rows of an id one is read.
     No labels, or only one grade, give a model that finds nothing."""
     data = sample(docs, labels, rows, id_col, text_col)
     seen: dict[int, list[int]] = {}

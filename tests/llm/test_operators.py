@@ -412,3 +412,37 @@ def test_pipeline_keeps_groups_with_equal_or_no_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
     got = sorted((r.text, r.doc_id) for r in corpus_pipeline.one_of_each(spark, docs, None).collect())
     assert got == sorted([(rows[0][1], 1), (rows[1][1], 1), (rows[2][1], None), (near, 2)])
+
+
+def test_toxicity_sample_has_one_row_for_an_id_that_recurs(spark):
+    docs = table(spark, ["good words here", "awful insult"]).withColumn("doc_id", F.lit(7).cast("bigint"))
+    many = docs.crossJoin(spark.range(500)).drop("id")
+    labels = spark.createDataFrame([(7, 1)], "doc_id bigint, toxic int")
+    data = toxicity.sample(many, labels, 100, "doc_id", "text")
+    digest = min(["good words here", "awful insult"], key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert len(data) == 1 and data["words"][0] == digest and data["label"][0] == 1
+
+
+def test_severity_against_brute_force(spark):
+    """Expected grade from the model's own terms and thresholds, computed plainly."""
+    import math
+
+    model = toxicity.Model({"bad": 1.5, "worse": 2.5}, [0.5, 2.0, 3.5])
+    texts = [None, "", "bad", "Bad worse WORSE", "fine day", "worse " * 300]
+    got = [r.severity for r in toxicity.score(table(spark, texts), model).orderBy("doc_id").collect()]
+    for text, severity in zip(texts, got):
+        counts = Counter(re.findall(toxicity.WORDS.pattern, (text or "").lower()))
+        found = toxicity.terms(counts, model.weights)
+        eta = sum(model.weights[t] * v for t, v in found.items())
+        assert severity == pytest.approx(sum(1 / (1 + math.exp(t - eta)) for t in model.thresholds))
+    assert got[2] > got[4] == got[0] and got[3] > got[2]
+
+
+def test_suffix_query_returns_the_kept_text(spark, data):
+    from seriesmith.llm.queries import QUERIES
+
+    rows = QUERIES["op8_suffix"](spark, data).collect()
+    assert any(r.n_removed for r in rows)
+    for r in rows:
+        if not r.n_removed:
+            assert len((r.text or "").encode()) == r.n_bytes

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clip, div_floor
 from .asof import asof_join
 from .correlation import mirrored
-from .intervals import open_timeline
+from .intervals import forward_join, open_timeline
 from .scan import BLOCK_BARS, Run, running
 
 HAIRCUT, OI_LIMIT, OI_FACTOR = 0.90, 0.06, 0.70
@@ -63,18 +63,27 @@ def open_correlated(cands: DataFrame, trades: DataFrame, edges: DataFrame, gate:
         "correlated_open", F.coalesce("correlated_open", F.lit(0)))
 
 
-def covered_bars(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Each trade with the bars from its entry up to the bar before its exit."""
-    span = trades.filter(F.col("exit_i") > F.col("i")).withColumnRenamed("i", "entry_i").withColumn(
-        "i", F.explode(F.sequence(F.col("entry_i"), F.col("exit_i") - 1)))
-    return span.join(bars.select("symbol", "i", "t", "close"), ["symbol", "i"])
+def open_positions(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """``units, cost, n_open`` of every bar: the open trades of a series are worth units * close - cost.
+
+    A trade adds side * notional / entry_price units and side * notional of cost at its entry and takes
+    them back at its exit, so both are running sums over bars and two events a trade; how long
+    trades are held does not matter.  A trade is open from its entry up to the bar before its exit."""
+    held = trades.filter(F.col("exit_i") > F.col("i"))
+    cost = F.col("side") * F.col("notional")
+    opened = held.select("symbol", "i", (cost / F.col("entry_price")).alias("u"), cost.alias("c"), F.lit(1).alias("k"))
+    closed = held.select("symbol", F.col("exit_i").alias("i"), (-cost / F.col("entry_price")).alias("u"), (-cost).alias("c"), F.lit(-1).alias("k"))
+    events = opened.unionByName(closed).groupBy("symbol", "i").agg(*[F.sum(c).alias(c) for c in ("u", "c", "k")])
+    rows = bars.select("symbol", "i", "t", "close").join(events, ["symbol", "i"], "left").fillna(0, ["u", "c", "k"])
+    rows = rows.withColumn("__b", div_floor("i", BLOCK_BARS))
+    sums = {"units": Run("sum", F.col("u")), "cost": Run("sum", F.col("c")), "n_open": Run("sum", F.col("k"))}
+    return running(rows, ["symbol"], ["__b"], ["i"], sums).drop("__b", "u", "c", "k")
 
 
 def marked_equity(trades: DataFrame, bars: DataFrame, start: float, width=3600) -> DataFrame:
     """Start + realised + unrealised at every moment; ``notional`` and ``ret`` per trade."""
-    open_rows = covered_bars(trades, bars)
-    mark = F.col("notional") * F.col("side") * (F.col("close") / F.col("entry_price") - 1)
-    unreal = open_rows.groupBy("t").agg(F.sum(mark).alias("u"), F.count(F.lit(1)).alias("n_open"))
+    mark = F.when(F.col("n_open") > 0, F.col("units") * F.col("close") - F.col("cost"))
+    unreal = open_positions(trades, bars).groupBy("t").agg(F.sum(mark).alias("u"), F.sum("n_open").alias("n_open"))
     real = trades.groupBy(F.col("exit_t").alias("t")).agg(F.sum(F.col("notional") * F.col("ret")).alias("r"))
     grid = bars.select("t").distinct()
     rows = grid.join(unreal, "t", "left").join(real, "t", "left").withColumns({
@@ -94,8 +103,12 @@ def heat_breaches(curve: DataFrame, trades: DataFrame, bars: DataFrame, heat: fl
     """Moments whose drawdown exceeds ``heat`` and the worst open trade there."""
     hot = curve.filter(F.col("drawdown") < -100 * heat).select("t", "equity", "drawdown")
     mark = F.col("notional") * F.col("side") * (F.col("close") / F.col("entry_price") - 1)
-    rows = covered_bars(trades, bars).select("t", "symbol", "entry_i", mark.alias("mark"))
-    worst = rows.join(hot.select("t"), "t", "left_semi").groupBy("t").agg(
+    # only breaching bars meet the trades that are open there
+    at = bars.select("symbol", F.col("i").alias("at_i"), "t", "close").join(hot.select("t"), "t", "left_semi")
+    held = trades.filter(F.col("exit_i") > F.col("i")).select("symbol", "i", "exit_i", "side", "notional", "entry_price")
+    reach = held.agg(F.coalesce(F.max(F.col("exit_i") - F.col("i")), F.lit(1))).first()[0]
+    rows = forward_join(held, at, ["symbol"], "i", "at_i", int(reach), first=0).filter(F.col("at_i") < F.col("exit_i"))
+    worst = rows.select("t", "symbol", F.col("i").alias("entry_i"), mark.alias("mark")).groupBy("t").agg(
         F.min_by(F.struct("symbol", "mark"), F.struct("mark", "symbol", "entry_i")).alias("w"))
     return hot.join(worst, "t", "left").select(
         "t", "equity", "drawdown", F.col("w.symbol").alias("worst_symbol"), F.col("w.mark").alias("worst_mark"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import div_floor
 from ..operators import bars as B
 from ..operators import correlation as C
 from ..operators import indicators as I
@@ -330,12 +329,12 @@ _SYM = sorted(T.SYMBOLS)
 cte("wide", "SELECT t, " + ", ".join(f"max(CASE WHEN symbol = '{s}' THEN ret END) AS {s}" for s in _SYM) + " FROM rets GROUP BY t")
 _PAIRS = [(a, b) for n, a in enumerate(_SYM) for b in _SYM[n + 1:]]
 cte("tail_edges", " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) >= 120 THEN corr({a}, {b}) END AS corr "
-    "FROM (SELECT * FROM wide ORDER BY t DESC LIMIT 240)" for a, b in _PAIRS))
+    f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) >= 360 THEN corr({a}, {b}) END AS corr "
+    "FROM (SELECT * FROM wide ORDER BY t DESC LIMIT 720)" for a, b in _PAIRS))
 
 
 def tail_edges(b):
-    return C.tail_correlation(I.returns(b), T.SYMBOLS, 240)
+    return C.tail_correlation(I.returns(b), 720)
 
 
 @query("pairwise_corr_tail", f"SELECT a, b, {r6('corr')} FROM tail_edges")
@@ -352,11 +351,10 @@ def corr_matrix_dense(spark, d):
 
 @query("rolling_corr", " UNION ALL ".join(
     f"SELECT * FROM (SELECT t, '{a}' AS a, '{b}' AS b, " + r6(
-        f"CASE WHEN count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) OVER w >= 60 THEN corr({a}, {b}) OVER w END", "corr")
-    + " FROM wide WINDOW w AS (ORDER BY t ROWS 119 PRECEDING)) WHERE corr IS NOT NULL" for a, b in _PAIRS))
+        f"CASE WHEN count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) OVER w >= 360 THEN corr({a}, {b}) OVER w END", "corr")
+    + " FROM wide WINDOW w AS (ORDER BY t ROWS 719 PRECEDING))" for a, b in _PAIRS))
 def rolling_corr(spark, d):
-    path = {"__tb": div_floor("t", 3600 * 4096)}
-    return tidy(C.rolling_correlation(I.returns(T.bars(spark, d)), T.SYMBOLS, 120, path), "t", "a", "b", "corr")
+    return tidy(C.rolling_correlation(I.returns(T.bars(spark, d)), 720), "t", "a", "b", "corr")
 
 
 cte("inv_vol", """SELECT symbol, t, i, v, (1 / v) / sum(1 / v) OVER (PARTITION BY t) AS weight FROM (

@@ -129,10 +129,10 @@ def test_tail_correlation(spark):
     b = rng.normal(0, 0.005, 1000)
     cols = {"b": b, "e": 0.9 * b + rng.normal(0, 0.002, 1000), "s": 0.4 * b + rng.normal(0, 0.005, 1000)}
     pdf = pd.concat([pd.DataFrame({"symbol": k, "t": np.arange(1000), "ret": v}) for k, v in cols.items()])
-    edges = {(r["a"], r["b"]): r["corr"] for r in correlation.tail_correlation(spark.createDataFrame(pdf), list(cols), 720).collect()}
+    edges = {(r["a"], r["b"]): r["corr"] for r in correlation.tail_correlation(spark.createDataFrame(pdf), 720).collect()}
     want = pd.DataFrame(cols).tail(720).corr()
     for (x, y), c in edges.items():
         assert c == pytest.approx(want.loc[x, y], abs=1e-12)
     assert edges[("b", "e")] > 0.8 and 0.1 < edges[("b", "s")] < 0.7
-    few = correlation.tail_correlation(spark.createDataFrame(pdf[pdf.t < 100]), list(cols), 720).collect()
+    few = correlation.tail_correlation(spark.createDataFrame(pdf[pdf.t < 100]), 720).collect()
     assert all(r["corr"] is None for r in few)

@@ -13,8 +13,9 @@ from ..operators import strategy as ST
 from ..sources import bars_io, runs_io
 from ..sources import tables as T
 from ..sources.scratch import scratch_dir
+from ..streaming import live
 from .bar_queries import bars
-from .registry import query, r6, tidy
+from .registry import cte, query, r6, tidy
 from .templates import out
 from .trade_queries import run_metrics, trades, trials
 
@@ -97,3 +98,68 @@ def cscv_sets(spark, d):
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return rows.select("symbol", "combo", text("train"), text("test"),
                        (F.floor(F.col("n") / 8) * F.size("train")).cast("bigint").alias("train_rows"))
+
+
+# ---------------------------------------------------------------- results folder
+_QUARTERS = "trials_q"
+cte(_QUARTERS, "SELECT *, 'run-' || year || '-' || number % 4 AS run FROM trials")
+cte("q_docs", """SELECT run, count(*) AS n_trials, count(DISTINCT symbol) AS n_symbols, avg(objective) AS sharpe, max(second) AS calmar,
+    (substr(run, 10, 1) <> '3') AS finished, (substr(run, 10, 1) <> '2') AS staged, run = min(run) OVER () AS hurt FROM trials_q GROUP BY run""")
+
+
+def _documents(spark, d):
+    """The artefacts of a run for each year and quarter of the tuning log, one of them cut in half."""
+    t = trials(spark, d).withColumn("run", F.concat_ws("-", F.lit("run"), "year", F.col("number") % 4))
+    per = t.groupBy("run", "symbol").agg(
+        F.count(F.lit(1)).alias("trades"), F.avg("objective").alias("sharpe_equity"), F.max("second").alias("calmar"))
+    whole = t.groupBy("run").agg(
+        F.count(F.lit(1)).alias("n_trials"), F.avg("objective").alias("sharpe_equity"), F.max("second").alias("calmar"))
+    metrics = F.map_from_entries(F.array_sort(F.collect_list(F.struct("symbol", F.struct("trades", "sharpe_equity", "calmar").alias("m")))))
+    pairs = per.groupBy("run").agg(metrics.alias("m"))
+    last = F.substring("run", 10, 1)
+    docs = [
+        whole.filter(last != "3").join(pairs, "run").select("run", F.lit("pipeline_result").alias("file"), F.to_json(F.struct(
+            F.concat(F.lit("tag-"), "run").alias("tag"), F.map_keys("m").alias("symbols"), F.col("m").alias("stage1_results"))).alias("value")),
+        whole.filter(last != "2").select("run", F.lit("stage2_result").alias("file"), F.to_json(F.struct(
+            "n_trials", F.struct(F.col("calmar").alias("portfolio_calmar")).alias("objectives"))).alias("value")),
+        whole.select("run", F.lit("portfolio_metrics").alias("file"), F.to_json(F.struct("sharpe_equity", "calmar")).alias("value")),
+        pairs.select("run", F.lit("per_pair_metrics").alias("file"), F.to_json("m").alias("value")),
+        per.select("run", F.concat(F.lit("stage1/"), "symbol").alias("file"), F.to_json(F.struct("trades")).alias("value")),
+    ]
+    rows = docs[0]
+    for more in docs[1:]:
+        rows = rows.unionByName(more)
+    first = whole.agg(F.min("run")).first()[0]
+    hurt = (F.col("run") == first) & (F.col("file") == "portfolio_metrics")
+    return rows.withColumn("value", F.when(hurt, F.expr("left(value, length(value) div 2)")).otherwise(F.col("value")))
+
+
+@query("results_scan", f"""SELECT run, n_symbols + 2 + CASE WHEN finished THEN 1 ELSE 0 END + CASE WHEN staged THEN 1 ELSE 0 END AS n_files,
+  CASE WHEN hurt THEN 1 ELSE 0 END::BIGINT AS n_damaged, CASE WHEN finished THEN 'completed' ELSE 'running' END AS status, 'pre_s2' AS phase,
+  CASE WHEN finished THEN 'tag-' || run END AS tag, n_symbols AS n_pairs, CASE WHEN staged THEN n_trials END AS n_trials,
+  {r6('CASE WHEN NOT hurt THEN sharpe END', 'sharpe')}, {r6('CASE WHEN NOT hurt THEN calmar END', 'calmar')} FROM q_docs""")
+def results_scan(spark, d):
+    """A results folder written from the log, with one damaged file, read as a table of runs."""
+    root = folder(spark, "results")
+    runs_io.write_results(_documents(spark, d), root)
+    runs = runs_io.scan_results(spark, root)
+    seen = U.phase(runs.select("run", F.explode("files").alias("file")))
+    rows = runs.join(seen, "run").select(
+        "run", "n_files", "n_damaged", "status", "phase", F.col("pipeline.tag").alias("tag"), F.size("pairs").alias("n_pairs"),
+        F.col("stage2.n_trials").alias("n_trials"), F.col("portfolio.sharpe_equity").alias("sharpe"), F.col("portfolio.calmar").alias("calmar"))
+    return tidy(rows)
+
+
+@query("progress_stream", f"""SELECT run, symbol, updated, completed, total, {out('best_value')}, CASE WHEN done THEN 'done' ELSE 'running' END AS status FROM (
+  SELECT 'run-' || year AS run, symbol, number AS updated, number % 997 AS completed, 500::BIGINT AS total, objective AS best_value, count_if(number % 61 = 0) OVER (PARTITION BY year, symbol) > 0 AS done,
+    row_number() OVER (PARTITION BY year, symbol ORDER BY number % 61 = 0 DESC, number DESC) AS k FROM trials) WHERE k = 1""")
+def progress_stream(spark, d):
+    """The tuning log as a stream of progress files into a keyed table, batch by batch."""
+    root = folder(spark, "progress")
+    rows = trials(spark, d).select(
+        F.concat(F.lit("run-"), "year").alias("run"), "symbol", F.col("number").alias("updated"), (F.col("number") % 997).alias("trials_completed"),
+        F.lit(500).cast("bigint").alias("trials_total"), F.col("objective").alias("best_value"), (F.col("number") % 61 == 0).alias("is_result"))
+    rows.repartition(12, "updated").write.json(f"{root}/updates")
+    table = live.ProgressTable(spark, f"{root}/table", every=3)
+    table.run(live.progress_stream(spark, f"{root}/updates", 2), f"{root}/state").awaitTermination()
+    return tidy(table.view(), "run", "symbol", "updated", "completed", "total", "best_value", "status")

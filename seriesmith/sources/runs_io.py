@@ -76,3 +76,42 @@ def write_trades_csv(trades: DataFrame, path: str) -> None:
 def write_stage_table(df: DataFrame, root: str, name: str) -> None:
     """Stage artefacts (``top_trials, trial_history, pareto_front, corr_edges``)."""
     df.write.parquet(f"{root}/{name}")
+
+
+def write_results(documents: DataFrame, root: str) -> None:
+    """``run, file, value`` as one file for each document below ``root``; ``/`` in a file's name
+    becomes ``__``."""
+    named = documents.select("run", F.replace("file", F.lit("/"), F.lit("__")).alias("artefact"), "value")
+    named.repartition("run", "artefact").write.partitionBy("run", "artefact").text(root)
+
+
+def scan_artefacts(spark: SparkSession, root: str) -> DataFrame:
+    """``run, file, modified, value, damaged`` of every document below ``root`` in one scan; files without
+    a byte are not seen.
+
+    Takes the layout of ``write_results`` and ``<run>/[stage1/|evaluation/]<file>.json``."""
+    raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
+    ours, theirs = r"run=([^/]+)/artefact=([^/]+)/[^/]+$", r"([^/]+)/(stage1/)?(?:evaluation/)?([^/]+)\.json$"
+    spark_made = F.col("path").rlike(ours)
+    run = F.when(spark_made, F.regexp_extract("path", ours, 1)).otherwise(F.regexp_extract("path", theirs, 1))
+    file = F.when(spark_made, F.replace(F.regexp_extract("path", ours, 2), F.lit("__"), F.lit("/"))).otherwise(
+        F.concat(F.regexp_extract("path", theirs, 2), F.regexp_extract("path", theirs, 3)))
+    rows = raw.select(run.alias("run"), file.alias("file"), "modified", "value")
+    return rows.filter("run <> '' AND file <> ''").withColumn("damaged", F.try_parse_json("value").isNull())
+
+
+def scan_results(spark: SparkSession, root: str) -> DataFrame:
+    """The results folder as a table of runs: documents of several schemas, read once.
+
+    ``n_files, n_damaged, modified`` (of the newest file), the parsed documents ``pipeline, stage2,
+    portfolio, pairs`` (NULL where missing or damaged), and the names seen in ``files``."""
+    rows = scan_artefacts(spark, root)
+    kinds = {"pipeline": ("pipeline_result", PIPELINE_SCHEMA), "stage2": ("stage2_result", STAGE2_SCHEMA),
+             "portfolio": ("portfolio_metrics", PORTFOLIO_SCHEMA), "pairs": ("per_pair_metrics", PER_PAIR_SCHEMA)}
+    # a document is found by its name and parsed by the schema of that name only
+    found = [F.from_json(F.max_by(F.when(~F.col("damaged"), F.col("value")), F.when(F.col("file") == file, F.col("modified"))), schema).alias(name)
+             for name, (file, schema) in kinds.items()]
+    return rows.groupBy("run").agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if("damaged").alias("n_damaged"), F.max("modified").alias("modified"),
+        F.array_sort(F.collect_set("file")).alias("files"), *found)

@@ -66,5 +66,62 @@ def latest_progress(updates: DataFrame) -> DataFrame:
         F.when(F.col("done"), "done").otherwise("running").alias("status"))
 
 
-def progress_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(PROGRESS_SCHEMA).json(folder)
+def progress_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
+    return spark.readStream.schema(PROGRESS_SCHEMA).option("maxFilesPerTrigger", per_trigger).json(folder)
+
+
+UPDATE = ["run", "symbol", "updated", "trials_completed", "trials_total", "best_value", "is_result"]
+#: Batches after which the table of progress is folded into one snapshot.
+FOLD_EVERY = 16
+
+
+def newest(updates: DataFrame) -> DataFrame:
+    """The update that counts for each (run, symbol), as an update row."""
+    order = F.struct(F.coalesce("is_result", F.lit(False)), "updated", "trials_completed")
+    g = updates.groupBy("run", "symbol").agg(F.max_by(F.struct(*UPDATE[2:]), order).alias("u"))
+    return g.select("run", "symbol", "u.*")
+
+
+class ProgressTable:
+    """Progress keyed by (run, symbol), upserted by a stream.
+
+    A batch leaves one row a key in the folder of its number, which a replay of the batch overwrites
+    with the same rows: the upsert is idempotent by (batch, key).  Reading merges the last snapshot with
+    the batches behind it; the newest update of a key wins whatever the order of arrival.  Every
+    ``FOLD_EVERY`` batches are folded into a new snapshot, so a reader meets at most that many
+    batches and one row a key, however long the stream has run."""
+
+    def __init__(self, spark: SparkSession, root: str, every: int = FOLD_EVERY):
+        self.spark, self.root, self.every = spark, root, every
+
+    def _rows(self, kind: str) -> DataFrame:
+        """All rows of a kind of folder with its number ``n``; none before the first one is written."""
+        empty = self.spark.createDataFrame([], f"{PROGRESS_SCHEMA}, n bigint")
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
+        if not place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+            return empty
+        return self.spark.read.schema(f"{PROGRESS_SCHEMA}, n bigint").parquet(f"{self.root}/{kind}")
+
+    def upsert(self, updates: DataFrame, batch: int) -> None:
+        """For ``foreachBatch``."""
+        newest(updates.select(*UPDATE)).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/batches/n={batch}")
+        if batch % self.every == self.every - 1:
+            self.updates(upto=batch).write.mode("overwrite").parquet(f"{self.root}/snapshots/n={batch}")
+
+    def updates(self, upto: int | None = None) -> DataFrame:
+        """The newest update of each key, as of batch ``upto``."""
+        end = F.lit(2 ** 62 if upto is None else upto)
+        # the snapshot of the batch itself may be half written when the batch is replayed
+        snapshots = self._rows("snapshots").filter(F.col("n") < end)
+        last = snapshots.agg(F.coalesce(F.max("n"), F.lit(-1).cast("bigint"))).first()[0]
+        rows = snapshots.filter(F.col("n") == last).unionByName(
+            self._rows("batches").filter((F.col("n") > last) & (F.col("n") <= end)))
+        return newest(rows)
+
+    def view(self) -> DataFrame:
+        return latest_progress(self.updates())
+
+    def run(self, updates: DataFrame, checkpoint: str):
+        """Start the stream ``updates`` into this table and end when its input is read."""
+        return updates.writeStream.foreachBatch(self.upsert).option("checkpointLocation", checkpoint).outputMode(
+            "update").trigger(availableNow=True).start()

@@ -33,13 +33,20 @@ def _values(rets: DataFrame, at: str, ret: str, symbol: str) -> DataFrame:
     return rows.groupBy(at, "symbol").agg(F.max("ret").alias("ret"))
 
 
+def _chunks(last: int, chunk: int, halo: int) -> Column:
+    """The chunks that see a moment: its own and those whose windows reach back to it."""
+    return F.explode(F.sequence(div_floor("i", chunk), F.least(div_floor(F.col("i") + halo, chunk), F.lit(max(last, 0) // chunk))))
+
+
 def _packed(rows: DataFrame, last: int, chunk: int, halo: int) -> DataFrame:
     """``chunk, block, first, symbols, data``: values of ``rows`` (i, symbol, ret) as matrices; a chunk has
     the ``halo`` moments before it as well."""
-    n = rows.select("symbol").distinct().count()
+    symbols = settle(rows.select("symbol").distinct())
+    n = symbols.count()
+    # every series is in all chunks of its block, also where it has no value
+    everywhere = symbols.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(max(last, 0) // chunk).cast("bigint"))))
+    rows = rows.withColumn("chunk", _chunks(last, chunk, halo)).unionByName(everywhere, allowMissingColumns=True)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(-(-n // BLOCK) or 1)).cast("int"))
-    first, after = div_floor("i", chunk), div_floor(F.col("i") + halo, chunk)
-    rows = rows.withColumn("chunk", F.explode(F.sequence(first, F.least(after, F.lit(last // chunk)))))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         c, b = int(pdf["chunk"].iloc[0]), int(pdf["block"].iloc[0])
@@ -47,6 +54,7 @@ def _packed(rows: DataFrame, last: int, chunk: int, halo: int) -> DataFrame:
         names = sorted(pdf["symbol"].unique().tolist())
         at = {s: k for k, s in enumerate(names)}
         x = np.full((hi - lo + 1, len(names)), np.nan)
+        pdf = pdf[pdf["i"].notna()]
         x[pdf["i"].to_numpy(np.int64) - lo, pdf["symbol"].map(at).to_numpy(np.int64)] = pdf["ret"].to_numpy(float)
         return pd.DataFrame({"chunk": [c], "block": [b], "first": [lo], "symbols": [names], "data": [x.tobytes()]})
 

@@ -46,6 +46,9 @@ CLASSES = set("ad ads adv advert adverts advertisement advertising sponsor spons
               "navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments discussion disqus replies "
               "respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup social "
               "share sharing related recommended toolbar widget masthead topbar skip".split())
+#: Words that go with those in the class names of furniture inside an article.
+WITH = set("bar block box button buttons container content group inline inner item items link links list listing post posts "
+           "section slot unit widget wrap wrapper area bottom top left right icons form js media articles stories".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ROOTS = {"html", "body", "main", "article"}
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -69,8 +72,11 @@ def furniture(name: str, attrs: dict[str, str], inside: bool) -> bool:
         return True
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    words = {w.lower() for w in SPLIT.split(attrs.get("class", "") + " " + attrs.get("id", ""))}
-    return bool(words & CLASSES) or not inside and "header" in words
+    named = (attrs.get("class", "") + " " + attrs.get("id", "")).split()
+    parts = [{w.lower() for w in SPLIT.split(n) if w} for n in named]
+    if inside:  # "related-posts" is furniture, "related-work" and "share-of-market" are what the text is about
+        return any(p & CLASSES and p <= CLASSES | WITH for p in parts)
+    return any(p & CLASSES or "header" in p for p in parts)
 
 
 def parse(page: str) -> Element:

@@ -112,10 +112,9 @@ def _license_sql() -> str:
         v = license.VERSION
         seq = "\\s+".join(i + (f"(:{v})?" if j == 0 else f"(?::{v})?") for j, i in enumerate(ids))
         pattern = quoted(f" {seq} ")
-        title = name.strip().replace("{v}", "'||substr(hit,2)||'")
+        title = f"replace({quoted(name.strip())}, '{{v}}', substr(coalesce(hit, ''), 2))"
         steps.append(f"s{n} AS (SELECT *, {left} AS l{n}, regexp_replace({left}, {pattern}, ' ', 'g') AS l{n}x, "
-                     f"CASE WHEN regexp_matches({left}, {pattern}) THEN replace({quoted(name.strip())}, '{{v}}', "
-                     f"substr(regexp_extract({left}, {pattern}, 1), 2)) END AS h{n} FROM {f's{n - 1}' if n else 'joined'})")
+                     f"list_transform(regexp_extract_all({left}, {pattern}, 1), lambda hit: {title}) AS h{n} FROM {f's{n - 1}' if n else 'joined'})")
         left = f"l{n}x"
         names.append(f"h{n}")
     last = f"s{len(license.RULES) - 1}"
@@ -142,7 +141,9 @@ unknown AS (SELECT rid, count(*) FILTER (WHERE found = 0) AS n_unknown FROM grou
 joined AS (SELECT d.doc_id, coalesce(p.sentence_ids, '') AS sentence_ids, coalesce(p.ids, '  ') AS ids, coalesce(u.n_unknown, 0)::BIGINT AS n_unknown
   FROM docs d LEFT JOIN per p USING (rid) LEFT JOIN unknown u USING (rid)),
 {", ".join(steps)}
-SELECT doc_id, sentence_ids, array_to_string(list_filter([{", ".join(names)}], lambda x: x IS NOT NULL), ',') AS licenses, n_unknown FROM {last}
+SELECT doc_id, sentence_ids, coalesce(found, '') AS licenses, n_unknown FROM (SELECT doc_id, sentence_ids, (SELECT string_agg(x, ',' ORDER BY k) FROM (SELECT x, min(k) AS k FROM (
+    SELECT unnest(every) AS x, unnest(range(len(every))) AS k) GROUP BY x)) AS found, n_unknown
+  FROM (SELECT *, flatten([{", ".join(names)}]) AS every FROM {last}))
 """
 
 

@@ -446,3 +446,30 @@ def test_suffix_query_returns_the_kept_text(spark, data):
     for r in rows:
         if not r.n_removed:
             assert len((r.text or "").encode()) == r.n_bytes
+
+
+def test_license_sql_agrees_on_texts_with_several_versions(spark, tmp_path):
+    import duckdb
+
+    from seriesmith.llm.queries import QUERIES, SQL
+
+    gpl, apache = "This work is licensed under the GNU General Public License, version {}.", "Licensed under the Apache License, Version {}."
+    texts = [f"{gpl.format(2)} {gpl.format(3)} {gpl.format(2)}", f"{apache.format('1.1')} Words. {apache.format('2.0')}",
+             f"Licensed under CC BY 4.0. {gpl.format(3)} Licensed under CC BY 3.0.", None, "", "Released under the MIT License.",
+             "Permission to sing is sought.", "No dot\n# Licensed under the Apache License,\n# Version 2.0."]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["op1_license"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rel = con.sql(SQL["op1_license"])
+    order = [rel.columns.index(c) for c in ("doc_id", "sentence_ids", "licenses", "n_unknown")]
+    assert got == sorted(tuple(r[k] for k in order) for r in rel.fetchall())
+
+
+def test_html_keeps_article_parts_whose_class_only_mentions_furniture(spark):
+    page = ("<html><body><div class='share-bar'>Top</div><article><p>First.</p><div class='share-of-market'><p>The share grew.</p></div>"
+            "<section class='related-work'><p>Others did it.</p></section><p class='notice-of-meeting'>We meet.</p>"
+            "<div class='related-posts'><p>More here</p></div><div class='social-share'>Share</div><div class='comments'>Nice!</div>"
+            "<div id='newsletter'>Mail us</div></article></body></html>")
+    df = spark.createDataFrame([(1, "http://h.example/", page)], "page_id bigint, url string, html string")
+    assert html.extract(df).first().text == "First. The share grew. Others did it. We meet."

@@ -161,6 +161,3 @@ def rank_candidates(cands: DataFrame, keys, at="entry_t", weight: Column | None
     s = F.col("strength") * (F.lit(1.0) if weight is None else weight)
     w = Window.partitionBy(*keys, at).orderBy(s.desc(), F.col("symbol"))
     return cands.withColumn("rank", F.row_number().over(w))
-
-
-_OPEN = "array<struct<e:bigint,c:string,s:string>>"

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, or else its warehouse; all executors share either."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The session's ``spark.checkpoint.dir``; in local mode its warehouse where that is unset.
+
+    A warehouse may be a folder of one machine, so a cluster without the setting is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def settle(df: DataFrame) -> DataFrame:

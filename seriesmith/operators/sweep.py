@@ -114,6 +114,24 @@ def mean_scores(scores: DataFrame, attributes=()) -> DataFrame:
         *[F.avg(a).alias(a) for a in attributes])
 
 
+def out_of_sample_scores(resolved: DataFrame, windows: DataFrame, bars: DataFrame, reach: int, sets, acct: Account = Account(),
+                         min_trades: int = 3, value="sharpe_trade") -> DataFrame:
+    """``symbol, param_id, window, score, base`` of every out-of-sample window and set.
+
+    ``windows`` comes from ``folds.out_of_sample``.  Each window is a fold of its own, from its first
+    bar with no open trade; below ``min_trades`` trades its score is zero.  ``base`` is the same value in
+    front of the ceiling.  Windows and the ranges in front of them run in one job."""
+    w = windows.select("symbol", (F.col("window") + 1).alias("fold"), "start_i", "end_i")
+    base = windows.select("symbol", F.lit(0).alias("fold"), F.lit(0).cast("bigint").alias("start_i"), F.col("ceiling_i").alias("end_i")).distinct()
+    m = fold_metrics(settle(fold_trades(resolved, base.unionByName(w), bars, reach, acct)), acct)
+    score = F.when(F.col("trades") >= min_trades, F.col(value)).otherwise(0.0)
+    m = settle(m.select("symbol", "param_id", "fold", score.alias("score")))
+    grid = with_sets(windows.select("symbol", "window"), sets)
+    rows = grid.join(m.filter("fold > 0").select("symbol", "param_id", (F.col("fold") - 1).alias("window"), "score"), ["symbol", "param_id", "window"], "left")
+    rows = rows.join(m.filter("fold = 0").select("symbol", "param_id", F.col("score").alias("base")), ["symbol", "param_id"], "left")
+    return rows.fillna(0.0, ["score", "base"])
+
+
 def successive_halving(resolved: DataFrame, folds: DataFrame, bars: DataFrame, reach: int, sets: DataFrame, n_rungs: int,
                        acct: Account = Account(), steps: int = 64, **rules) -> DataFrame:
     """Sets that survive ``n_rungs`` rungs: each rung scores one more fold, and the better half by the mean

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import case_map, fix, text_uniform
+from ..operators import bars as B
 from ..operators import equity as Q
 from ..operators import exits as E
 from ..operators import folds as FD
@@ -17,6 +18,7 @@ from ..operators import sizing as Z
 from ..operators import sweep as SW
 from ..operators import validation as V
 from ..operators import indicators as I
+from ..operators.scan import bar_index
 from ..sources import tables as T
 from ..sources.scratch import settle
 from .bar_queries import GRID, ONE, bars, rsi_sql, tail_edges
@@ -217,11 +219,18 @@ def entry_timing_grid(spark, d):
     return tidy(R.timing_grid(t, F.weekday(ts), F.hour(ts)))
 
 
-@query("rolling_sharpe", f"""SELECT symbol, i::BIGINT AS i, {r6('''CASE WHEN count(ret) OVER w = 120 THEN CASE WHEN stddev_pop(ret) OVER w > 1e-12
-   THEN avg(ret) OVER w / stddev_pop(ret) OVER w * sqrt(8760) ELSE 0 END END''', 'rolling_sharpe')} FROM rets
-  WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 119 PRECEDING)""")
+# all ticks as one series by the minute: long enough for the window of 2,160
+cte("rets_min", """SELECT *, row_number() OVER (ORDER BY t) - 1 AS i, close / lag(close) OVER (ORDER BY t) - 1 AS ret FROM (
+  SELECT (floor(epoch(ts) / 60) * 60)::BIGINT AS t, last(price ORDER BY ts, seq) AS close FROM ticks GROUP BY 1)""")
+
+
+@query("rolling_sharpe", f"""SELECT 'all' AS symbol, i::BIGINT AS i, {r6('''CASE WHEN count(ret) OVER w = 2160 THEN CASE WHEN stddev_pop(ret) OVER w > 1e-12
+   THEN avg(ret) OVER w / stddev_pop(ret) OVER w * sqrt(8760) ELSE 0 END END''', 'rolling_sharpe')} FROM rets_min
+  WINDOW w AS (ORDER BY i ROWS 2159 PRECEDING)""")
 def rolling_sharpe(spark, d):
-    return tidy(Q.rolling_sharpe(I.returns(T.bars(spark, d)), ["symbol"], 120), "symbol", "i", "rolling_sharpe")
+    ticks = T.ticks(spark, d).withColumn("symbol", F.lit("all"))
+    b = bar_index(settle(B.ticks_to_bars(ticks, 60)), width=60)
+    return tidy(Q.rolling_sharpe(I.returns(b), ["symbol"], 2160), "symbol", "i", "rolling_sharpe")
 
 
 # ---------------------------------------------------------------- folds and sweeps
@@ -458,6 +467,33 @@ def halving_rungs(spark, d):
     rows = SW.successive_halving(res, f, b, reach, sets, RUNGS, ACCT, min_year=60, min_test=MIN_TEST)
     return tidy(rows, "symbol", "param_id", "rung", "score", "evaluated")
 
+# out-of-sample windows through the engine, at the reference's fractions, counts and least trades
+cte("oosw", """SELECT symbol, n, ceiling_i, w AS win, ceiling_i + w * sz AS start_i, CASE WHEN w = windows - 1 THEN n ELSE ceiling_i + (w + 1) * sz END AS end_i FROM (
+  SELECT symbol, n, windows, ceiling_i, (n - ceiling_i) // windows AS sz FROM (
+    SELECT symbol, n, CASE WHEN n >= 13140 THEN 3 ELSE 1 END AS windows,
+      (floor(n * CASE WHEN n >= 26280 THEN 0.70::DOUBLE WHEN n >= 13140 THEN 0.75::DOUBLE ELSE 0.80::DOUBLE END))::BIGINT AS ceiling_i FROM lens)) q,
+  LATERAL (SELECT unnest(range(windows)) AS w)""")
+cte("f_oos", """SELECT symbol, win + 1 AS fold, start_i, end_i FROM oosw WHERE end_i - start_i >= 100
+  UNION ALL SELECT DISTINCT symbol, 0, 0, ceiling_i FROM oosw WHERE end_i - start_i >= 100""")
+engine("o_e", "f_oos", "q_resolved")
+metrics("o_m", "o_e", "symbol, param_id, fold", "i", "days", "100000.0::DOUBLE")
+cte("o_rows", """SELECT w.symbol, p.param_id, w.win, coalesce(CASE WHEN m.trades >= 3 THEN m.sharpe_trade END, 0) AS sharpe,
+    coalesce(CASE WHEN b.trades >= 3 THEN b.sharpe_trade END, 0) AS base
+  FROM (SELECT * FROM oosw WHERE end_i - start_i >= 100) w CROSS JOIN q_params p
+  LEFT JOIN o_m m ON m.symbol = w.symbol AND m.param_id = p.param_id AND m.fold = w.win + 1
+  LEFT JOIN o_m b ON b.symbol = w.symbol AND b.param_id = p.param_id AND b.fold = 0""")
+
+
+@query("oos_evaluated", f"""SELECT symbol, param_id::BIGINT AS param_id, count(*) AS n_windows, {r6('median(sharpe)', 'median_sharpe')}, {r6('stddev_pop(sharpe)', 'std_sharpe')},
+  {r6('min(sharpe)', 'worst_sharpe')}, {r6('max(base)', 'base_sharpe')}, {r6('CASE WHEN max(base) > 0 THEN median(sharpe) / max(base) ELSE 0 END', 'retention')}
+  FROM o_rows GROUP BY symbol, param_id""")
+def oos_evaluated(spark, d):
+    b, sets = bars(spark, d), random_sets(spark, PBO_SETS)
+    res, reach = P.resolved_of_sets(b, sets, slip())
+    scores = SW.out_of_sample_scores(res, settle(FD.out_of_sample(FD.series_lengths(b))), b, reach, sets, ACCT)
+    rows = V.window_aggregate(scores, ["symbol", "param_id"], "score", "base", "window")
+    return tidy(rows, "symbol", "param_id", "n_windows", "median_sharpe", "std_sharpe", "worst_sharpe", "base_sharpe", "retention")
+
 
 cte("sp_side", f"""SELECT s.combo, s.side_name, m.symbol, m.param_id, {score(MIN_TEST)} AS score FROM q_es_m m JOIN sides8 s ON m.fold = s.lo * {BLOCKS} + s.hi""")
 # every combination with its own copy of the trades, equity relative to its start

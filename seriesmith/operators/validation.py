@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, hash_uniform
+from ..functions.columns import col, div_floor, hash_uniform
+from ..sources.scratch import settle
 from .equity import equity_curve, ratio_or_zero
-from .scan import Recurrence, memory, recur, rolling
+from .scan import BLOCK_BARS, Recurrence, linear_recurrences, rolling, with_index
 
 MIN_MC_TRADES = 10
 
@@ -146,41 +147,40 @@ def volatility_grid(returns: DataFrame, keys, window: int, every: int, alphas, b
                     index="i", pct="pct") -> DataFrame:
     """Best (alpha, beta) per refit point by Gaussian likelihood on a grid.
 
-    A refit point every ``every`` rows looks back ``window`` rows.  Each row belongs to
-    ``window / every`` windows; windows and grid points are keys of one recurrence job.
-    ``omega`` follows from variance targeting.  The result is a grid point, not an
+    A refit point every ``every`` rows looks back ``window`` rows; ``omega`` follows from variance
+    targeting, and the recursion starts at the window's variance.  The result is a grid point, not an
     unrestricted maximum.
-    """
-    keys = list(keys)
-    r = returns.filter(col(pct).isNotNull())
+
+    A step of the recursion is an affine map of the variance before it, so j steps from the window's first
+    row are one map: beta^j of the start, omega times the sum of the powers before it, and alpha times
+    the decayed squares.  The decayed squares of any window are a difference of one scan over the whole
+    series, so there is one scan for each beta, none for windows, alphas or start values."""
+    keys, betas = list(keys), sorted(betas)
+    r = returns.filter(col(pct).isNotNull()).withColumn("__b", div_floor(index, BLOCK_BARS))
+    r = with_index(r.select(*keys, index, pct, "__b"), keys, ["__b"], [index], "__pos").drop("__b")
+    square = F.col(pct) * F.col(pct)
+    scans = {f"__g{k}": Recurrence(square, float(b), F.lit(0.0)) for k, b in enumerate(betas)}
+    r = linear_recurrences(r, keys, scans, "__pos")
+    # decayed squares in front of a row
+    r = rolling(r, keys, 1, lambda f, s: f.withColumn(
+        "__before", F.array(*[F.coalesce(F.lag(g).over(s), F.lit(0.0)) for g in scans])), "__pos").drop(*scans)
     # a row at index i serves the refit points p with p - window < i <= p
     first = F.greatest(F.ceil(F.col(index) / every), F.ceil(F.lit(window) / every)).cast("bigint")
     last = F.floor((F.col(index) + window - 1) / every).cast("bigint")
-    spread = r.filter(last >= first).withColumn("refit", F.explode(F.sequence(first, last)))
-    spread = spread.withColumn("j", F.col(index) - (F.col("refit") * every - window) - 1)
-    var = spread.groupBy(*keys, "refit").agg(
-        F.var_pop(pct).alias("var"), F.count(F.lit(1)).alias("rows"), F.min("j").alias("j0"))
-    grid = [(a, b) for a in alphas for b in betas if 0 < a + b < 1]
-    points = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta")) for a, b in grid])
-    wide = (
-        spread.join(var.filter(F.col("rows") >= window - 1), [*keys, "refit"])
-        .withColumn("j", F.col("j") - F.col("j0"))
-        .withColumn("g", F.explode(points)).select("*", "g.*").drop("g")
-    )
-    omega = F.col("var") * (F.lit(1.0) - F.col("alpha") - F.col("beta"))
-    # row j carries the variance that applies to row j + 1
-    x = omega + F.col("alpha") * col(pct) * col(pct)
+    spread = settle(r.filter(last >= first).withColumn("refit", F.explode(F.sequence(first, last))))
+    ends = spread.groupBy(*keys, "refit").agg(
+        F.var_pop(pct).alias("var"), F.count(F.lit(1)).alias("rows"), F.min("__pos").alias("__p0"),
+        F.min_by("__before", "__pos").alias("__base"), F.max(index).alias("__hi"))
+    ends = ends.filter((F.col("rows") >= window - 1) & (F.col("__hi") == F.col("refit") * every))
+    points = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta"), F.lit(k).alias("k"))
+                       for a in alphas for k, b in enumerate(betas) if 0 < a + b < 1])
+    rows = spread.join(ends, [*keys, "refit"]).withColumn("g", F.explode(points)).select("*", "g.*").drop("g")
+    a, b = F.col("alpha"), F.col("beta")
+    power = F.pow(b, (F.col("__pos") - F.col("__p0")).cast("double"))
+    squares = F.get("__before", F.col("k")) - power * F.get("__base", F.col("k"))
+    v = F.col("var") * (power + (1 - a - b) * (1 - power) / (1 - b)) + a * squares
     cell = [*keys, "refit", "alpha", "beta"]
-    steps = {"next_var": Recurrence(x, F.col("beta"), F.col("var"), max(betas), min(betas))}
-
-    def build(f: DataFrame, s) -> DataFrame:
-        f = recur(f, [*cell, "__chunk"], steps, "j")
-        return f.withColumn("var_now", F.coalesce(F.lag("next_var").over(s), F.col("var")))
-
-    rows = rolling(wide, cell, memory(steps.values())[2] + 1, build, index="j")
-    v = F.col("var_now")
-    fit = rows.groupBy(*cell).agg(
-        F.sum(F.ln(v) + col(pct) * col(pct) / v).alias("nll"), F.max("var").alias("var"))
+    fit = rows.groupBy(*cell).agg(F.sum(F.ln(v) + square / v).alias("nll"), F.max("var").alias("var"))
     best = fit.groupBy(*keys, "refit").agg(
         F.min_by(F.struct("alpha", "beta", "nll", "var"), F.struct("nll", "alpha", "beta")).alias("b"))
     b = F.col("b")

@@ -15,6 +15,8 @@ from ..operators import selection as SEL
 from ..operators import signals as S
 from ..operators import sizing as Z
 from ..operators import validation as V
+from ..operators.bars import ticks_to_bars
+from ..operators.scan import bar_index
 from ..sources import tables as T
 from ..sources.scratch import scratch_dir, settle
 from ..streaming import live
@@ -108,12 +110,15 @@ def heat_breaches(spark, d):
     return tidy(Z.heat_breaches(settle(curve), t, b, 0.01), digits=3)
 
 
-WIN, EVERY, ALPHAS, BETAS = 120, 60, [0.05, 0.15], [0.5, 0.8]
-cte("pct", "SELECT symbol, i, log_ret * 100 AS pct FROM rets WHERE log_ret IS NOT NULL")
+# all ticks as one series by the minute; windows, steps and grid of the reference's size
+WIN, EVERY = 720, 168
+ALPHAS, BETAS = [0.02 + 0.03 * k for k in range(10)], [0.50 + 0.05 * k for k in range(10)]
+cte("pct", "SELECT 'all' AS symbol, i, ln(1 + ret) * 100 AS pct FROM rets_min WHERE ret IS NOT NULL")
 cte("vw", f"""SELECT k * {EVERY} AS p, x.symbol, x.pct, x.i - (k * {EVERY} - {WIN}) - 1 AS j FROM range(1, 100000) r(k) JOIN pct x ON x.i > k * {EVERY} - {WIN} AND x.i <= k * {EVERY}
   WHERE k * {EVERY} >= {WIN} AND k * {EVERY} <= (SELECT max(i) FROM pct)""")
 cte("vv", f"SELECT symbol, p, var_pop(pct) AS var FROM vw GROUP BY 1, 2 HAVING count(*) >= {WIN - 1}")
-cte("vg", "SELECT * FROM (VALUES (0.05::DOUBLE, 0.5::DOUBLE), (0.05, 0.8), (0.15, 0.5), (0.15, 0.8)) v(alpha, beta)")
+cte("vg", "SELECT * FROM (VALUES " + ", ".join(f"({a!r}::DOUBLE)" for a in ALPHAS) + ") x(alpha), (VALUES " + ", ".join(
+    f"({b!r}::DOUBLE)" for b in BETAS) + ") y(beta) WHERE alpha + beta < 1")
 cte("vr", """SELECT symbol, p, alpha, beta, 0::BIGINT, var, 0.0::DOUBLE, var FROM vv, vg
   UNION ALL SELECT r.symbol, r.p, r.alpha, r.beta, r.j + 1, r.var * (1 - r.alpha - r.beta) + r.alpha * x.pct * x.pct + r.beta * r.v, r.nll + ln(r.v) + x.pct * x.pct / r.v, r.var
   FROM vr r JOIN vw x ON x.symbol = r.symbol AND x.p = r.p AND x.j = r.j""", "(symbol, p, alpha, beta, j, v, nll, var)")
@@ -122,7 +127,9 @@ cte("vr", """SELECT symbol, p, alpha, beta, 0::BIGINT, var, 0.0::DOUBLE, var FRO
 @query("volatility_grid", f"""SELECT symbol, p AS refit_i, {out('alpha', 'beta')}, {r6('var * (1 - alpha - beta)', 'omega')}, {out('nll')} FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol, p ORDER BY nll, alpha, beta) AS k FROM (SELECT *, max(j) OVER (PARTITION BY symbol, p, alpha, beta) AS mj FROM vr) WHERE j = mj) WHERE k = 1""")
 def volatility_grid(spark, d):
-    r = I.returns(bars(spark, d)).select("symbol", "i", (F.col("log_ret") * 100).alias("pct"))
+    ticks = T.ticks(spark, d).withColumn("symbol", F.lit("all"))
+    b = bar_index(settle(ticks_to_bars(ticks, 60)), width=60)
+    r = I.returns(b).select("symbol", "i", (F.col("log_ret") * 100).alias("pct"))
     return tidy(V.volatility_grid(r, ["symbol"], WIN, EVERY, ALPHAS, BETAS), "symbol", "refit_i", "alpha", "beta", "omega", "nll")
 
 

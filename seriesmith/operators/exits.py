@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, div_floor
+from ..sources.scratch import settle
 from .intervals import forward_join
 from .scan import BLOCK_BARS, Run, running
 
@@ -168,43 +169,66 @@ aggregate({array}, named_struct('free', {free}, 'n', cast(0 as bigint)),
 """
 
 
-def non_overlapping(cand: DataFrame, keys, reach: int, block: int = BLOCK_BARS) -> DataFrame:
+#: Blocks, or functions of a level, that are composed together.
+FAN = 64
+# position that is free after a node for one that is free before it: the outcome of the first door at
+# or behind it, or itself
+_AFTER = "coalesce(greatest({x}, get(filter({doors}, d -> d.i >= {x}), 0).out), {x})"
+
+
+def _entries(nodes: DataFrame, keys, fan: int) -> DataFrame:
+    """``node, free``: the position that is free before each node, from the nodes' step functions.
+
+    ``doors`` are a node's steps and ``edge`` the largest position it can be entered with.  Functions
+    of ``fan`` neighbours compose to the function of a node one level up: the steps of the first keep
+    their places, their outcomes go through the others, and where no step of it lies at the edge or
+    behind, the first step of a later one does.  Levels are walked up until a series is one
+    node, and down again with the entries; no group holds more than one node's children."""
+    top = nodes.agg(F.max("node")).first()[0]
+    up = div_floor("node", fan)
+    children = F.array_sort(F.collect_list(F.struct("node", "edge", "doors"))).alias("cs")
+    groups = nodes.withColumn("up", up).groupBy(*keys, "up").agg(children)
+    if top is None or top < fan:
+        groups = groups.withColumn("free", F.lit(-1).cast("bigint"))
+    else:
+        groups = settle(groups)
+        through = _AFTER.format(x="e.out", doors="c.doors")
+        composed = groups.withColumn("edge", F.expr("cs[0].edge")).withColumn("doors", F.expr(f"""
+            aggregate(slice(cs, 2, size(cs)), cs[0].doors, (f, c) -> concat(
+              transform(f, e -> named_struct('i', e.i, 'out', {through})),
+              if(size(f) = 0 or element_at(f, -1).i < edge, slice(c.doors, 1, 1), slice(c.doors, 1, 0))))"""))
+        above = _entries(composed.select(*keys, F.col("up").alias("node"), "edge", "doors"), keys, fan)
+        groups = groups.join(above.withColumnRenamed("node", "up"), [*keys, "up"])
+    after = _AFTER.format(x="s.free", doors="c.doors")
+    return groups.withColumn("seen", F.expr(f"""
+        aggregate(cs, named_struct('free', free, 'seen', cast(array() as array<struct<node:bigint,free:bigint>>)),
+          (s, c) -> named_struct('free', {after}, 'seen', concat(s.seen, array(named_struct('node', c.node, 'free', s.free)))),
+          s -> s.seen)""")).select(*keys, F.explode("seen").alias("e")).select(*keys, "e.node", "e.free")
+
+
+def non_overlapping(cand: DataFrame, keys, reach: int, block: int = BLOCK_BARS, fan: int = FAN) -> DataFrame:
     """Greedy selection: an entry is taken when ``i >= free_i`` of the last taken one.
 
     A series is cut into blocks of at least ``reach`` positions, so a taken trade can delay
     entries of the next block only.  Each block is summarised as a function "first allowed
     position -> position that is free after the block"; it changes value only at the
-    entries of the block's first ``reach`` positions.  The functions are chained along the
-    series, then every block selects its own trades.  No task holds more than one block of
-    a series plus one small function per block.
+    entries of the block's first ``reach`` positions.  The functions are composed along the
+    series as a tree (``_entries``), then every block selects its own trades.  No task holds more
+    than one block of a series or the functions of ``fan`` neighbours.
     """
     keys = list(keys)
     size = max(block, reach + 1)
     rows = cand.withColumn("__b", div_floor("i", size))
     ordered = F.array_sort(F.collect_list(F.struct("i", "free_i")))
-    blocks = rows.groupBy(*keys, "__b").agg(ordered.alias("es"))
     edge = f"(__b * {size} + {reach} + 1)"
     # doors: entries a carried position can be waiting for, each with its outcome
-    blocks = blocks.withColumn("doors", F.expr(
+    blocks = rows.groupBy(*keys, "__b").agg(ordered.alias("es")).withColumn("edge", F.expr(edge)).withColumn("doors", F.expr(
         f"transform(filter(es, (e, k) -> e.i < {edge} or k = 0 or es[k - 1].i < {edge}), d -> "
         f"named_struct('i', d.i, 'out', "
         + _CHAIN.format(array="filter(es, e -> e.i >= d.i)", free="d.i") + "))"
     ))
-    chain = blocks.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("__b", "doors"))).alias("bs")
-    )
-    walked = chain.withColumn("entry", F.expr("""
-        aggregate(bs,
-          named_struct('free', cast(-1 as bigint), 'seen', cast(array() as array<struct<b:bigint,free:bigint>>)),
-          (s, b) -> named_struct(
-            'free', coalesce(greatest(s.free, element_at(filter(b.doors, d -> d.i >= s.free), 1).out), s.free),
-            'seen', concat(s.seen, array(named_struct('b', b.__b, 'free', s.free)))),
-          s -> s.seen)
-    """.replace("element_at(filter(b.doors, d -> d.i >= s.free), 1).out",
-                "get(filter(b.doors, d -> d.i >= s.free), 0).out")))
-    states = walked.select(*keys, F.explode("entry").alias("e")).select(
-        *keys, F.col("e.b").alias("__b"), F.col("e.free").alias("__free")
-    )
+    states = _entries(blocks.select(*keys, F.col("__b").alias("node"), "edge", "doors"), keys, fan)
+    states = states.withColumnsRenamed({"node": "__b", "free": "__free"})
     taken = blocks.join(states, [*keys, "__b"]).select(
         *keys, "__b",
         F.explode(F.expr("""

@@ -1,5 +1,6 @@
 """Exit resolution against a plain per-bar loop, and constructed price paths."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,31 @@ def test_each_reason(spark, closes, sells, reason, at):
     cut = E.cut_to_folds(E.resolve(sig, bars, [p], F.lit(0.0)), E.whole_range(bars), bars)
     first = E.non_overlapping(cut, ["symbol", "param_id", "fold"], 4).orderBy("i").first()
     assert (first["reason"], first["exit_i"]) == (reason, at)
+
+
+@pytest.mark.parametrize("n, reach, block, fan", [(300, 5, 7, 3), (900, 12, 1, 2), (400, 3, 3072, 64)])
+def test_non_overlapping_as_a_tree(spark, n, reach, block, fan):
+    rng = np.random.default_rng(n)
+    rows = []
+    for symbol in ("a", "b", "c"):
+        for i in sorted(rng.choice(n, size=n // int(rng.integers(2, 9)), replace=False).tolist()):
+            rows.append((symbol, int(i) + (n if symbol == "c" else 0), int(i) + (n if symbol == "c" else 0) + int(rng.integers(1, reach + 2))))
+    got = {tuple(r) for r in E.non_overlapping(
+        spark.createDataFrame(rows, "symbol string, i bigint, free_i bigint"), ["symbol"], reach, block, fan).collect()}
+    want, free = set(), {}
+    for symbol, i, out in rows:
+        if i >= free.get(symbol, -1):
+            want.add((symbol, i, out))
+            free[symbol] = out
+    assert got == want
+
+
+def test_non_overlapping_of_a_hundred_thousand_blocks(spark):
+    rows = spark.range(400_000).select(F.lit("a").alias("symbol"), F.col("id").alias("i"), (F.col("id") + 1 + F.col("id") * 7919 % 3).alias("free_i"))
+    got = [r.i for r in E.non_overlapping(rows, ["symbol"], 3, 4).select("i").orderBy("i").collect()]
+    want, free = [], 0
+    for i in range(400_000):
+        if i >= free:
+            want.append(i)
+            free = i + 1 + i * 7919 % 3
+    assert got == want

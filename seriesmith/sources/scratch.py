@@ -12,7 +12,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
     A warehouse may be a folder of one machine, so a cluster without the setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
+    if not found and not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return found or spark.conf.get("spark.sql.warehouse.dir")
 

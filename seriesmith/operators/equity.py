@@ -127,6 +127,37 @@ def sparse_daily_ratios(trades: DataFrame, keys, start: float, day="exit_day", p
         ratio_or_zero(mean, F.col("__down"), periods).alias("sortino_daily"), "n_days")
 
 
+def yearly_ratios(trades: DataFrame, keys, start: float, day="exit_day", pnl="pnl_abs", periods=365) -> DataFrame:
+    """``window`` (calendar year), ``sharpe`` of the days of each year in the dense daily curve, without building it.
+
+    From the first to the last exit day of a key every year has a row.  A day without a trade returns zero,
+    or nothing where the equity is zero, so a trading day stands for the idle days up to the next one; the
+    moments of the trading days are merged with those zeros.  The first day has no return.
+    """
+    per_day = trades.filter(col(day).isNotNull()).groupBy(*keys, F.col(day).alias("day")).agg(
+        F.coalesce(F.sum(pnl), F.lit(0.0)).alias("pnl"))
+    w = Window.partitionBy(*keys).orderBy("day")
+    eq = snap(F.lit(float(start)) + F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = per_day.withColumn("__e", eq).withColumns({
+        "__p": F.lag("__e").over(w), "__last": F.coalesce(F.lead("day").over(w) - 1, F.col("day")),
+    })
+    own = F.year(F.date_from_unix_date("day"))
+    rows = rows.withColumn("window", F.explode(F.sequence(own, F.year(F.date_from_unix_date("__last")))))
+    first = F.unix_date(F.make_date("window", F.lit(1), F.lit(1)))
+    last = F.unix_date(F.make_date("window", F.lit(12), F.lit(31)))
+    idle = F.least(F.col("__last"), last) - F.greatest(F.col("day") + 1, first) + 1
+    r = F.when(F.col("window") == own, div(F.col("__e"), "__p") - 1)
+    g = rows.groupBy(*keys, "window").agg(
+        F.count(r).alias("__k"), F.coalesce(F.avg(r), F.lit(0.0)).alias("__m"),
+        F.coalesce(F.var_pop(r), F.lit(0.0)).alias("__v"),
+        F.sum(F.when(F.col("__e") != 0, F.greatest(idle, F.lit(0))).otherwise(0)).alias("__z"),
+    )
+    n, k, m = F.col("__k") + F.col("__z"), F.col("__k"), F.col("__m")
+    square = F.col("__v") * k + div(m * m * k * F.col("__z"), n)
+    std = F.sqrt(div(square, n - 1))
+    return g.select(*keys, "window", ratio_or_zero(div(m * k, n), F.when(n > 1, std), periods).alias("sharpe"))
+
+
 def rolling_sharpe(series: DataFrame, keys, n: int, ret="ret", index="i", periods=8760) -> DataFrame:
     """Mean over population deviation of the last ``n`` returns, full windows only."""
     def build(f: DataFrame, s) -> DataFrame:

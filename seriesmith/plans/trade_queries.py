@@ -286,9 +286,9 @@ cte("sup_pbo", "SELECT symbol, (trades * 37 % 100) / 100.0::DOUBLE AS pbo FROM s
 
 def supplier_windows(spark, d):
     t = trades(spark, d).withColumn("symbol", F.col("supp"))
-    day = Q.daily_equity(t, KEY, T.START_EQUITY).withColumn("window", F.year(F.date_from_unix_date("day")))
-    per = day.groupBy("symbol", "window").agg(Q.ratio_or_zero(F.avg("ret"), F.stddev_samp("ret"), 365).alias("sharpe"))
-    base = supplier_metrics(spark, d).select("symbol", F.col("sharpe_daily").alias("s1_sharpe"), "trades", "calmar")
+    per = Q.yearly_ratios(t, KEY, T.START_EQUITY)
+    # one row a supplier, read by the windows and by what is joined to them
+    base = settle(supplier_metrics(spark, d)).select("symbol", F.col("sharpe_daily").alias("s1_sharpe"), "trades", "calmar")
     return V.window_aggregate(per.join(base, "symbol"), KEY), base
 
 

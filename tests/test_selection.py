@@ -183,3 +183,26 @@ def test_custom_strategy_and_score(spark, data_small):
     assert len(got) == 5 * 2 * 3 and all(r["score"] == r["test_trades"] for r in got) and "win_rate" in out.columns
     mean = sweep.mean_scores(out, ["win_rate"])
     assert mean.count() == 15 and sweep.best_sets(out).count() == 5
+
+
+def test_yearly_ratios_equal_the_dense_curve(spark):
+    r = np.random.default_rng(5)
+    rows = [(f"k{k % 7}", int(d), float(p)) for k, d, p in zip(range(400), r.integers(9000, 11500, 400), r.integers(-900, 900, 400) / 10)]
+    rows += [("idle", 9000, 5.0), ("idle", 12000, -3.0), ("one", 9500, 1.0), ("lost", None, 4.0), ("k1", None, 7.0), ("k2", 10000, None)]
+    # the equity is zero for some years
+    rows += [("zero", 9000, 2.0), ("zero", 9100, -1002.0), ("zero", 9900, 10.0), ("zero", 9901, 11.0), ("zero", 9902, 3.0)]
+    t = spark.createDataFrame(rows, "symbol string, exit_day int, pnl_abs double")
+    day = equity.daily_equity(t, ["symbol"], 1000.0).withColumn("window", F.year(F.date_from_unix_date("day")))
+    want = {(x.symbol, x.window): x.sharpe for x in day.groupBy("symbol", "window").agg(
+        equity.ratio_or_zero(F.avg("ret"), F.stddev_samp("ret"), 365).alias("sharpe")).collect()}
+    out = equity.yearly_ratios(t, ["symbol"], 1000.0)
+    have = {(x.symbol, x.window): x.sharpe for x in out.collect()}
+    assert have.keys() == want.keys() and len(have) > 50
+    assert all(have[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_tiers_read_the_trades_once_for_metrics_and_no_dense_days(spark, data):
+    from seriesmith.plans import trade_queries
+
+    plan = trade_queries.tier_pbo_override(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(__lo" not in plan and plan.count("l_extendedprice") < 10

@@ -473,3 +473,32 @@ def test_html_keeps_article_parts_whose_class_only_mentions_furniture(spark):
             "<div id='newsletter'>Mail us</div></article></body></html>")
     df = spark.createDataFrame([(1, "http://h.example/", page)], "page_id bigint, url string, html string")
     assert html.extract(df).first().text == "First. The share grew. Others did it. We meet."
+
+
+def test_pipeline_compares_what_fingerprints_link(spark, monkeypatch):
+    """Fingerprint groups give the first candidates; the exact check drops those that are not near."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    near = [*base[:200], "other", *base[201:]]
+    texts = [" ".join(base), " ".join(near), " ".join(f"x{i}" for i in range(30)), "", None, " \n"]
+    docs = table(spark, texts)
+    pairs, plain = [], shingles.near_texts
+
+    def seen(docs, node, *args, candidates=None, **kwargs):
+        found = {r.node: r.text for r in docs.select(node.alias("node"), "text").collect()}
+        pairs.extend({found[r.a], found[r.b]} for r in candidates.collect())
+        return plain(docs, node, *args, candidates=candidates, **kwargs)
+
+    monkeypatch.setattr(shingles, "near_texts", seen)
+    got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, None).collect()}
+    linked = (simhash.fingerprint_of(texts[0]) ^ simhash.fingerprint_of(texts[1])).bit_count() <= 3
+    assert linked and {texts[0], texts[1]} in pairs and any(" \n" in p for p in pairs)
+    assert got == {0, 2, 3}
+    # a wrong candidate links nothing, and none loses a link
+    key = shingles.text_key(docs)
+    nodes = {r.doc_id: r.node for r in docs.select("doc_id", key.alias("node")).collect()}
+    wrong = spark.createDataFrame([(nodes[0], nodes[2])], "a bigint, b bigint")
+    got = {r.node for r in plain(docs, key, candidates=wrong).collect()}
+    assert {nodes[0], nodes[1]} <= got and nodes[2] not in got

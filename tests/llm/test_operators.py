@@ -502,3 +502,33 @@ def test_pipeline_compares_what_fingerprints_link(spark, monkeypatch):
     wrong = spark.createDataFrame([(nodes[0], nodes[2])], "a bigint, b bigint")
     got = {r.node for r in plain(docs, key, candidates=wrong).collect()}
     assert {nodes[0], nodes[1]} <= got and nodes[2] not in got
+
+
+def test_families_of_edited_copies_meet_in_few_pairs(spark, monkeypatch):
+    """Copies on both sides of 0.8 from their base, of short and long texts: pairs grow with the texts, no link is lost."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for size, edits in ((140, (1, 2, 3, 4, 5)), (420, (4, 6, 9, 11, 13))):
+        base = rng.choices(words, k=size)
+        texts += [" ".join(base)] * 2
+        for n in range(90):
+            t = list(base)
+            for at in rng.sample(range(size), rng.choice(edits)):
+                t[at] = f"x{rng.randrange(10 ** 9)}" if n % 3 else rng.choice(words)
+            texts.append(" ".join(t))
+        # passages of the base in longer texts, one link across two copies only
+        texts += [" ".join(base[:size // 2] + rng.choices(words, k=size // 2)) for _ in range(12)]
+        texts.append(" ".join([*texts[-1].split()[:-2], "y", "z"]))
+    pairs, plain = [], shingles.verified
+
+    def counted(sets, found, width):
+        pairs.append(found.count())
+        return plain(sets, found, width)
+
+    monkeypatch.setattr(shingles, "verified", counted)
+    got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, table(spark, texts), None).collect()}
+    assert got == smallest_of_groups(dict(enumerate(texts))) and 30 < len(got) < len(texts) - 30
+    assert sum(pairs) < 4 * len(texts)
